@@ -35,8 +35,8 @@ def text_or_empty(text: Column | str) -> Column:
 
 
 def text_id(text: Column | str) -> Column:
-    """Key of a text: 128 bits, so that distinct texts stay apart at any table size."""
-    return F.md5(text_or_empty(text))
+    """Key of a text: 16 bytes, so that distinct texts stay apart at any table size."""
+    return F.unhex(F.md5(text_or_empty(text)))
 
 
 def tokens(text: Column | str) -> Column:

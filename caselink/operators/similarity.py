@@ -131,8 +131,8 @@ def _reaching_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> D
         F.transform("near", lambda t: entry(t["c_text"], t["similarity"], depth - nearer(t))), F.array()
     )
     left_over = depth - F.coalesce(rows_of(F.col("near")), F.lit(0))
-    known = F.coalesce(F.transform("near", lambda t: t["c_text"]), F.array().cast("array<string>"))
-    others = F.when(left_over > 0, F.array_except(opening, known)).otherwise(F.array().cast("array<string>"))
+    known = F.coalesce(F.transform("near", lambda t: t["c_text"]), F.array().cast("array<binary>"))
+    others = F.when(left_over > 0, F.array_except(opening, known)).otherwise(F.array().cast("array<binary>"))
     fillers = F.transform("others", lambda t: entry(t, F.lit(0.0), F.col("left_over")))
     return (
         asked.join(_nearest_texts(index, wanted, depth), "q_text", "left")

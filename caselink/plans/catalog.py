@@ -46,8 +46,15 @@ def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     return text_index.load_or_fit(cases, views.scratch(spark, sf_dir, "text_index"))
 
 
-def _model(spark: SparkSession, sf_dir: str, index: text_index.TextIndex) -> ensemble.Ensemble:
-    return evaluation_run.trained(index, views.cases(spark, sf_dir), views.scratch(spark, sf_dir, "ensemble"))
+def _document_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
+    docs = views.document_cases(spark, sf_dir)
+    return text_index.load_or_fit(docs, views.scratch(spark, sf_dir, "document_case_index"))
+
+
+def _trained(spark: SparkSession, sf_dir: str, reuse: bool = True) -> ensemble.Ensemble:
+    docs = views.document_cases(spark, sf_dir)
+    folder = views.scratch(spark, sf_dir, "ensemble")
+    return evaluation_run.trained(lambda: _document_index(spark, sf_dir), docs, folder, reuse=reuse)
 
 
 # --- sources, cleaning -------------------------------------------------------------------------
@@ -350,30 +357,34 @@ def training_label_rate(spark, sf_dir):
 # --- ensemble ----------------------------------------------------------------------------------
 
 
+@query("document_training_pairs")
+def document_training_pairs(spark, sf_dir):
+    docs = views.document_cases(spark, sf_dir)
+    pairs = linkage.training_pairs(_document_index(spark, sf_dir), docs, evaluation_run.TRAINING_CASES)
+    return _rounded(pairs.select(*_pair_ids(), *FEATURES, "label"), ["similarity", "time_decay"])
+
+
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
-    cases = views.cases(spark, sf_dir)
-    folder = views.scratch(spark, sf_dir, "ensemble")
-    model = evaluation_run.trained(_index(spark, sf_dir), cases, folder, reuse=False)
-    pairs = spark.read.parquet(f"{folder}/pairs")
+    model = _trained(spark, sf_dir, reuse=False)
+    pairs = spark.read.parquet(views.scratch(spark, sf_dir, "ensemble") + "/pairs")
     return ensemble.score(pairs, model).select(*_pair_ids(), "label", "p_rf", "p_gb", "score")
 
 
 @query("feature_importances")
 def feature_importances(spark, sf_dir):
-    return ensemble.importances(_model(spark, sf_dir, _index(spark, sf_dir)), spark)
+    return ensemble.importances(_trained(spark, sf_dir), spark)
 
 
 @query("score_pairs")
 def score_pairs(spark, sf_dir):
-    index = _index(spark, sf_dir)
     pairs = linkage.with_features(_similar(spark, sf_dir, SERVED_K))
-    return ensemble.score(pairs, _model(spark, sf_dir, index)).select(*_pair_ids(), "p_rf", "p_gb", "score")
+    return ensemble.score(pairs, _trained(spark, sf_dir)).select(*_pair_ids(), "p_rf", "p_gb", "score")
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    _model(spark, sf_dir, _index(spark, sf_dir))
+    _trained(spark, sf_dir)
     folder = views.scratch(spark, sf_dir, "ensemble")
     saved = models.load(spark, f"{folder}/model")
     return ensemble.score(spark.read.parquet(f"{folder}/pairs"), saved).select(*_pair_ids(), "score")
@@ -381,9 +392,8 @@ def model_roundtrip(spark, sf_dir):
 
 @query("ranked_cases")
 def ranked_cases(spark, sf_dir):
-    index = _index(spark, sf_dir)
     candidates = _similar(spark, sf_dir, ensemble.served_pool(SERVED_K))
-    return ensemble.as_served(ensemble.rank_cases(candidates, _model(spark, sf_dir, index), SERVED_K))
+    return ensemble.as_served(ensemble.rank_cases(candidates, _trained(spark, sf_dir), SERVED_K))
 
 
 # --- evaluation --------------------------------------------------------------------------------
@@ -417,8 +427,26 @@ def evaluate_similarity(spark, sf_dir):
     return _rounded(means, ["precision", "recall", "f1", "ndcg"])
 
 
+@query("evaluate_sample")
+def evaluate_sample(spark, sf_dir):
+    docs = views.document_cases(spark, sf_dir)
+    bases = linkage.sample_cases(docs, evaluation_run.OFFLINE["eval_cases"])
+    index = _document_index(spark, sf_dir)
+    means = evaluation.mean_metrics(
+        evaluation.similarity_metrics(index, bases, docs, evaluation_run.OFFLINE["k_values"])
+    )
+    return _rounded(means, ["precision", "recall", "f1", "ndcg"])
+
+
 @query("compare_models")
 def compare_models(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    model = _model(spark, sf_dir, index)
-    return evaluation_run.compare_rankings(index, views.cases(spark, sf_dir), model)
+    index = _document_index(spark, sf_dir)
+    docs = views.document_cases(spark, sf_dir)
+    return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir), **evaluation_run.OFFLINE)
+
+
+@query("compare_models_served")
+def compare_models_served(spark, sf_dir):
+    index = _document_index(spark, sf_dir)
+    docs = views.document_cases(spark, sf_dir)
+    return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir), **evaluation_run.SERVED)

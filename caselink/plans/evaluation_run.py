@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -27,18 +27,22 @@ class EvaluationRun:
 
 
 def trained(
-    index: TextIndex,
+    index: TextIndex | Callable[[], TextIndex],
     cases: DataFrame,
     folder: str,
     n: int = TRAINING_CASES,
     trees: int = ensemble.TREES,
     reuse: bool = True,
 ) -> ensemble.Ensemble:
-    """The ensemble saved in ``folder``, trained on ``n`` sampled bases if there is none."""
+    """The ensemble saved in ``folder``, trained on ``n`` sampled bases if there is none.
+
+    ``index`` may be a function that provides the index; it is called only to train.
+    """
     spark = cases.sparkSession
 
     def fit() -> ensemble.Ensemble:
-        pairs = write_table(linkage.training_pairs(index, cases, n), f"{folder}/pairs")
+        texts = index() if callable(index) else index
+        pairs = write_table(linkage.training_pairs(texts, cases, n), f"{folder}/pairs")
         # n bases have at most 15 pairs each: a handful of tasks is enough for any table.
         tasks = max(1, min(spark.sparkContext.defaultParallelism, n * linkage.TRAINING_K // 2000))
         return ensemble.train(pairs, trees=trees, partitions=tasks)

@@ -87,7 +87,16 @@ SELECT CAST(dr_no AS BIGINT) AS dr_no, CAST(CAST(occurred AS DATE) AS TIMESTAMP)
 FROM dated""",
 )
 _part("timed", (), "SELECT event_id AS dr_no, ts AS datetime, event_type AS crm_cd_desc FROM events")
-_part("docs", (), "SELECT doc_id AS dr_no, coalesce(text, '') AS mo_text FROM documents")
+_part(
+    "docs",
+    (),
+    """
+SELECT d.doc_id AS dr_no, ts AS datetime, source AS area_name,
+       CAST(length(CAST(n_chars AS VARCHAR)) AS INTEGER) AS crm_cd,
+       'length ' || length(CAST(n_chars AS VARCHAR)) AS crm_cd_desc, lang AS weapon_desc,
+       CAST(20 + 10 * quality + 5 * toxic AS INTEGER) AS vict_age, CAST(quality AS VARCHAR) AS vict_sex, text AS mo_text
+FROM documents d JOIN events ON d.doc_id = event_id LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+)
 
 
 def _tfidf_parts(prefix: str, source: str) -> None:
@@ -122,47 +131,57 @@ FROM {p}tf JOIN {p}idf USING (term)""",
 _tfidf_parts("", "cases")
 _tfidf_parts("doc_", "docs")
 
-_part(
-    "cosines",
-    ("weights",),
-    """
+
+
+def _similarity_parts(prefix: str, source: str) -> None:
+    """Cosines of all pairs of texts, candidate pools, and the training sample of ``source``."""
+    p = prefix
+    _part(
+        f"{p}cosines",
+        (f"{p}weights",),
+        f"""
 SELECT a.mo_text AS q, b.mo_text AS c, round(sum(a.weight * b.weight), 9) AS similarity
-FROM weights a JOIN weights b USING (term) GROUP BY ALL""",
-)
-_part(
-    "all_cosines",
-    ("cosines",),
-    """
+FROM {p}weights a JOIN {p}weights b USING (term) GROUP BY ALL""",
+    )
+    _part(
+        f"{p}all_cosines",
+        (f"{p}cosines",),
+        f"""
 SELECT q.mo_text AS q, c.mo_text AS c, coalesce(similarity, 0) AS similarity
-FROM texts q CROSS JOIN texts c LEFT JOIN cosines s ON s.q = q.mo_text AND s.c = c.mo_text""",
-)
-_part(
-    "pool",
-    ("all_cosines",),
-    """
-SELECT q, similarity, cases.*,
+FROM {p}texts q CROSS JOIN {p}texts c LEFT JOIN {p}cosines s ON s.q = q.mo_text AND s.c = c.mo_text""",
+    )
+    _part(
+        f"{p}pool",
+        (f"{p}all_cosines",),
+        f"""
+SELECT q, similarity, s.*,
        CAST(row_number() OVER (PARTITION BY q ORDER BY similarity DESC, dr_no) AS INTEGER) AS pool_rank
-FROM all_cosines JOIN cases ON cases.mo_text = c QUALIFY pool_rank <= 200""",
-)
-_part(
-    "sampled",
-    ("cases",),
-    f"""
-SELECT * FROM cases WHERE crm_cd IS NOT NULL AND area_name IS NOT NULL AND mo_text IS NOT NULL
-ORDER BY md5(CAST(dr_no AS VARCHAR) || ':42'), dr_no LIMIT {evaluation_run.TRAINING_CASES}""",
-)
+FROM {p}all_cosines JOIN {source} s ON s.mo_text = c QUALIFY pool_rank <= 200""",
+    )
+    for name, n in (("sampled", evaluation_run.TRAINING_CASES), ("evaluated", evaluation_run.OFFLINE["eval_cases"])):
+        _part(
+            f"{p}{name}",
+            (source,),
+            f"""
+SELECT * FROM {source} WHERE crm_cd IS NOT NULL AND area_name IS NOT NULL AND mo_text IS NOT NULL
+ORDER BY md5(CAST(dr_no AS VARCHAR) || ':42'), dr_no LIMIT {n}""",
+        )
+
 
+_similarity_parts("", "cases")
+_similarity_parts("doc_", "docs")
 
-def _list_part(name: str, k: int, bases: str = "cases", keep: str = "") -> None:
+
+def _list_part(name: str, k: int, bases: str = "cases", keep: str = "", pool: str = "pool") -> None:
     """Ranked lists of length k: pool, not the base, filter, first k."""
     _part(
         name,
-        ("pool", bases),
+        (pool, bases),
         f"""
 SELECT b.dr_no AS q_id, b.datetime AS b_datetime, b.area_name AS b_area, b.crm_cd AS b_crm,
        b.weapon_desc AS b_weapon, b.vict_age AS b_age, b.vict_sex AS b_sex, b.mo_text AS b_text,
        CAST(row_number() OVER (PARTITION BY b.dr_no ORDER BY p.pool_rank) AS INTEGER) AS rank, p.*
-FROM {bases} b JOIN pool p ON p.q = b.mo_text
+FROM {bases} b JOIN {pool} p ON p.q = b.mo_text
 WHERE p.dr_no <> b.dr_no {keep} QUALIFY rank <= {k}""",
     )
 
@@ -172,6 +191,8 @@ _list_part("served_list", catalog.SERVED_K)
 _list_part("area_list", catalog.SERVED_K, keep=f"AND p.area_name = '{catalog.AREA}'")
 _list_part("weapon_list", catalog.SERVED_K, keep=f"AND p.weapon_desc = '{catalog.WEAPON}'")
 _list_part("training_list", 15, "sampled")
+_list_part("doc_training_list", 15, "doc_sampled", pool="doc_pool")
+_list_part("doc_evaluated_list", max(evaluation_run.OFFLINE["k_values"]), "doc_evaluated", pool="doc_pool")
 
 _SERVED = """q_id, rank, dr_no, strftime(datetime, '%Y-%m-%d') AS datetime, area_name, crm_cd_desc, weapon_desc,
        vict_age, vict_sex, round(similarity, 6) AS similarity, mo_text"""
@@ -192,37 +213,51 @@ _FEATURES = f"""round(similarity, 6) AS similarity,
        {_equal('vict_sex', 'b_sex')} AS sex_match,
        abs(coalesce(CAST(vict_age AS DOUBLE), 40.0) - coalesce(CAST(b_age AS DOUBLE), 40.0)) AS age_difference"""
 
-_part("labels_of_list", ("top_list",), f"SELECT q_id, b_crm, rank, {_LABEL} AS rel FROM top_list")
-_KS = ", ".join(f"({k})" for k in evaluation.K_VALUES)
-_part("ks", (), f"SELECT * FROM (VALUES {_KS}) t(k)")
-_part(
-    "by_k",
-    ("labels_of_list", "ks"),
-    """
+
+
+def _metric_parts(prefix: str, lists: str, bases: str, source: str, k_values) -> None:
+    """Metrics per base and k of the ranked lists."""
+    p = prefix
+    ks = ", ".join(f"({k})" for k in k_values)
+    _part(f"{p}labels", (lists,), f"SELECT q_id, rank, {_LABEL} AS rel FROM {lists}")
+    _part(f"{p}ks", (), f"SELECT * FROM (VALUES {ks}) t(k)")
+    _part(
+        f"{p}by_k",
+        (f"{p}labels", f"{p}ks", bases),
+        f"""
 SELECT b.dr_no, b.crm_cd, ks.k, rank, rel,
        row_number() OVER (PARTITION BY b.dr_no, ks.k ORDER BY rel DESC, rank) AS ideal_rank
-FROM cases b CROSS JOIN ks LEFT JOIN labels_of_list l ON l.q_id = b.dr_no AND l.rank <= ks.k""",
-)
-_part(
-    "per_case",
-    ("by_k",),
-    """
+FROM {bases} b CROSS JOIN {p}ks ks LEFT JOIN {p}labels l ON l.q_id = b.dr_no AND l.rank <= ks.k""",
+    )
+    _part(
+        f"{p}per_case",
+        (f"{p}by_k",),
+        f"""
 SELECT dr_no, k, hits / k AS precision,
        CASE WHEN n = 0 OR greatest(0.3 * same_crime, hits) = 0 THEN 0
             ELSE hits / greatest(0.3 * same_crime, hits) END AS recall,
        CASE WHEN hits = 0 THEN 0 ELSE dcg / idcg END AS ndcg
 FROM (SELECT dr_no, k, count(rank) AS n, CAST(coalesce(sum(rel), 0) AS DOUBLE) AS hits,
-             (SELECT count(*) FROM cases c WHERE c.crm_cd = by_k.crm_cd) AS same_crime,
+             (SELECT count(*) FROM {source} c WHERE c.crm_cd = o.crm_cd) AS same_crime,
              sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(ideal_rank + 1)) AS idcg
-      FROM by_k GROUP BY dr_no, crm_cd, k)""",
-)
-_part(
-    "scored",
-    ("per_case",),
-    """
+      FROM {p}by_k o GROUP BY dr_no, crm_cd, k)""",
+    )
+    _part(
+        f"{p}scored",
+        (f"{p}per_case",),
+        f"""
 SELECT *, CASE WHEN precision + recall = 0 THEN 0 ELSE 2 * precision * recall / (precision + recall) END AS f1
-FROM per_case""",
-)
+FROM {p}per_case""",
+    )
+
+
+_metric_parts("", "top_list", "cases", "cases", evaluation.K_VALUES)
+_metric_parts("doc_", "doc_evaluated_list", "doc_evaluated", "docs", evaluation_run.OFFLINE["k_values"])
+
+
+def _means(scored: str) -> str:
+    return f"""SELECT k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
+       round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg FROM {scored} GROUP BY k"""
 
 
 def _top(column: str, n: int | None, source: str = "cases") -> str:
@@ -402,16 +437,16 @@ FROM (SELECT {_LABEL} AS label FROM training_list)""",
         "f1_at_k": metric("f1"),
         "ndcg_at_k": metric("ndcg"),
         "map_at_k": _with(
-            ("labels_of_list",),
+            ("labels",),
             """SELECT round(avg(ap), 6) AS map FROM (
   SELECT b.dr_no, coalesce(sum(rel * found / rank) / nullif(sum(rel), 0), 0) AS ap
   FROM cases b LEFT JOIN (
-    SELECT *, sum(rel) OVER (PARTITION BY q_id ORDER BY rank) AS found FROM labels_of_list) l ON l.q_id = b.dr_no
+    SELECT *, sum(rel) OVER (PARTITION BY q_id ORDER BY rank) AS found FROM labels) l ON l.q_id = b.dr_no
   GROUP BY b.dr_no)""",
         ),
-        "evaluate_similarity": _with(
-            ("scored",),
-            """SELECT k, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall,
-       round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg FROM scored GROUP BY k""",
+        "evaluate_similarity": _with(("scored",), _means("scored")),
+        "evaluate_sample": _with(("doc_scored",), _means("doc_scored")),
+        "document_training_pairs": _with(
+            ("doc_training_list",), f"SELECT q_id, dr_no, {_FEATURES}, {_LABEL} AS label FROM doc_training_list"
         ),
     }

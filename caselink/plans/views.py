@@ -111,15 +111,31 @@ def timed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free text: one case per document."""
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("dr_no"),
-        F.lit(None).cast("timestamp_ntz").alias("datetime"),
-        F.col("source").alias("area_name"),
-        F.lit(None).cast("int").alias("crm_cd"),
-        F.col("lang").alias("crm_cd_desc"),
-        F.lit(None).cast("string").alias("weapon_desc"),
-        F.lit(None).cast("int").alias("vict_age"),
-        F.lit(None).cast("string").alias("vict_sex"),
-        F.col("text").alias("mo_text"),
+    """Free text: id and text of every document."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dr_no"), F.col("text").alias("mo_text"))
+
+
+def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One case per document, with the time of the event of the same id and labels where given.
+
+    Texts hardly repeat here, so the nearest cases of a base differ from it and training pairs
+    carry both labels at any scale; in ``cases`` enough copies of one text make every label 1.
+    """
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
+    return (
+        table(spark, sf_dir, "documents")
+        .join(events, F.col("doc_id") == F.col("event_id"))
+        .join(labels, F.col("doc_id") == F.col("label_id"), "left")
+        .select(
+            F.col("doc_id").alias("dr_no"),
+            F.col("ts").alias("datetime"),
+            F.col("source").alias("area_name"),
+            F.length(F.col("n_chars").cast("string")).alias("crm_cd"),
+            F.concat(F.lit("length "), F.length(F.col("n_chars").cast("string"))).alias("crm_cd_desc"),
+            F.col("lang").alias("weapon_desc"),
+            (20 + 10 * F.col("quality") + 5 * F.col("toxic")).cast("int").alias("vict_age"),
+            F.col("quality").cast("string").alias("vict_sex"),
+            F.col("text").alias("mo_text"),
+        )
     )
