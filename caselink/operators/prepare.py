@@ -82,8 +82,8 @@ def recent_cases(cases: DataFrame, n: int | None = RECENT_ROWS) -> DataFrame:
         .withColumn("newer", newer)
         .filter(F.col("newer") < n)
     )
-    last_day = days.agg(F.min("day")).scalar()
-    still_needed = n - days.agg(F.max("newer")).scalar()
+    edge = days.agg(F.max(F.struct("newer", "day"))).scalar()
+    last_day, still_needed = edge["day"], n - edge["newer"]
     order = [F.desc("time"), F.asc("dr_no")]
     of_last_day = first_rows(keys.filter(F.to_date("time") == last_day), order, n, "dr_no", (1024, 32))
     numbered = of_last_day.withColumn("n", F.row_number().over(W.orderBy(*order)))

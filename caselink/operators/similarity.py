@@ -15,8 +15,8 @@ from caselink.schema import CASE_COLUMNS
 from caselink.sources.text_index import TextIndex, leading_cases
 
 DIGITS = 9
-# Postings of one term that one task handles in the term join.
-BLOCK = 4096
+# Pairs of texts that one task handles for one term in the term join.
+BLOCK_PAIRS = 1 << 24
 # Two unit vectors whose cosine rounds to 1 differ by less than WIDTH in every weight, and a set
 # of terms that holds more than RESIDUE of a vector's squared length cannot be missing in the other.
 WIDTH = 1e-4
@@ -34,12 +34,15 @@ def _rounded(total: Column) -> Column:
     return F.round(total, DIGITS).alias("similarity")
 
 
-def _sparse_matches(asked: DataFrame, weights: DataFrame) -> DataFrame:
+def _sparse_matches(asked: DataFrame, weights: DataFrame, n_asked: Column) -> DataFrame:
     """Cosine of every asked text with every text that shares a term.
 
-    The postings of a frequent term are cut into blocks, so no task holds a whole one.
+    The postings of a frequent term are cut into blocks so that no task makes more than about
+    BLOCK_PAIRS pairs of one term; ``n_asked`` bounds how many asked texts can meet there. Asked
+    rows are repeated per block, which stays small next to the pairs they save a task from.
     """
-    blocks = F.ceil(F.col("n_texts") / F.lit(BLOCK)).cast("int")
+    meeting = F.least(F.col("n_texts"), n_asked)
+    blocks = F.ceil(F.col("n_texts") * meeting / F.lit(BLOCK_PAIRS)).cast("int")
     left = asked.select(
         "q_text", "term", "q_weight", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
     )
@@ -89,12 +92,19 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int) -> Data
     asked = index.weights.select(
         F.col("text_id").alias("q_text"), "n_rows", "term", "n_texts", F.col("weight").alias("q_weight")
     )
+    n_asked = F.col("n_texts")
     if wanted is not None:
         asked = asked.join(wanted, "q_text", "left_semi")
+        n_asked = wanted.agg(F.count(F.lit(1))).scalar()
     own_copies_suffice = F.col("n_rows") >= depth
-    return _sparse_matches(asked.filter(~own_copies_suffice), index.weights).unionByName(
-        _identical_matches(asked.filter(own_copies_suffice), index.weights)
-    )
+    fewest, most = index.copies or (0, depth)
+    if most < depth:
+        return _sparse_matches(asked, index.weights, n_asked)
+    identical = _identical_matches(asked.filter(own_copies_suffice), index.weights)
+    if fewest >= depth:
+        return identical
+    others = _sparse_matches(asked.filter(~own_copies_suffice), index.weights, n_asked)
+    return others.unionByName(identical)
 
 
 def _nearest_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> DataFrame:
@@ -231,7 +241,7 @@ def cosine_to_all(index: TextIndex, base: DataFrame, cases: DataFrame) -> DataFr
     asked = index.weights.select(
         F.col("text_id").alias("q_text"), "term", "n_texts", F.col("weight").alias("q_weight")
     ).join(keyed, "q_text", "left_semi")
-    matches = _sparse_matches(asked, index.weights)
+    matches = _sparse_matches(asked, index.weights, keyed.agg(F.count(F.lit(1))).scalar())
     by_text = matches.join(keyed, "q_text").groupBy("c_text").agg(
         F.map_from_entries(F.collect_list(F.struct("q_id", "similarity"))).alias("by_base")
     )

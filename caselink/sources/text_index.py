@@ -23,6 +23,8 @@ from caselink.sources.scratch import write_table
 # Default number of leading cases kept per text: the smallest candidate pool.
 DEPTH = 200
 
+ABOUT = "depth int, fewest long, most long"
+
 
 @dataclass(frozen=True)
 class TextIndex:
@@ -33,6 +35,8 @@ class TextIndex:
     leaders  text_id, leader_rank, and the case columns: the ``depth`` lowest ids of each text.
              Cases with one text are equally similar to anything and tie on the id, so no pool of
              ``depth`` rows can hold any other case.
+    copies   fewest and most cases per text, known for a saved index; lets a query leave out the
+             plan branch that no text needs.
     """
 
     texts: DataFrame
@@ -40,6 +44,7 @@ class TextIndex:
     weights: DataFrame
     leaders: DataFrame
     depth: int
+    copies: tuple[int, int] | None = None
 
 
 def leading_cases(cases: DataFrame, depth: int) -> DataFrame:
@@ -83,11 +88,20 @@ def fingerprint(cases: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS
 def load(spark: SparkSession, path: str) -> TextIndex | None:
     """The index saved at ``path``, or None if there is no complete one."""
     try:
-        depth = spark.read.parquet(f"{path}/complete").first()["depth"]
+        about = spark.read.schema(ABOUT).parquet(f"{path}/about").first()
     except AnalysisException:
         return None
     tables = [spark.read.parquet(f"{path}/{name}") for name in ("texts", "idf", "weights", "leaders")]
-    return TextIndex(*tables, depth)
+    return TextIndex(*tables, about["depth"], (about["fewest"], about["most"]))
+
+
+def _save_about(index: TextIndex, path: str) -> None:
+    """Written last: its presence says that the other tables are whole."""
+    index.texts.agg(
+        F.lit(index.depth).alias("depth"),
+        F.coalesce(F.min("n_rows"), F.lit(0)).alias("fewest"),
+        F.coalesce(F.max("n_rows"), F.lit(0)).alias("most"),
+    ).write.mode("overwrite").parquet(f"{path}/about")
 
 
 def load_or_fit(
@@ -102,7 +116,5 @@ def load_or_fit(
     found = load(spark, folder)
     if found is not None:
         return found
-    index = fit(cases, stop_words, depth, folder)
-    # Written last: its presence says that the other tables are whole.
-    spark.range(1).select(F.lit(depth).alias("depth")).write.mode("overwrite").parquet(f"{folder}/complete")
-    return index
+    _save_about(fit(cases, stop_words, depth, folder), folder)
+    return load(spark, folder)
