@@ -42,7 +42,7 @@ def _sparse_matches(asked: DataFrame, weights: DataFrame, n_asked: Column) -> Da
     rows are repeated per block, which stays small next to the pairs they save a task from.
     """
     meeting = F.least(F.col("n_texts"), n_asked)
-    blocks = F.ceil(F.col("n_texts") * meeting / F.lit(BLOCK_PAIRS)).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n_texts") * meeting / F.lit(BLOCK_PAIRS)), F.lit(1)).cast("int")
     left = asked.select(
         "q_text", "term", "q_weight", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
     )
