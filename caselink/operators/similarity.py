@@ -160,7 +160,7 @@ def candidate_pool(
     The base itself counts in the pool. All cases of a text have the same pool, so it is built
     once per distinct text. ``cases`` is needed only for a pool deeper than the index was built for.
     """
-    if depth <= index.depth:
+    if index.leaders is not None and depth <= index.depth:
         leaders = index.leaders.filter(F.col("leader_rank") <= depth)
     elif cases is not None:
         leaders = leading_cases(cases, depth)

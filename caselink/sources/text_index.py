@@ -42,7 +42,7 @@ class TextIndex:
     texts: DataFrame
     idf: DataFrame
     weights: DataFrame
-    leaders: DataFrame
+    leaders: DataFrame | None
     depth: int
     copies: tuple[int, int] | None = None
 
@@ -68,9 +68,7 @@ def fit(
     counts = keep(term_counts(texts, stop_words), "term_counts")
     idf = keep(inverse_document_frequency(counts, texts), "idf")
     weights = keep(term_weights(counts, idf), "weights")
-    leaders = leading_cases(cases, depth)
-    if with_leaders:
-        leaders = keep(leaders, "leaders")
+    leaders = keep(leading_cases(cases, depth), "leaders") if with_leaders else None
     return TextIndex(texts, idf, weights, leaders, depth)
 
 
