@@ -42,7 +42,7 @@ def sample_cases(
     """
     digest = F.md5(F.concat(F.col("dr_no").cast("string"), F.lit(f":{seed}")))
     usable = cases.dropna(subset=list(required)).withColumn("_digest", digest)
-    return first_rows(usable, [F.asc("_digest"), F.asc("dr_no")], n, "dr_no", (64,)).drop("_digest")
+    return first_rows(usable, [F.asc("_digest"), F.asc("dr_no")], n).drop("_digest")
 
 
 def training_pairs(

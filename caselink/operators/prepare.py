@@ -85,7 +85,7 @@ def recent_cases(cases: DataFrame, n: int | None = RECENT_ROWS) -> DataFrame:
     edge = days.agg(F.max(F.struct("newer", "day"))).scalar()
     last_day, still_needed = edge["day"], n - edge["newer"]
     order = [F.desc("time"), F.asc("dr_no")]
-    of_last_day = first_rows(keys.filter(F.to_date("time") == last_day), order, n, "dr_no", (1024, 32))
+    of_last_day = first_rows(keys.filter(F.to_date("time") == last_day), order, n, (1024, 32))
     numbered = of_last_day.withColumn("n", F.row_number().over(W.orderBy(*order)))
     last = numbered.filter(F.col("n") <= still_needed).agg(F.max_by(F.struct("time", "dr_no"), "n")).scalar()
     return cases.filter(

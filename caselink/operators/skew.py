@@ -12,48 +12,47 @@ from pyspark.sql import functions as F
 PARTS = 1000
 
 
+def _lane(lanes: int) -> Column:
+    """Lane of a row: all rows of one split share it, so a limit before the shuffle keeps its grip.
+
+    Dealing single rows instead would let every split send ``n`` rows to each lane. Which lane a
+    row takes does not change the result.
+    """
+    return F.pmod(F.spark_partition_id(), F.lit(lanes))
+
+
 def top_per_key(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column],
     n: int,
     rank: str,
-    spread_on: str | None = None,
-    lanes: int = 64,
+    lanes: int | None = None,
 ) -> DataFrame:
     """The first ``n`` rows of every key by ``order``, numbered in ``rank``.
 
-    ``spread_on`` is for keys that may be hot: each key is first cut to ``n`` rows in ``lanes``
-    separate groups, so the group that decides the final ranks has at most ``lanes * n`` rows.
-    Both levels are limited before their shuffle as well.
+    ``lanes`` is for keys that may be hot in a table with many splits: a key is first cut to ``n``
+    rows in each of ``lanes`` groups of splits, so the group that decides the final ranks has at
+    most ``lanes * n`` rows. Both levels are limited before their shuffle as well.
     """
-    if spread_on is not None:
-        lane = F.pmod(F.xxhash64(spread_on), F.lit(lanes))
-        df = df.withColumn("_lane", lane)
-        first = W.partitionBy(*keys, "_lane").orderBy(*order)
-        df = df.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= n)
-        df = df.drop("_n", "_lane")
+    if lanes is not None:
+        within = W.partitionBy(*keys, "_lane").orderBy(*order)
+        df = df.withColumn("_lane", _lane(lanes)).withColumn("_n", F.row_number().over(within))
+        df = df.filter(F.col("_n") <= n).drop("_n", "_lane")
     return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(
         F.col(rank) <= n
     )
 
 
-def first_rows(
-    df: DataFrame,
-    order: Sequence[Column],
-    n: int,
-    spread_on: str,
-    levels: Sequence[int] = (PARTS,),
-) -> DataFrame:
+def first_rows(df: DataFrame, order: Sequence[Column], n: int, levels: Sequence[int] = (PARTS,)) -> DataFrame:
     """``orderBy(order).limit(n)`` for tables with many splits.
 
     A plain limit sends ``n`` rows of every split to one task. Here the rows are cut to ``n`` in
     each of ``levels`` lanes first, so the last task sees ``levels[-1] * n`` rows.
     """
     for lanes in levels:
-        lane = F.pmod(F.xxhash64(spread_on), F.lit(lanes))
         within = W.partitionBy("_lane").orderBy(*order)
-        df = df.withColumn("_lane", lane).withColumn("_n", F.row_number().over(within))
+        df = df.withColumn("_lane", _lane(lanes)).withColumn("_n", F.row_number().over(within))
         df = df.filter(F.col("_n") <= n).drop("_n", "_lane")
     return df.orderBy(*order).limit(n)
 

@@ -19,6 +19,8 @@ def local_session(app: str = "caselink", cpus: int | None = None, memory: str =
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Sides measured below this after their shuffle are broadcast.
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "64m")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

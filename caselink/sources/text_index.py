@@ -49,7 +49,7 @@ class TextIndex:
 
 def leading_cases(cases: DataFrame, depth: int) -> DataFrame:
     keyed = cases.select(text_id("mo_text").alias("text_id"), *CASE_COLUMNS)
-    return top_per_key(keyed, ["text_id"], [F.asc("dr_no")], depth, "leader_rank", spread_on="dr_no")
+    return top_per_key(keyed, ["text_id"], [F.asc("dr_no")], depth, "leader_rank", lanes=256)
 
 
 def fit(
