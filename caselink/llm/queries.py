@@ -1,4 +1,4 @@
-"""Registered queries of this package: opN_<name> over the whole table it is meant for, and the pipeline."""
+"""Registered queries of this package: opN_<name> over the whole table it is meant for, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,9 +7,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.llm import token_counts, token_files
+from caselink.llm import chat, decontaminate, language_id, secret_scan, sentencepiece_codec, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +21,47 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_digests(table(spark, sf_dir, "pages"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_file_digests(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_token_counts, op5_token_files)}
-SQL: dict[str, str] = {}
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.encoded_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predictions(table(spark, sf_dir, "documents"))
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    probe = chat.probe_turns(spark)
+    return chat.formatted_digests(turns.select(*probe.columns).unionByName(probe))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_token_counts,
+        op3_secret_scan,
+        op4_warc,
+        op5_token_files,
+        op6_sentencepiece,
+        op7_decontamination,
+        op8_language_id,
+        op10_chat_format,
+    )
+}
+SQL: dict[str, str] = {"op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL}

@@ -3,7 +3,8 @@
 Documents are dealt over ranges of ascending id and sorted, so that the files in the order of their
 partitions hold all ids in document order. Each task writes, for its partition,
 
-    part-<partition>-<attempt>.bin   token ids, unsigned 32-bit little-endian, nothing else
+    part-<partition>-<attempt>.bin   token ids, nothing else: unsigned little-endian integers of ``width`` bytes,
+                                     2 if the vocabulary has at most 65,536 ids, else 4
     part-<partition>-<attempt>.off   n + 1 offsets of the documents within the .bin file, unsigned 64-bit
     part-<partition>-<attempt>.doc   the n document ids, signed 64-bit
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from caselink.llm.common import WordStore, file_system, id_and_text, pieces, ranges, run_folder, slices, stored
 
 END_ID = 1
-_INDEX = "part int, file string, n_docs long, n_null long, n_ids long"
+_INDEX = "part int, file string, width int, n_docs long, n_null long, n_ids long"
 _JOINT = 1000
 _ASCII_LETTER, _ASCII_MARK = np.zeros(256, bool), np.zeros(256, bool)
 _ASCII_LETTER[97:123] = True
@@ -53,6 +54,7 @@ class WordEncoder:
         self._specials = [t.content for t in self._library.get_added_tokens_decoder().values()]
         self._joint = self._specials[-1] if self._specials else None
         self._store = WordStore(self._encode_words)
+        self.width = 2 if self._library.get_vocab_size() <= 1 << 16 else 4
 
     def _encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         texts = [w.decode() for w in words]
@@ -112,7 +114,7 @@ def write_token_files(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Encode ``docs`` into files below ``folder``; returns the index: part, file, n_docs, n_null, n_ids, base."""
+    """Encode ``docs`` into files below ``folder``; returns the index: part, file, width, n_docs, n_null, n_ids, base."""
     spark = docs.sparkSession
     rows = id_and_text(docs, id_col, text_col)
     deal = rows.repartitionByRange(partitions, "doc_id") if partitions else rows.repartitionByRange("doc_id")
@@ -139,7 +141,7 @@ def _writer(path: str, folder: str, end_id: int) -> Callable[[Iterator[pa.Record
                 opened[2].write(np.zeros(1, "<u8").tobytes())
             ids, sizes = words.encode(texts)
             ends = np.cumsum(sizes)
-            opened[0].write(np.insert(ids, ends, end_id).astype("<u4").tobytes())
+            opened[0].write(np.insert(ids, ends, end_id).astype(f"<u{words.width}").tobytes())
             opened[2].write((np.cumsum(sizes + 1) + offsets[-1]).astype("<u8").tobytes())
             offsets[-1] += int(sizes.sum()) + len(sizes)
             column = batch.column("doc_id")
@@ -150,8 +152,8 @@ def _writer(path: str, folder: str, end_id: int) -> Callable[[Iterator[pa.Record
             for stream in opened:
                 stream.close()
             yield pa.RecordBatch.from_pylist(
-                [{"part": task.partitionId(), "file": f"{folder}/ids/{name}", "n_docs": n_docs, "n_null": n_null, "n_ids": offsets[-1]}],
-                schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64())]),
+                [{"part": task.partitionId(), "file": f"{folder}/ids/{name}", "width": words.width, "n_docs": n_docs, "n_null": n_null, "n_ids": offsets[-1]}],
+                schema=pa.schema([("part", pa.int32()), ("file", pa.string()), ("width", pa.int32()), ("n_docs", pa.int64()), ("n_null", pa.int64()), ("n_ids", pa.int64())]),
             )
 
     return run
@@ -160,10 +162,11 @@ def _writer(path: str, folder: str, end_id: int) -> Callable[[Iterator[pa.Record
 class TokenFile:
     """One partition's files: document ids and offsets in memory, token ids mapped."""
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, width: int):
         system, path = file_system(file)
+        self._width = width
         self.doc_ids, self.offsets = self._read(system, f"{path}.doc", "<i8"), self._read(system, f"{path}.off", "<u8")
-        self._mapped = np.memmap(f"{path}.bin", "<u4", "r") if system.type_name == "local" else None
+        self._mapped = np.memmap(f"{path}.bin", f"<u{width}", "r") if system.type_name == "local" else None
         self._remote = None if self._mapped is not None else system.open_input_file(f"{path}.bin")
 
     @staticmethod
@@ -179,8 +182,8 @@ class TokenFile:
         a, b = int(self.offsets[i]), int(self.offsets[i + 1])
         if self._mapped is not None:
             return self._mapped[a:b]
-        self._remote.seek(4 * a)
-        return np.frombuffer(self._remote.read(4 * (b - a)), "<u4")
+        self._remote.seek(self._width * a)
+        return np.frombuffer(self._remote.read(self._width * (b - a)), f"<u{self._width}")
 
 
 def read_token_files(index: DataFrame, documents: int = 5000) -> DataFrame:
@@ -189,7 +192,7 @@ def read_token_files(index: DataFrame, documents: int = 5000) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                file = TokenFile(row["file"])
+                file = TokenFile(row["file"], row["width"])
                 for k in range(0, len(file), documents):
                     at = range(k, min(k + documents, len(file)))
                     begins = file.offsets[k : at.stop].astype(np.int64)
@@ -198,7 +201,7 @@ def read_token_files(index: DataFrame, documents: int = 5000) -> DataFrame:
                             pa.array(file.doc_ids[k : at.stop], pa.int64(), mask=np.arange(k, at.stop) < row["n_null"]),
                             pa.array(begins + row["base"], pa.int64()),
                             pa.array(file.offsets[k + 1 : at.stop + 1].astype(np.int64) - begins, pa.int64()),
-                            pa.array([zlib.crc32(file.tokens(i).tobytes()) for i in at], pa.int64()),
+                            pa.array([zlib.crc32(file.tokens(i).astype("<u4").tobytes()) for i in at], pa.int64()),
                         ],
                         ["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
