@@ -76,7 +76,7 @@ def format_examples(turns: DataFrame) -> DataFrame:
         ).alias("replies"),
     )
     n_turns = F.size("shown")
-    covered = F.coalesce(F.element_at("replies", -1)["last"], F.lit(0))
+    covered = F.coalesce(F.try_element_at("replies", F.lit(-1))["last"], F.lit(0))
     rest = F.when(
         covered < n_turns,
         F.array(F.struct(n_turns.alias("last"), F.lit(False).alias("target"), F.lit(0).alias("head"), F.lit(0).alias("reply"))),
