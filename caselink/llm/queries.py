@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.llm import chat, decontaminate, language_id, secret_scan, sentencepiece_codec, token_counts, token_files, warc
+from caselink.llm import chat, decontaminate, language_id, near_dup, secret_scan, sentencepiece_codec, token_counts, token_files, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "piece_bpe_32k.model"
@@ -21,6 +21,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_token_counts,
+        op2_near_dup,
         op3_secret_scan,
         op4_warc,
         op5_token_files,
@@ -64,4 +69,4 @@ QUERIES: dict[str, Query] = {
         op10_chat_format,
     )
 }
-SQL: dict[str, str] = {"op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op2_near_dup": near_dup.SQL, "op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL}
