@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselink.llm.common import run_folder, stored
+from caselink.llm.common import free_name, run_folder, stored
 from caselink.llm.shingles import shingle_hashes, shingle_texts, words
 
 PERCENT = 75
@@ -81,8 +81,9 @@ def contaminated_pairs(
 
 def keep_clean(docs: DataFrame, items: DataFrame, folder: str) -> DataFrame:
     """The rows of ``docs`` whose document contains no item; columns unchanged."""
-    bad = stored(contaminated_pairs(docs, items, folder).select(F.col("doc_id").alias("_bad")).distinct(), folder, "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti")
+    name = free_name(docs, "_bad")
+    bad = stored(contaminated_pairs(docs, items, folder).select(F.col("doc_id").alias(name)).distinct(), folder, "contaminated")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[name]), "left_anti")
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:

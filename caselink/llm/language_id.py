@@ -205,5 +205,9 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose language is found with a score of ``least`` or more; columns unchanged."""
-    verdict = identify(docs, fit(docs), prefix="_found_")
-    return verdict.filter((F.col("_found_pred") != UNDETERMINED) & (F.col("_found_score") >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    prefix = "_found_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    verdict = identify(docs, fit(docs), prefix=prefix)
+    good = (F.col(f"{prefix}pred") != UNDETERMINED) & (F.col(f"{prefix}score") >= least)
+    return verdict.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])

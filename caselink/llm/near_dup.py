@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselink.llm.common import id_and_text, run_folder, slices, stored
+from caselink.llm.common import free_name, id_and_text, run_folder, slices, stored
 from caselink.llm.shingles import mix, sequence_shingles, word_sequence
 
 PERCENT = 75
@@ -250,8 +250,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame, folder: str) -> DataFrame:
     """The rows of ``docs`` but for those that a smaller id stands for; columns unchanged."""
-    gone = stored(duplicate_classes(docs, folder).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct(), folder, "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    name = free_name(docs, "_gone")
+    gone = stored(duplicate_classes(docs, folder).filter("not kept").select(F.col("doc_id").alias(name)).distinct(), folder, "gone")
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 SQL = f"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.llm import chat, decontaminate, language_id, near_dup, secret_scan, sentencepiece_codec, token_counts, token_files, warc
+from caselink.llm import chat, decontaminate, language_id, near_dup, secret_scan, sentencepiece_codec, token_counts, token_files, vector_search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "piece_bpe_32k.model"
@@ -49,6 +49,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predictions(table(spark, sf_dir, "documents"))
 
 
+def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     probe = chat.probe_turns(spark)
@@ -66,6 +70,7 @@ QUERIES: dict[str, Query] = {
         op6_sentencepiece,
         op7_decontamination,
         op8_language_id,
+        op9_vector_search,
         op10_chat_format,
     )
 }

@@ -304,7 +304,8 @@ def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col
 
 
 def with_token_ids(docs: DataFrame, path: str, text_col: str = "text", name: str = "token_ids") -> DataFrame:
-    """``docs`` with the ids of each whole text as an array column ``name``; no shuffle."""
+    """``docs`` with the ids of each whole text as an array column ``name``, in place of one of that name; no shuffle."""
+    docs = docs.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = codec(path)
