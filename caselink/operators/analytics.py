@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caselink.operators.skew import heavy_keys, spread_join
+
 # Age bins (lower bound included, upper excluded) and the names of the report rows.
 AGE_BINS = (
     ("0-17", 0, 18),
@@ -200,14 +202,18 @@ def yoy_trend(cases: DataFrame, years: Sequence[int] | None = None) -> DataFrame
 
 
 def with_same_crime_count(rows: DataFrame, code: Column, cases: DataFrame) -> DataFrame:
-    """Add ``same_crime_count``: how many cases have the crime code; 0 without a code."""
+    """Add ``same_crime_count``: how many cases have the crime code; 0 without a code.
+
+    Crime codes are few, so the rows of each are dealt over lanes; ``rows`` needs a ``dr_no`` for that.
+    """
     counts = (
         cases.filter(F.col("crm_cd").isNotNull())
         .groupBy(F.col("crm_cd").alias("_code"))
         .agg(F.count(F.lit(1)).alias("same_crime_count"))
     )
+    heavy = heavy_keys(counts, "_code", "same_crime_count")
     return (
-        rows.join(counts, code == F.col("_code"), "left")
+        spread_join(rows.withColumn("_code", code), counts, "_code", heavy, "dr_no", "left")
         .drop("_code")
         .withColumn("same_crime_count", F.coalesce("same_crime_count", F.lit(0)).cast("long"))
     )

@@ -44,13 +44,12 @@ def _each(k_values: Sequence[int]) -> Column:
     return F.explode(F.array(*[F.lit(k) for k in k_values])).alias("k")
 
 
-def metrics_at_k(lists: DataFrame, cases: DataFrame, k_max: int) -> DataFrame:
-    """(dr_no, k, precision, recall, f1, ndcg) of (dr_no, crm_cd, k, rels) lists."""
+def metrics_at_k(lists: DataFrame, k_max: int) -> DataFrame:
+    """(dr_no, k, precision, recall, f1, ndcg) of (dr_no, same_crime_count, k, rels) lists."""
     precision = m.precision(F.col("rels"), F.col("k"))
     recall = m.recall(F.col("rels"), F.col("same_crime_count"))
     return (
-        with_same_crime_count(lists, F.col("crm_cd"), cases)
-        .select("dr_no", "k", "rels", precision.alias("precision"), recall.alias("recall"))
+        lists.select("dr_no", "k", "rels", precision.alias("precision"), recall.alias("recall"))
         .select(
             "dr_no",
             "k",
@@ -82,8 +81,10 @@ def similarity_metrics(
     """
     longest = max(k_values)
     lists = similar_lists(index, bases, longest, bases_are_all=bases_are_all, how="left")
-    cut = labelled(lists, relevance).select("dr_no", "crm_cd", "rels", _each(k_values))
-    return metrics_at_k(cut.withColumn("rels", F.slice("rels", F.lit(1), F.col("k"))), cases, longest)
+    # Counts join once per base, before there is a row for every k.
+    counted = with_same_crime_count(labelled(lists, relevance), F.col("crm_cd"), cases)
+    cut = counted.select("dr_no", "same_crime_count", "rels", _each(k_values))
+    return metrics_at_k(cut.withColumn("rels", F.slice("rels", F.lit(1), F.col("k"))), longest)
 
 
 def average_precisions(
@@ -127,12 +128,13 @@ def ensemble_metrics(
         .withColumn("rank", F.row_number().over(by_list))
         .filter(F.col("rank") <= F.col("k"))
     )
+    counted = with_same_crime_count(bases.select("dr_no", "crm_cd"), F.col("crm_cd"), cases)
     lists = (
-        bases.select("dr_no", "crm_cd", _each(k_values))
+        counted.select("dr_no", "same_crime_count", _each(k_values))
         .join(relevance_lists(ranked, relevance), ["dr_no", "k"], "left")
         .withColumn("rels", _or_empty(F.col("rels")))
     )
-    return metrics_at_k(lists, cases, max(k_values))
+    return metrics_at_k(lists, max(k_values))
 
 
 def compare(base: DataFrame, ensemble: DataFrame) -> DataFrame:

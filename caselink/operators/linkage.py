@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from caselink.functions.pairs import is_relevant, pair_features
 from caselink.operators.similarity import similar_cases
 from caselink.operators.skew import first_rows
+from caselink.sources.scratch import shared_folder, write_table
 from caselink.sources.text_index import TextIndex
 
 Relevance = Callable[[Column, Column], Column]
@@ -41,8 +43,15 @@ def sample_cases(
     how the table is split.
     """
     digest = F.md5(F.concat(F.col("dr_no").cast("string"), F.lit(f":{seed}")))
-    usable = cases.dropna(subset=list(required)).withColumn("_digest", digest)
-    return first_rows(usable, [F.asc("_digest"), F.asc("dr_no")], n).drop("_digest")
+    usable = cases.dropna(subset=list(required))
+    # Only ids are drawn; the wide rows of the few that win are taken afterwards.
+    drawn = first_rows(usable.select("dr_no", digest.alias("_digest")), [F.asc("_digest"), F.asc("dr_no")], n)
+    return usable.join(drawn.select("dr_no"), "dr_no", "left_semi")
+
+
+def stored_sample(cases: DataFrame, n: int, seed: int = SAMPLE_SEED) -> DataFrame:
+    """``sample_cases``, written once to the shared folder for plans that use it in several places."""
+    return write_table(sample_cases(cases, n, seed), shared_folder(cases.sparkSession, "samples", uuid.uuid4().hex))
 
 
 def training_pairs(
@@ -54,7 +63,7 @@ def training_pairs(
     relevance: Relevance = is_relevant,
 ) -> DataFrame:
     """Sampled bases with their most similar cases, features and label; one job for all bases."""
-    bases = sample_cases(cases, n, seed)
+    bases = stored_sample(cases, n, seed)
     return with_label(with_features(similar_cases(index, bases, k)), relevance)
 
 

@@ -2,29 +2,33 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselink.operators.skew import first_rows
 from caselink.schema import CASE_COLUMNS
 from caselink.sources.cases import read_raw_cases, with_case_types, write_cases
+from caselink.sources.scratch import shared_folder, write_table
 
-# Tried in this order; the first that fits wins.
+# Tried in this order; the first that fits wins. One-letter fields take one digit or two.
 DATE_FORMATS = (
-    "MM/dd/yyyy hh:mm:ss a",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
+    "M/d/yyyy h:mm:ss a",
+    "M/d/yyyy[ H:mm[:ss]]",
+    "yyyy-MM-dd[ HH:mm[:ss[.SSSSSS][.SSS]]]",
+    "yyyy-MM-dd'T'HH:mm[:ss[.SSSSSS][.SSS]]",
+    "yyyy/M/d[ H:mm[:ss]]",
 )
 
 # What a null column contributes to ``mo_text``.
 NULL_TOKEN = "nan"
-RECENT_ROWS = 100_000
+
+# Why a raw row is not in the case table.
+NO_DATE, UNREADABLE_DATE, REPEATED_ID = "no date", "unreadable date", "repeated id"
+# Rows of one time that a single task may put in order when the latest cases are cut.
+ORDERED_ROWS = 10_000
 
 
 def lenient_timestamp(text: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
@@ -64,48 +68,103 @@ def clean_cases(df: DataFrame) -> DataFrame:
     return replace_sentinel(df.select(*[c for c in CASE_COLUMNS if c in df.columns]))
 
 
-def recent_cases(cases: DataFrame, n: int | None = RECENT_ROWS) -> DataFrame:
+def deduplicated_cases(cases: DataFrame) -> DataFrame:
+    """One row per ``dr_no``: the latest, then the one with the greatest other values, nulls being least."""
+    rest = [c for c in cases.columns if c != "dr_no"]
+    rest = [c for c in rest if c == "datetime"] + [c for c in rest if c != "datetime"]
+    one = cases.groupBy("dr_no").agg(F.max(F.struct(*rest)).alias("row"))
+    return one.select("dr_no", "row.*").select(*cases.columns)
+
+
+def dropped_rows(raw: DataFrame, column: str = "date_occ") -> DataFrame:
+    """(reason, rows): how many raw rows do not reach the case table, and why."""
+    text = F.trim(F.col(column))
+    reason = F.when(F.coalesce(text, F.lit("")) == "", F.lit(NO_DATE)).when(
+        lenient_timestamp(F.col(column)).isNull(), F.lit(UNREADABLE_DATE)
+    )
+    per_id = raw.select("dr_no", reason.alias("reason")).groupBy("dr_no", "reason").agg(F.count(F.lit(1)).alias("n"))
+    repeated = F.when(F.col("reason").isNull(), F.lit(REPEATED_ID)).otherwise(F.col("reason"))
+    left_out = F.when(F.col("reason").isNull(), F.col("n") - 1).otherwise(F.col("n"))
+    return (
+        per_id.select(repeated.alias("reason"), left_out.alias("n"))
+        .groupBy("reason")
+        .agg(F.sum("n").alias("rows"))
+        .filter("rows > 0")
+    )
+
+
+def recent_cases(cases: DataFrame, n: int | None = None) -> DataFrame:
     """The ``n`` latest rows, ids ascending within one time; all rows if ``n`` is None.
 
-    A plain sort with a large limit hands every split's first ``n`` rows to one task. Here a count
-    per day finds the day the limit falls on, the ids of that day find the last row to keep, and
-    the wide rows are filtered where they lie. Rows without a date count as the oldest.
+    A sort with a large limit hands every split's first ``n`` rows to one task. Here counts per day,
+    then per time of the last day, then per range of ids of the last time find the last row to keep,
+    and the wide rows are filtered where they lie; each step is one number for the next. Rows without
+    a date count as the oldest; rows that share time and id stay or go together. ``cases`` is read
+    several times: give a stored table.
     """
     if n is None:
         return cases
+    if n <= 0:
+        return cases.limit(0)
     time = F.coalesce("datetime", F.lit("0001-01-01").cast("timestamp_ntz"))
-    keys = cases.select(time.alias("time"), "dr_no")
-    newer = F.sum("rows").over(W.orderBy(F.desc("day"))) - F.col("rows")
-    days = (
-        keys.groupBy(F.to_date("time").alias("day"))
-        .agg(F.count(F.lit(1)).alias("rows"))
-        .withColumn("newer", newer)
-        .filter(F.col("newer") < n)
-    )
-    edge = days.agg(F.max(F.struct("newer", "day"))).scalar()
-    last_day, still_needed = edge["day"], n - edge["newer"]
-    order = [F.desc("time"), F.asc("dr_no")]
-    of_last_day = first_rows(keys.filter(F.to_date("time") == last_day), order, n, (1024, 32))
-    numbered = of_last_day.withColumn("n", F.row_number().over(W.orderBy(*order)))
-    last = numbered.filter(F.col("n") <= still_needed).agg(F.max_by(F.struct("time", "dr_no"), "n")).scalar()
-    return cases.filter(
-        (time > last["time"]) | ((time == last["time"]) & (F.col("dr_no") <= last["dr_no"]))
-    )
+    keys = cases.select(time.alias("time"), F.to_date(time).alias("day"), "dr_no")
+    day = _edge(keys, "day", n)
+    if day is None:
+        return cases
+    keys = keys.filter(F.col("day") == F.lit(day[0]))
+    last_time, needed = _edge(keys, "time", n - day[1])
+    needed = n - day[1] - needed
+    last = F.lit(last_time.isoformat(sep=" ")).cast("timestamp_ntz")
+    last_id = _last_id(keys.filter(F.col("time") == last).select("dr_no"), needed)
+    return cases.filter((time > last) | ((time == last) & (F.col("dr_no") <= last_id)))
+
+
+def _edge(keys: DataFrame, column: str, n: int):
+    """The value of ``column``, counted from the greatest, that row ``n`` has, and the rows before it; None if there is none."""
+    counts = keys.groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
+    newer = F.sum("rows").over(W.orderBy(F.desc(column))) - F.col("rows")
+    found = counts.withColumn("newer", newer).filter((F.col("newer") < n) & (F.col("newer") + F.col("rows") >= n))
+    row = found.select(column, "newer").first()
+    return None if row is None else (row[0], row[1])
+
+
+def _last_id(ids: DataFrame, n: int) -> int:
+    """The ``n``-th id in ascending order, by counts of ever narrower ranges of ids."""
+    while True:
+        low, high, rows = ids.agg(F.min("dr_no"), F.max("dr_no"), F.count(F.lit(1))).first()
+        if low == high or rows <= ORDERED_ROWS:
+            return ids.orderBy("dr_no").limit(n).agg(F.max("dr_no")).first()[0]
+        width = (high - low) // 1000 + 1
+        part = F.floor((F.col("dr_no") - F.lit(low)) / F.lit(width)).cast("long")
+        counted = ids.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("rows")).orderBy("part").collect()
+        before = 0
+        for r in counted:
+            if before + r["rows"] >= n:
+                break
+            before += r["rows"]
+        first = low + r["part"] * width
+        ids, n = ids.filter((F.col("dr_no") >= first) & (F.col("dr_no") < first + width)), n - before
 
 
 def prepare_cases(
-    raw: DataFrame, n: int | None = RECENT_ROWS, keep_time: bool = False, null_token: str = NULL_TOKEN
+    raw: DataFrame, n: int | None = None, keep_time: bool = False, null_token: str = NULL_TOKEN
 ) -> DataFrame:
-    """Normalised raw columns -> typed clean case table."""
+    """Normalised raw columns -> typed clean case table, one row per id.
+
+    With ``n`` the typed table is stored once, since finding the latest rows reads it several times.
+    """
     dated = parse_dates(raw, keep_time=keep_time)
-    return recent_cases(with_case_types(clean_cases(build_mo_text(dated, null_token))), n)
+    typed = deduplicated_cases(with_case_types(clean_cases(build_mo_text(dated, null_token))))
+    if n is None:
+        return typed
+    return recent_cases(write_table(typed, shared_folder(raw.sparkSession, "typed", uuid.uuid4().hex)), n)
 
 
 def preprocess_cases(
     spark: SparkSession,
     input_path: str,
     output_path: str,
-    n: int | None = RECENT_ROWS,
+    n: int | None = None,
     keep_time: bool = False,
     output_format: str = "parquet",
 ) -> None:

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.text import text_id
-from caselink.operators.skew import heavy_keys, spread_join, top_per_key
+from caselink.operators.skew import first_rows, heavy_keys, spread_join, top_per_key
 from caselink.schema import CASE_COLUMNS
 from caselink.sources.text_index import TextIndex, leading_cases
 
@@ -123,32 +123,41 @@ def _nearest_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> Da
     )
 
 
-def _reaching_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> DataFrame:
-    """(q_text, c_text, similarity, room): texts that have cases in the pool, and at most how many.
+def _rows_of(texts: Column) -> Column:
+    return F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + t["n_rows"])
 
-    Matches are followed by cases without a common term where they do not fill the pool. Fewer
-    than ``depth`` cases, hence fewer than ``depth`` texts, match then, so the ``2 * depth`` texts
-    with the lowest ids hold enough others; that list is one bounded value.
-    """
+
+def _lists_of_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> DataFrame:
+    """(q_text, near) of every asked text, ``near`` being null without a match."""
     asked = index.texts.select(F.col("text_id").alias("q_text")) if wanted is None else wanted
-    opening = index.texts.orderBy("first_dr").limit(2 * depth).agg(F.collect_list("text_id")).scalar()
-    rows_of = lambda texts: F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + t["n_rows"])
-    nearer = lambda t: rows_of(F.filter("near", lambda o: o["similarity"] > t["similarity"]))
-    entry = lambda text, similarity, room: F.struct(
-        text.alias("c_text"), similarity.alias("similarity"), room.alias("room")
-    )
-    matched = F.coalesce(
-        F.transform("near", lambda t: entry(t["c_text"], t["similarity"], depth - nearer(t))), F.array()
+    return asked.join(_nearest_texts(index, wanted, depth), "q_text", "left")
+
+
+def _reaching_texts(near: DataFrame, depth: int) -> DataFrame:
+    """(q_text, c_text, similarity, room): matching texts that have cases in the pool, and at most how many."""
+    nearer = lambda t: _rows_of(F.filter("near", lambda o: o["similarity"] > t["similarity"]))
+    entry = lambda t: F.struct(t["c_text"].alias("c_text"), t["similarity"].alias("similarity"), (depth - nearer(t)).alias("room"))
+    return near.select("q_text", F.inline(F.transform("near", entry))).filter(F.col("room") > 0)
+
+
+def _fillers(near: DataFrame, cand: DataFrame, depth: int) -> DataFrame:
+    """(q_text, similarity, cand): the cases without a common term that fill up a pool.
+
+    Fewer than ``depth`` cases match then, so the ``2 * depth`` leading cases of the lowest ids hold
+    enough others. They are one bounded value; each text cuts its first missing ones from it, at most
+    as many as it lacks.
+    """
+    opening = first_rows(cand, [F.asc("cand.dr_no")], 2 * depth).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("cand.dr_no").alias("dr_no"), "c_text", "cand")))
     )
-    left_over = depth - F.coalesce(rows_of(F.col("near")), F.lit(0))
+    left_over = depth - F.coalesce(_rows_of(F.col("near")), F.lit(0))
     known = F.coalesce(F.transform("near", lambda t: t["c_text"]), F.array().cast("array<binary>"))
-    others = F.when(left_over > 0, F.array_except(opening, known)).otherwise(F.array().cast("array<binary>"))
-    fillers = F.transform("others", lambda t: entry(t, F.lit(0.0), F.col("left_over")))
+    short = near.select("q_text", left_over.cast("int").alias("left_over"), known.alias("known")).filter("left_over > 0")
+    others = F.filter("all", lambda c: ~F.array_contains("known", c["c_text"]))
     return (
-        asked.join(_nearest_texts(index, wanted, depth), "q_text", "left")
-        .select("q_text", matched.alias("matched"), left_over.alias("left_over"), others.alias("others"))
-        .select("q_text", F.inline(F.concat("matched", fillers)))
-        .filter(F.col("room") > 0)
+        short.withColumn("all", opening.scalar())
+        .select("q_text", F.explode(F.slice(others, F.lit(1), F.col("left_over"))).alias("c"))
+        .select("q_text", F.lit(0.0).alias("similarity"), "c.cand")
     )
 
 
@@ -158,22 +167,26 @@ def candidate_pool(
     """(q_text, pool_rank, similarity, cand): the first ``depth`` cases for each asked text.
 
     The base itself counts in the pool. All cases of a text have the same pool, so it is built
-    once per distinct text. ``cases`` is needed only for a pool deeper than the index was built for.
+    once per distinct text. A pool deeper than the index was built for takes its leading cases from
+    ``cases``, by default the table the index knows.
     """
+    cases = index.cases if cases is None else cases
     if index.leaders is not None and depth <= index.depth:
         leaders = index.leaders.filter(F.col("leader_rank") <= depth)
     elif cases is not None:
         leaders = leading_cases(cases, depth)
     else:
-        raise ValueError(f"the index keeps {index.depth} cases per text, the pool asks for {depth}")
+        raise ValueError(f"the index keeps {index.depth} cases per text and not their table, the pool asks for {depth}")
     wanted = wanted.select("q_text").distinct() if wanted is not None else None
     cand = leaders.select(F.col("text_id").alias("c_text"), "leader_rank", F.struct(*CASE_COLUMNS).alias("cand"))
-    rows = (
-        _reaching_texts(index, wanted, depth)
+    near = _lists_of_texts(index, wanted, depth)
+    matched = (
+        _reaching_texts(near, depth)
         .join(cand, "c_text")
         .filter(F.col("leader_rank") <= F.col("room"))
         .select("q_text", "similarity", "cand")
     )
+    rows = matched.unionByName(_fillers(near, cand, depth))
     order = [F.desc("similarity"), F.asc("cand.dr_no")]
     return top_per_key(rows, ["q_text"], order, depth, "pool_rank")
 

@@ -48,7 +48,9 @@ def first_rows(df: DataFrame, order: Sequence[Column], n: int, levels: Sequence[
     """``orderBy(order).limit(n)`` for tables with many splits.
 
     A plain limit sends ``n`` rows of every split to one task. Here the rows are cut to ``n`` in
-    each of ``levels`` lanes first, so the last task sees ``levels[-1] * n`` rows.
+    each of ``levels`` lanes first, so the last task sees ``levels[-1] * n`` rows. Spark limits rows
+    before the shuffle only up to ``spark.sql.optimizer.windowGroupLimitThreshold`` (1000 by default):
+    meant for small ``n``.
     """
     for lanes in levels:
         within = W.partitionBy("_lane").orderBy(*order)
@@ -77,9 +79,9 @@ def spread_join(
     ``heavy`` is broadcast; its size is bounded by ``heavy_keys``.
     """
     small = F.broadcast(heavy)
-    dealt = F.when(
-        F.col("_lanes").isNotNull(), F.pmod(F.xxhash64(spread_on), F.col("_lanes"))
-    ).otherwise(F.lit(0))
+    lane = lambda n: F.pmod(F.xxhash64(spread_on), n)
+    # Rows without a key find nothing; they are dealt as well, for joins that keep them.
+    dealt = F.when(F.col("_lanes").isNotNull(), lane(F.col("_lanes"))).when(F.col(key).isNull(), lane(F.lit(PARTS))).otherwise(F.lit(0))
     repeated = F.explode(F.sequence(F.lit(0), F.coalesce("_lanes", F.lit(1)) - 1))
     left = left.join(small, key, "left").withColumn("_lane", dealt.cast("int")).drop("_lanes")
     right = right.join(small, key, "left").withColumn("_lane", repeated).drop("_lanes")

@@ -14,6 +14,7 @@ from caselink.plans import evaluation_run, reports, views
 from caselink.schema import FEATURES
 from caselink.sources import cases as case_io
 from caselink.sources import models, text_index
+from caselink.sources.scratch import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +26,8 @@ ID_PATTERN = "1.3"
 TOP_K = 20
 SERVED_K = 10
 LATEST = 1000
+RECENT = 5000
+DEEP_K = 50
 
 QUERIES: dict[str, Query] = {}
 
@@ -57,6 +60,10 @@ def _trained(spark: SparkSession, sf_dir: str, reuse: bool = True) -> ensemble.E
     return evaluation_run.trained(lambda: _document_index(spark, sf_dir), docs, folder, reuse=reuse)
 
 
+def _model_folder(spark: SparkSession, sf_dir: str) -> str:
+    return evaluation_run.model_folder(views.document_cases(spark, sf_dir), views.scratch(spark, sf_dir, "ensemble"))
+
+
 # --- sources, cleaning -------------------------------------------------------------------------
 
 
@@ -111,7 +118,8 @@ def clean_cases(spark, sf_dir):
 
 @query("recent_cases")
 def recent_cases(spark, sf_dir):
-    return prepare.recent_cases(views.cases(spark, sf_dir))
+    cases = views.cases(spark, sf_dir)
+    return prepare.recent_cases(write_table(cases, views.scratch(spark, sf_dir, "recent")), RECENT)
 
 
 @query("latest_cases")
@@ -124,6 +132,21 @@ def prepare_cases(spark, sf_dir):
     return prepare.prepare_cases(case_io.read_raw_cases(spark, views.raw_csv(spark, sf_dir)))
 
 
+@query("prepare_recent_cases")
+def prepare_recent_cases(spark, sf_dir):
+    return prepare.prepare_cases(case_io.read_raw_cases(spark, views.raw_csv(spark, sf_dir)), RECENT)
+
+
+@query("deduplicated_cases")
+def deduplicated_cases(spark, sf_dir):
+    return prepare.deduplicated_cases(case_io.with_case_types(prepare.build_mo_text(prepare.parse_dates(views.raw_cases(spark, sf_dir)))))
+
+
+@query("dropped_rows")
+def dropped_rows(spark, sf_dir):
+    return prepare.dropped_rows(views.raw_cases(spark, sf_dir))
+
+
 @query("case_detail")
 def case_detail(spark, sf_dir):
     asked = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dr_no"))
@@ -223,6 +246,11 @@ def analytics_report(spark, sf_dir):
     return reports.analytics_report(views.cases(spark, sf_dir), views.scratch(spark, sf_dir, "chart_counts"))
 
 
+@query("metrics_report")
+def metrics_report(spark, sf_dir):
+    return reports.headline_report(views.cases(spark, sf_dir), views.scratch(spark, sf_dir, "headline_counts"))
+
+
 # --- text --------------------------------------------------------------------------------------
 
 
@@ -312,6 +340,12 @@ def similar_by_weapon(spark, sf_dir):
     return _rounded(similarity.as_served(_similar(spark, sf_dir, SERVED_K, weapon=WEAPON)), ["similarity"])
 
 
+@query("similar_by_area_deep")
+def similar_by_area_deep(spark, sf_dir):
+    rows = _similar(spark, sf_dir, DEEP_K, area=AREA).filter(F.col("base.dr_no") % 100 == 1)
+    return _rounded(similarity.as_served(rows), ["similarity"])
+
+
 # --- pairs, training ---------------------------------------------------------------------------
 
 
@@ -367,7 +401,7 @@ def document_training_pairs(spark, sf_dir):
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
     model = _trained(spark, sf_dir, reuse=False)
-    pairs = spark.read.parquet(views.scratch(spark, sf_dir, "ensemble") + "/pairs")
+    pairs = spark.read.parquet(_model_folder(spark, sf_dir) + "/pairs")
     return ensemble.score(pairs, model).select(*_pair_ids(), "label", "p_rf", "p_gb", "score")
 
 
@@ -385,7 +419,7 @@ def score_pairs(spark, sf_dir):
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
     _trained(spark, sf_dir)
-    folder = views.scratch(spark, sf_dir, "ensemble")
+    folder = _model_folder(spark, sf_dir)
     saved = models.load(spark, f"{folder}/model")
     return ensemble.score(spark.read.parquet(f"{folder}/pairs"), saved).select(*_pair_ids(), "score")
 
@@ -430,7 +464,7 @@ def evaluate_similarity(spark, sf_dir):
 @query("evaluate_sample")
 def evaluate_sample(spark, sf_dir):
     docs = views.document_cases(spark, sf_dir)
-    bases = linkage.sample_cases(docs, evaluation_run.OFFLINE["eval_cases"])
+    bases = linkage.stored_sample(docs, evaluation_run.OFFLINE["eval_cases"])
     index = _document_index(spark, sf_dir)
     means = evaluation.mean_metrics(
         evaluation.similarity_metrics(index, bases, docs, evaluation_run.OFFLINE["k_values"])

@@ -8,9 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from caselink.operators import ensemble, evaluation, linkage
+from caselink.schema import FEATURES
 from caselink.sources import models
 from caselink.sources.scratch import write_table
-from caselink.sources.text_index import TextIndex
+from caselink.sources.text_index import TextIndex, table_fingerprint
 
 # The two settings in which the evaluation is run.
 OFFLINE = {"eval_cases": 30, "k_values": (1, 3, 5, 10)}
@@ -34,11 +35,13 @@ def trained(
     trees: int = ensemble.TREES,
     reuse: bool = True,
 ) -> ensemble.Ensemble:
-    """The ensemble saved in ``folder``, trained on ``n`` sampled bases if there is none.
+    """The ensemble saved below ``folder``, trained on ``n`` sampled bases if there is none.
 
-    ``index`` may be a function that provides the index; it is called only to train.
+    The model's folder carries the fingerprint of cases and settings. ``index`` may be a function that
+    provides the index; it is called only to train.
     """
     spark = cases.sparkSession
+    folder = model_folder(cases, folder, n, trees)
 
     def fit() -> ensemble.Ensemble:
         texts = index() if callable(index) else index
@@ -54,6 +57,11 @@ def trained(
     return model
 
 
+def model_folder(cases: DataFrame, folder: str, n: int = TRAINING_CASES, trees: int = ensemble.TREES) -> str:
+    """Where the model of these cases and settings, and the pairs it was trained on, lie."""
+    return f"{folder}/{table_fingerprint(cases, f'{n}:{trees}:{linkage.SAMPLE_SEED}:{FEATURES}')}"
+
+
 def compare_rankings(
     index: TextIndex,
     cases: DataFrame,
@@ -66,7 +74,7 @@ def compare_rankings(
     The labels restate features the ensemble is given, so its scores show that it has learnt the
     labelling rule and say nothing about linked cases.
     """
-    bases = linkage.sample_cases(cases, eval_cases)
+    bases = linkage.stored_sample(cases, eval_cases)
     plain = evaluation.similarity_metrics(index, bases, cases, k_values)
     learnt = evaluation.ensemble_metrics(index, model, bases, cases, k_values)
     return evaluation.compare(evaluation.mean_metrics(plain), evaluation.mean_metrics(learnt))
@@ -83,7 +91,7 @@ def run_evaluation(
 ) -> EvaluationRun:
     """Train afresh, then importances and the comparison of both rankings."""
     model = trained(index, cases, folder, n, trees, reuse=False)
-    pairs = cases.sparkSession.read.parquet(f"{folder}/pairs")
+    pairs = cases.sparkSession.read.parquet(f"{model_folder(cases, folder, n, trees)}/pairs")
     return EvaluationRun(
         model,
         linkage.label_rate(pairs),

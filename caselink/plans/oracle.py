@@ -51,7 +51,7 @@ SELECT o_orderkey AS dr_no, o_orderdate AS datetime, n_name AS area_name,
 FROM {_ORDERS}""",
 )
 _part(
-    "raw",
+    "raw_once",
     (),
     f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS dr_no,
@@ -59,20 +59,33 @@ SELECT CAST(o_orderkey AS VARCHAR) AS dr_no,
        CASE WHEN o_totalprice < 20000 THEN 'not recorded'
             WHEN o_totalprice < 40000 THEN NULL
             WHEN o_totalprice < 60000 THEN strftime(o_orderdate, '%Y-%m-%d')
+            WHEN o_custkey % 7 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00.000')
+            WHEN o_custkey % 7 = 1 THEN strftime(o_orderdate, '%Y-%m-%d 10:00:00.123')
+            WHEN o_custkey % 7 = 2 THEN strftime(o_orderdate, '%-m/%-d/%Y')
+            WHEN o_custkey % 7 = 3 THEN strftime(o_orderdate, '%Y/%m/%d')
+            WHEN o_custkey % 7 = 4 THEN strftime(o_orderdate, '%m/%d/%Y') || ' 9:30:00 AM'
             ELSE strftime(o_orderdate, '%m/%d/%Y') || ' 01:30:00 PM' END AS date_occ,
        upper(substr(n_name, 1, 1)) || lower(substr(n_name, 2)) AS area_name,
        substr(o_orderpriority, 1, 1) AS crm_cd,
        substr(o_orderpriority, 3) AS crm_cd_desc,
        CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'nan' ELSE nullif(c_mktsegment, 'FURNITURE') END AS weapon_desc,
-       CAST(CAST(floor(c_acctbal / 100) AS INTEGER) AS VARCHAR) AS vict_age,
+       CAST(CAST(floor(c_acctbal / 100) AS INTEGER) AS VARCHAR) || CASE WHEN o_custkey % 3 = 0 THEN '.0' ELSE '' END AS vict_age,
        CASE WHEN o_totalprice <= 450000 THEN o_orderstatus END AS vict_sex
 FROM {_ORDERS}""",
 )
+_part(
+    "raw",
+    ("raw_once",),
+    """
+SELECT * FROM raw_once
+UNION ALL SELECT * REPLACE (NULL AS weapon_desc) FROM raw_once WHERE CAST(dr_no AS BIGINT) % 100 = 1""",
+)
 _part(
     "dated",
     ("raw",),
     """
-SELECT *, coalesce(try_strptime(date_occ, '%m/%d/%Y %I:%M:%S %p'), try_strptime(date_occ, '%Y-%m-%d')) AS occurred
+SELECT *, coalesce(
+  try_strptime(date_occ, ['%m/%d/%Y %I:%M:%S %p', '%Y-%m-%d', '%Y-%m-%dT%H:%M:%S.%g', '%Y-%m-%d %H:%M:%S.%g', '%m/%d/%Y', '%Y/%m/%d'])) AS occurred
 FROM raw WHERE occurred IS NOT NULL""",
 )
 _MO_TEXT = """lower(crm_cd_desc) || ' ' || coalesce(lower(weapon_desc), 'nan') || ' ' || lower(area_name)"""
@@ -83,9 +96,19 @@ _part(
 SELECT CAST(dr_no AS BIGINT) AS dr_no, CAST(CAST(occurred AS DATE) AS TIMESTAMP) AS datetime, area_name,
        CAST(crm_cd AS INTEGER) AS crm_cd, crm_cd_desc,
        CASE WHEN weapon_desc = 'nan' THEN 'unknown' ELSE weapon_desc END AS weapon_desc,
-       CAST(vict_age AS INTEGER) AS vict_age, vict_sex, {_MO_TEXT} AS mo_text
+       CAST(CAST(vict_age AS DOUBLE) AS INTEGER) AS vict_age, vict_sex, {_MO_TEXT} AS mo_text
 FROM dated""",
 )
+_UNIQUE = """SELECT * FROM {} QUALIFY row_number() OVER (PARTITION BY dr_no ORDER BY datetime DESC NULLS LAST,
+  area_name DESC NULLS LAST, crm_cd DESC NULLS LAST, crm_cd_desc DESC NULLS LAST, weapon_desc DESC NULLS LAST,
+  vict_age DESC NULLS LAST, vict_sex DESC NULLS LAST, mo_text DESC NULLS LAST) = 1"""
+_part("unique_prepared", ("prepared",), _UNIQUE.format("prepared"))
+_part(
+    "typed",
+    ("prepared",),
+    "SELECT * REPLACE (CASE WHEN weapon_desc = 'unknown' THEN 'nan' ELSE weapon_desc END AS weapon_desc) FROM prepared",
+)
+_part("unique_typed", ("typed",), _UNIQUE.format("typed"))
 _part("timed", (), "SELECT event_id AS dr_no, ts AS datetime, event_type AS crm_cd_desc FROM events")
 _part(
     "docs",
@@ -95,7 +118,7 @@ SELECT d.doc_id AS dr_no, ts AS datetime, source AS area_name,
        CAST(length(CAST(n_chars AS VARCHAR)) AS INTEGER) AS crm_cd,
        'length ' || length(CAST(n_chars AS VARCHAR)) AS crm_cd_desc, lang AS weapon_desc,
        CAST(20 + 10 * quality + 5 * toxic AS INTEGER) AS vict_age, CAST(quality AS VARCHAR) AS vict_sex, text AS mo_text
-FROM documents d JOIN events ON d.doc_id = event_id LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+FROM documents d LEFT JOIN events ON d.doc_id = event_id LEFT JOIN labels l ON d.doc_id = l.doc_id""",
 )
 
 
@@ -156,7 +179,7 @@ FROM {p}texts q CROSS JOIN {p}texts c LEFT JOIN {p}cosines s ON s.q = q.mo_text
         f"""
 SELECT q, similarity, s.*,
        CAST(row_number() OVER (PARTITION BY q ORDER BY similarity DESC, dr_no) AS INTEGER) AS pool_rank
-FROM {p}all_cosines JOIN {source} s ON s.mo_text = c QUALIFY pool_rank <= 200""",
+FROM {p}all_cosines JOIN {source} s ON s.mo_text = c QUALIFY pool_rank <= {10 * catalog.DEEP_K}""",
     )
     for name, n in (("sampled", evaluation_run.TRAINING_CASES), ("evaluated", evaluation_run.OFFLINE["eval_cases"])):
         _part(
@@ -174,6 +197,7 @@ _similarity_parts("doc_", "docs")
 
 def _list_part(name: str, k: int, bases: str = "cases", keep: str = "", pool: str = "pool") -> None:
     """Ranked lists of length k: pool, not the base, filter, first k."""
+    depth = max(200, 10 * k)
     _part(
         name,
         (pool, bases),
@@ -182,7 +206,7 @@ SELECT b.dr_no AS q_id, b.datetime AS b_datetime, b.area_name AS b_area, b.crm_c
        b.weapon_desc AS b_weapon, b.vict_age AS b_age, b.vict_sex AS b_sex, b.mo_text AS b_text,
        CAST(row_number() OVER (PARTITION BY b.dr_no ORDER BY p.pool_rank) AS INTEGER) AS rank, p.*
 FROM {bases} b JOIN {pool} p ON p.q = b.mo_text
-WHERE p.dr_no <> b.dr_no {keep} QUALIFY rank <= {k}""",
+WHERE p.pool_rank <= {depth} AND p.dr_no <> b.dr_no {keep} QUALIFY rank <= {k}""",
     )
 
 
@@ -190,6 +214,7 @@ _list_part("top_list", catalog.TOP_K)
 _list_part("served_list", catalog.SERVED_K)
 _list_part("area_list", catalog.SERVED_K, keep=f"AND p.area_name = '{catalog.AREA}'")
 _list_part("weapon_list", catalog.SERVED_K, keep=f"AND p.weapon_desc = '{catalog.WEAPON}'")
+_list_part("area_deep_list", catalog.DEEP_K, keep=f"AND p.area_name = '{catalog.AREA}' AND b.dr_no % 100 = 1")
 _list_part("training_list", 15, "sampled")
 _list_part("doc_training_list", 15, "doc_sampled", pool="doc_pool")
 _list_part("doc_evaluated_list", max(evaluation_run.OFFLINE["k_values"]), "doc_evaluated", pool="doc_pool")
@@ -302,7 +327,7 @@ def _ranked_chart(metric: str, column: str, n: int | None) -> str:
 def oracle_sql() -> dict[str, str]:
     raw_all = _with(("raw",), "SELECT * FROM raw")
     cases_all = _with(("cases",), "SELECT * FROM cases")
-    n = prepare.RECENT_ROWS
+    n = catalog.RECENT
     newest = "ORDER BY datetime DESC, dr_no LIMIT"
     metric = lambda c: _with(("scored",), f"SELECT dr_no, k, round({c}, 6) AS {c} FROM scored")
     return {
@@ -324,7 +349,16 @@ def oracle_sql() -> dict[str, str]:
         "clean_cases": _with(("prepared",), "SELECT * FROM prepared"),
         "recent_cases": _with(("cases",), f"SELECT * FROM cases {newest} {n}"),
         "latest_cases": _with(("timed",), f"SELECT * FROM timed {newest} {catalog.LATEST}"),
-        "prepare_cases": _with(("prepared",), f"SELECT * FROM prepared {newest} {n}"),
+        "prepare_cases": _with(("unique_prepared",), "SELECT * FROM unique_prepared"),
+        "prepare_recent_cases": _with(("unique_prepared",), f"SELECT * FROM unique_prepared {newest} {n}"),
+        "deduplicated_cases": _with(("unique_typed",), "SELECT * FROM unique_typed"),
+        "dropped_rows": _with(
+            ("raw", "dated"),
+            f"""SELECT * FROM (
+  SELECT '{prepare.NO_DATE}' AS reason, count(*) AS rows FROM raw WHERE coalesce(trim(date_occ), '') = ''
+  UNION ALL SELECT '{prepare.UNREADABLE_DATE}', (SELECT count(date_occ) FROM raw) - (SELECT count(*) FROM dated)
+  UNION ALL SELECT '{prepare.REPEATED_ID}', count(*) - count(DISTINCT dr_no) FROM dated) WHERE rows > 0""",
+        ),
         "case_detail": _with(
             ("cases",),
             """SELECT dr_no, strftime(datetime, '%Y-%m-%d') AS datetime, area_name, crm_cd, crm_cd_desc, weapon_desc,
@@ -387,7 +421,22 @@ UNION ALL {_ranked_chart("top_weapons", _WEAPON, 10)}
 UNION ALL {_ranked_chart("sex_breakdown", _SEX, None)}
 UNION ALL SELECT 'age_groups', pos, name, count FROM ({_AGES})
 UNION ALL SELECT 'day_of_week', pos, name, count FROM ({_weekdays('cases')})
-UNION ALL SELECT 'hour_of_day', CAST(hour(datetime) AS INTEGER), CAST(hour(datetime) AS VARCHAR), count(*) FROM cases GROUP BY ALL""",
+UNION ALL SELECT 'hour_of_day', CAST(hour(datetime) AS INTEGER), CAST(hour(datetime) AS VARCHAR), count(*) FROM cases GROUP BY ALL
+UNION ALL SELECT 'yoy_trend', CAST((dense_rank() OVER (ORDER BY y) - 1) * 12 + month_num - 1 AS INTEGER), month || ' ' || y, count(datetime)
+FROM {_MONTHS_AXIS} CROSS JOIN (SELECT DISTINCT year(datetime) AS y FROM cases WHERE datetime IS NOT NULL)
+LEFT JOIN cases ON month(datetime) = month_num AND year(datetime) = y GROUP BY y, month_num, month""",
+        ),
+        "metrics_report": _with(
+            ("cases",),
+            f"""SELECT 'summary' AS metric, 0 AS pos, 'total_cases' AS name, count(*) AS count FROM cases
+UNION ALL SELECT 'summary', 1, 'distinct_areas', count(DISTINCT area_name) FROM cases
+UNION ALL SELECT 'summary', 2, 'crime_types', count(DISTINCT crm_cd_desc) FROM cases
+UNION ALL SELECT 'summary', 3, 'time_span_days',
+  CAST(coalesce(floor((epoch_us(max(datetime)) - epoch_us(min(datetime))) / 86400000000), 0) AS BIGINT) FROM cases
+UNION ALL SELECT 'summary', 4, 'min_date ' || strftime(min(datetime), '%Y-%m-%d'), NULL FROM cases
+UNION ALL SELECT 'summary', 5, 'max_date ' || strftime(max(datetime), '%Y-%m-%d'), NULL FROM cases
+UNION ALL {_ranked_chart("top_areas", "area_name", 5)}
+UNION ALL {_ranked_chart("top_weapons", _WEAPON, 5)}""",
         ),
         "tokenize_text": _with(
             ("docs",),
@@ -416,10 +465,11 @@ FROM (SELECT * FROM cases ORDER BY datetime DESC, dr_no LIMIT 1) b
 JOIN all_cosines s ON s.q = b.mo_text JOIN cases c ON c.mo_text = s.c""",
         ),
         "candidate_pool": _with(
-            ("pool",), "SELECT q AS mo_text, pool_rank, dr_no, round(similarity, 6) AS similarity FROM pool"
+            ("pool",), "SELECT q AS mo_text, pool_rank, dr_no, round(similarity, 6) AS similarity FROM pool WHERE pool_rank <= 200"
         ),
         "similar_cases": _with(("top_list",), f"SELECT {_SERVED} FROM top_list"),
         "similar_by_area": _with(("area_list",), f"SELECT {_SERVED} FROM area_list"),
+        "similar_by_area_deep": _with(("area_deep_list",), f"SELECT {_SERVED} FROM area_deep_list"),
         "similar_by_weapon": _with(("weapon_list",), f"SELECT {_SERVED} FROM weapon_list"),
         "pair_features": _with(("served_list",), f"SELECT q_id, dr_no, {_FEATURES} FROM served_list"),
         "relevance_labels": _with(("served_list",), f"SELECT q_id, dr_no, {_LABEL} AS label FROM served_list"),

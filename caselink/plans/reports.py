@@ -22,6 +22,49 @@ def metrics_report(cases: DataFrame, category: str = IDENTITY_THEFT) -> dict[str
     }
 
 
+def headline_report(cases: DataFrame, folder: str, n: int = 5) -> DataFrame:
+    """Headline figures and top lists from one read of the table: (metric, pos, name, count).
+
+    Counts per area, weapon and crime type also carry the first and last time of their rows, so
+    totals, distinct values and dates follow from the small table of counts in ``folder``.
+    """
+    keys = {
+        "areas": F.col("area_name"),
+        "weapons": F.coalesce("weapon_desc", F.lit(an.UNKNOWN_WEAPON)),
+        "crime_types": F.col("crm_cd_desc"),
+    }
+    pairs = F.array(*[F.struct(F.lit(m).alias("metric"), k.alias("key")) for m, k in keys.items()])
+    counted = write_table(
+        cases.select("datetime", F.inline(pairs))
+        .groupBy("metric", "key")
+        .agg(F.count(F.lit(1)).alias("count"), F.min("datetime").alias("low"), F.max("datetime").alias("high")),
+        folder,
+    )
+    distinct = lambda m: F.count(F.when(F.col("metric") == m, F.col("key")))
+    span = F.floor((F.unix_micros(F.max("high").cast("timestamp")) - F.unix_micros(F.min("low").cast("timestamp"))) / 86_400_000_000)
+    figures = counted.agg(
+        F.sum(F.when(F.col("metric") == "areas", F.col("count"))).alias("total_cases"),
+        distinct("areas").alias("distinct_areas"),
+        distinct("crime_types").alias("crime_types"),
+        F.coalesce(span, F.lit(0)).cast("long").alias("time_span_days"),
+        an.day_text(F.min("low")).alias("min_date"),
+        an.day_text(F.max("high")).alias("max_date"),
+    )
+    entry = lambda i, name, count, text: F.struct(
+        F.lit("summary").alias("metric"), F.lit(i).alias("pos"), text.alias("name"), count.cast("long").alias("count")
+    )
+    numbers = [entry(i, c, F.coalesce(F.col(c), F.lit(0)), F.lit(c)) for i, c in enumerate(("total_cases", "distinct_areas", "crime_types", "time_span_days"))]
+    dates = [entry(4 + i, c, F.lit(None), F.concat(F.lit(f"{c} "), F.col(c))) for i, c in enumerate(("min_date", "max_date"))]
+    report = figures.select(F.inline(F.array(*numbers, *dates)))
+    for metric in ("areas", "weapons"):
+        order = W.orderBy(F.desc("count"), F.asc("key"))
+        top = counted.filter((F.col("metric") == metric) & F.col("key").isNotNull()).withColumn("pos", F.row_number().over(order) - 1)
+        report = report.unionByName(
+            top.filter(F.col("pos") < n).select(F.lit(f"top_{metric}").alias("metric"), "pos", F.col("key").alias("name"), "count")
+        )
+    return report
+
+
 def analytics_report(cases: DataFrame, folder: str, n: int = 10) -> DataFrame:
     """All charts from one read of the table: (metric, pos, name, count).
 
@@ -58,6 +101,14 @@ def analytics_report(cases: DataFrame, folder: str, n: int = 10) -> DataFrame:
     position = F.col("key").cast("int")
     months = an.fill_months(of("monthly_trend", F.to_date("key", "yyyy-MM"), "start"))
     hours = of("hour_of_day", position, "pos")
+    by_month = of("monthly_trend", F.to_date("key", "yyyy-MM"), "start")
+    years = by_month.select(F.year("start").alias("year")).distinct()
+    year_axis = years.withColumn("first", (F.row_number().over(W.orderBy("year")) - 1) * 12).select(
+        "year", "first", F.posexplode(F.array(*[F.lit(m) for m in an.MONTHS])).alias("at", "month")
+    )
+    by_year = year_axis.join(
+        by_month.select(F.year("start").alias("year"), (F.month("start") - 1).alias("at"), "count"), ["year", "at"], "left"
+    )
     charts = {
         "monthly_trend": months.select(
             F.col("month").alias("name"), "count", (F.row_number().over(W.orderBy("month")) - 1).alias("pos")
@@ -68,6 +119,11 @@ def analytics_report(cases: DataFrame, folder: str, n: int = 10) -> DataFrame:
         "sex_breakdown": by_count("sex_breakdown"),
         "day_of_week": an.onto_axis(of("day_of_week", position, "pos"), an.WEEKDAYS),
         "hour_of_day": hours.withColumn("name", F.col("pos").cast("string")),
+        "yoy_trend": by_year.select(
+            (F.col("first") + F.col("at")).alias("pos"),
+            F.concat_ws(" ", "month", F.col("year").cast("string")).alias("name"),
+            F.coalesce("count", F.lit(0)).cast("long").alias("count"),
+        ),
     }
     report = None
     for metric, chart in charts.items():

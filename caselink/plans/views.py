@@ -64,15 +64,27 @@ def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same orders as an untyped export: text dates, some of them blank or no dates at all."""
+    """The same orders as an untyped export: dates in many spellings, some blank or no dates at all.
+
+    Some ages are spelled with a decimal, and every hundredth order comes a second time without its weapon.
+    """
+    spelled = [
+        F.date_format("o_orderdate", "yyyy-MM-dd'T'00:00:00.000"),
+        F.date_format("o_orderdate", "yyyy-MM-dd 10:00:00.123"),
+        F.date_format("o_orderdate", "M/d/yyyy"),
+        F.date_format("o_orderdate", "yyyy/MM/dd"),
+        F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" 9:30:00 AM")),
+    ]
+    other = F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" 01:30:00 PM"))
     date = (
         F.when(F.col("o_totalprice") < 20000, F.lit("not recorded"))
         .when(F.col("o_totalprice") < 40000, F.lit(None).cast("string"))
         .when(F.col("o_totalprice") < 60000, F.date_format("o_orderdate", "yyyy-MM-dd"))
-        .otherwise(F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" 01:30:00 PM")))
+        .otherwise(F.coalesce(F.get(F.array(*spelled), (F.col("o_custkey") % 7).cast("int")), other))
     )
+    age = F.concat(F.col("age").cast("string"), F.when(F.col("o_custkey") % 3 == 0, F.lit(".0")).otherwise(F.lit("")))
     weapon = F.when(F.col("c_mktsegment") == "HOUSEHOLD", F.lit("nan")).otherwise(F.col("weapon"))
-    return _orders(spark, sf_dir).select(
+    rows = _orders(spark, sf_dir).select(
         F.col("o_orderkey").cast("string").alias("DR_NO"),
         F.date_format("o_orderdate", "MM/dd/yyyy").alias(" Date Rptd."),
         date.alias("DATE OCC"),
@@ -80,9 +92,11 @@ def raw_export(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("substr(o_orderpriority, 1, 1)").alias("Crm Cd"),
         F.col("crime").alias("Crm Cd Desc"),
         weapon.alias("Weapon Desc"),
-        F.col("age").cast("string").alias("Vict Age"),
+        age.alias("Vict Age"),
         F.when(F.col("o_totalprice") <= 450000, F.col("o_orderstatus")).alias("Vict Sex"),
     )
+    again = rows.filter("DR_NO % 100 = 1").withColumn("Weapon Desc", F.lit(None).cast("string"))
+    return rows.unionByName(again)
 
 
 def raw_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +139,7 @@ def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
     return (
         table(spark, sf_dir, "documents")
-        .join(events, F.col("doc_id") == F.col("event_id"))
+        .join(events, F.col("doc_id") == F.col("event_id"), "left")
         .join(labels, F.col("doc_id") == F.col("label_id"), "left")
         .select(
             F.col("doc_id").alias("dr_no"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,15 +33,12 @@ def read_cases(spark: SparkSession, path: str, format: str = "parquet") -> DataF
 
     A gzip CSV file cannot be split: keep one only for exchange and convert it once to Parquet.
     """
-    reader = spark.read.schema(CASE_SCHEMA)
     if format == "csv":
-        return (
-            reader.option("header", True)
-            .option("escape", '"')
-            .option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]")
-            .csv(path)
-        )
-    return reader.format(format).load(path)
+        # Whole numbers may be spelled 34.0 in a file that other tools wrote.
+        as_text = [T.StructField(f.name, T.StringType() if _is_whole(f) else f.dataType) for f in CASE_SCHEMA.fields]
+        reader = spark.read.schema(T.StructType(as_text)).option("header", True).option("escape", '"')
+        return with_case_types(reader.option("timestampNTZFormat", "yyyy-MM-dd[ HH:mm:ss[.SSSSSS]]").csv(path))
+    return spark.read.schema(CASE_SCHEMA).format(format).load(path)
 
 
 def write_cases(cases: DataFrame, path: str, format: str = "parquet", mode: str = "overwrite") -> None:
@@ -56,13 +53,23 @@ def write_cases(cases: DataFrame, path: str, format: str = "parquet", mode: str
     writer.format(format).save(path)
 
 
+def _is_whole(field: T.StructField) -> bool:
+    return isinstance(field.dataType, T.IntegerType)
+
+
+def _typed(field: T.StructField) -> Column:
+    column = F.col(field.name)
+    typed = column.try_cast(field.dataType)
+    if not _is_whole(field):
+        return typed
+    number = column.try_cast("double")
+    return F.coalesce(typed, F.when(number == F.floor(number), number.try_cast(field.dataType)))
+
+
 def with_case_types(df: DataFrame) -> DataFrame:
-    """Cast the case columns that are present; text that is no number becomes null."""
+    """Cast the case columns that are present; text that is no number becomes null.
+
+    A whole number may be spelled as a decimal (34.0); any other decimal is no crime code or age.
+    """
     have = set(df.columns)
-    return df.select(
-        *[
-            F.col(f.name).try_cast(f.dataType).alias(f.name)
-            for f in CASE_SCHEMA.fields
-            if f.name in have
-        ]
-    )
+    return df.select(*[_typed(f).alias(f.name) for f in CASE_SCHEMA.fields if f.name in have])

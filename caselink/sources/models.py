@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +30,12 @@ def load(spark: SparkSession, path: str) -> Ensemble:
 
 
 def load_or_train(spark: SparkSession, path: str, fit: Callable[[], Ensemble]) -> Ensemble:
-    """The ensemble at ``path``; trained by ``fit`` and saved if it is absent or unreadable."""
+    """The ensemble at ``path``; trained by ``fit`` and saved if no whole one is there.
+
+    Only a missing marker means that; a fault while a whole one is read is the caller's to see.
+    """
     try:
-        return load(spark, path)
-    except (PySparkException, Py4JJavaError):
-        model = fit()
-        save(model, path, spark)
-        return model
+        spark.read.schema("features array<string>").parquet(f"{path}/features")
+    except AnalysisException:
+        save(fit(), path, spark)
+    return load(spark, path)

@@ -7,16 +7,18 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 _FOLDER_SETTING = "spark.checkpoint.dir"
+# This library's own setting; set by it in local runs that name no shared folder.
+_LOCAL_SETTING = "spark.caselink.dir"
 
 
 def shared_folder(spark: SparkSession, *parts: str) -> str:
     """Folder of this application under the one the cluster names in ``spark.checkpoint.dir``."""
-    root = spark.conf.get(_FOLDER_SETTING, None)
+    root = spark.conf.get(_FOLDER_SETTING, None) or spark.conf.get(_LOCAL_SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_FOLDER_SETTING} to a folder that all executors can reach")
         root = tempfile.mkdtemp(prefix="caselink-")
-        spark.conf.set(_FOLDER_SETTING, root)
+        spark.conf.set(_LOCAL_SETTING, root)
     app = f"{root.rstrip('/')}/caselink-{spark.sparkContext.applicationId}"
     return "/".join([app, *parts])
 

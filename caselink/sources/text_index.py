@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +35,7 @@ class TextIndex:
     leaders  text_id, leader_rank, and the case columns: the ``depth`` lowest ids of each text.
              Cases with one text are equally similar to anything and tie on the id, so no pool of
              ``depth`` rows can hold any other case.
+    cases    the table the index was made of; a pool deeper than ``depth`` takes its leaders from it.
     copies   fewest and most cases per text, known for a saved index; lets a query leave out the
              plan branch that no text needs.
     """
@@ -45,6 +46,7 @@ class TextIndex:
     leaders: DataFrame | None
     depth: int
     copies: tuple[int, int] | None = None
+    cases: DataFrame | None = None
 
 
 def leading_cases(cases: DataFrame, depth: int) -> DataFrame:
@@ -69,20 +71,28 @@ def fit(
     idf = keep(inverse_document_frequency(counts, texts), "idf")
     weights = keep(term_weights(counts, idf), "weights")
     leaders = keep(leading_cases(cases, depth), "leaders") if with_leaders else None
-    return TextIndex(texts, idf, weights, leaders, depth)
+    return TextIndex(texts, idf, weights, leaders, depth, cases=cases if with_leaders else None)
 
 
-def fingerprint(cases: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, depth: int = DEPTH) -> str:
-    """Name of the index of exactly these cases under these settings; one pass over the table."""
-    settings = F.lit(f"{depth}:{' '.join(stop_words)}")
+def table_fingerprint(cases: DataFrame, settings: str) -> str:
+    """Name of exactly these cases under these settings; one pass over the table.
+
+    Digests of rows are added up, so that repeated rows count as often as they occur.
+    """
+    wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
     row = cases.agg(
         F.count(F.lit(1)).alias("rows"),
-        F.bit_xor(F.xxhash64(*CASE_COLUMNS)).alias("a"),
-        F.bit_xor(F.xxhash64(settings, *CASE_COLUMNS)).alias("b"),
-    ).select(F.md5(F.concat_ws(":", "rows", "a", "b", settings)).alias("name"))
+        wide(*CASE_COLUMNS).alias("a"),
+        wide(F.lit(settings), *reversed(CASE_COLUMNS)).alias("b"),
+    ).select(F.md5(F.concat_ws(":", "rows", "a", "b", F.lit(settings))).alias("name"))
     return row.first()["name"]
 
 
+def fingerprint(cases: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, depth: int = DEPTH) -> str:
+    """Name of the index of exactly these cases under these settings."""
+    return table_fingerprint(cases, f"{depth}:{' '.join(stop_words)}")
+
+
 def load(spark: SparkSession, path: str) -> TextIndex | None:
     """The index saved at ``path``, or None if there is no complete one."""
     try:
@@ -103,16 +113,21 @@ def _save_about(index: TextIndex, path: str) -> None:
 
 
 def load_or_fit(
-    cases: DataFrame, path: str, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, depth: int = DEPTH
+    cases: DataFrame,
+    path: str,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    depth: int = DEPTH,
+    version: str | None = None,
 ) -> TextIndex:
     """Load the index of these cases from below ``path``; fit and save it if it is not there.
 
-    The folder carries the fingerprint of the table, so an index of older data is never used.
+    The folder carries the fingerprint of the table, so an index of older data is never used. A caller
+    who knows the table's ``version`` (a snapshot id, say) saves the pass that takes the fingerprint.
     """
     spark = cases.sparkSession
-    folder = f"{path}/{fingerprint(cases, stop_words, depth)}"
+    folder = f"{path}/{version or fingerprint(cases, stop_words, depth)}"
     found = load(spark, folder)
-    if found is not None:
-        return found
-    _save_about(fit(cases, stop_words, depth, folder), folder)
-    return load(spark, folder)
+    if found is None:
+        _save_about(fit(cases, stop_words, depth, folder), folder)
+        found = load(spark, folder)
+    return replace(found, cases=cases)

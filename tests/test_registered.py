@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as contract
+from caselink.plans import catalog, oracle
 from compare import connect, differences
 from conftest import SMALL
 
@@ -16,8 +17,8 @@ TRAINED = {
     "compare_models",
     "compare_models_served",
 }
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
+QUERIES = catalog.QUERIES
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -28,6 +29,7 @@ def duck():
 def test_all_other_queries_have_sql():
     assert set(QUERIES) - set(SQL) == TRAINED
     assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
