@@ -111,7 +111,7 @@ def recent_cases(cases: DataFrame, n: int | None = None) -> DataFrame:
     day = _edge(keys, "day", n)
     if day is None:
         return cases
-    keys = keys.filter(F.col("day") == F.lit(day[0]))
+    keys = keys.filter(F.col("day") == F.lit(day[0].isoformat()).cast("date"))
     last_time, needed = _edge(keys, "time", n - day[1])
     needed = n - day[1] - needed
     last = F.lit(last_time.isoformat(sep=" ")).cast("timestamp_ntz")

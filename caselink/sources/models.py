@@ -37,5 +37,7 @@ def load_or_train(spark: SparkSession, path: str, fit: Callable[[], Ensemble]) -
     try:
         spark.read.schema("features array<string>").parquet(f"{path}/features")
     except AnalysisException:
-        save(fit(), path, spark)
+        model = fit()
+        save(model, path, spark)
+        return model
     return load(spark, path)

@@ -121,7 +121,7 @@ def learnt(spark, tmp_path_factory):
     docs = views.document_cases(spark, SMALL)
     index = text_index.load_or_fit(docs, f"{folder}/index")
     run = evaluation_run.run_evaluation(index, docs, f"{folder}/run", n=60, eval_cases=10, k_values=(1, 3), trees=5)
-    return index, docs, run, f"{folder}/run"
+    return index, docs, run, evaluation_run.model_folder(docs, f"{folder}/run", 60, 5)
 
 
 def test_run_evaluation(spark, learnt):
@@ -160,14 +160,27 @@ def test_ranking_and_reload(spark, learnt):
     assert sorted(map(tuple, reloaded.collect())) == sorted(tuple(r[c] for c in key) for r in rows)
 
 
-def test_unreadable_model_is_trained_again(spark, learnt, tmp_path):
-    (tmp_path / "model").mkdir()
-    (tmp_path / "model" / "features").write_text("no parquet")
+def test_model_folder_follows_cases_and_settings(learnt):
+    docs = learnt[1]
+    folders = [evaluation_run.model_folder(docs, "f", n, trees) for n, trees in ((60, 5), (61, 5), (60, 6))]
+    folders.append(evaluation_run.model_folder(docs.filter("dr_no > 3"), "f", 60, 5))
+    assert len(set(folders)) == 4 and folders[0] == evaluation_run.model_folder(docs, "f", 60, 5)
+
+
+def test_model_without_its_marker_is_trained_again(spark, learnt, tmp_path):
+    (tmp_path / "model" / "forest").mkdir(parents=True)
     model = models.load_or_train(spark, str(tmp_path / "model"), lambda: learnt[2].model)
     assert model is learnt[2].model
     assert models.load(spark, str(tmp_path / "model")).features == model.features
 
 
+def test_a_fault_in_a_saved_model_is_no_reason_to_train(spark, learnt, tmp_path):
+    (tmp_path / "features").mkdir()
+    (tmp_path / "features" / "part-0.parquet").write_text("no parquet")
+    with pytest.raises(Exception):
+        models.load_or_train(spark, str(tmp_path), lambda: pytest.fail("trained"))
+
+
 def test_features_can_be_left_out(spark, learnt):
     pairs = spark.read.parquet(f"{learnt[3]}/pairs")
     kept = [f for f in FEATURES if f not in ("sex_match", "age_difference")]

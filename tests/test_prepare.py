@@ -20,6 +20,13 @@ def test_headers():
         ("2024-03-05 13:30:00", datetime(2024, 3, 5, 13, 30)),
         ("2024-03-05", datetime(2024, 3, 5)),
         ("03/05/2024", datetime(2024, 3, 5)),
+        ("2020-03-01T00:00:00.000", datetime(2020, 3, 1)),
+        ("2020-03-01 10:00:00.123", datetime(2020, 3, 1, 10, 0, 0, 123000)),
+        ("2020-03-01T10:00:00.123456", datetime(2020, 3, 1, 10, 0, 0, 123456)),
+        ("1/5/2024", datetime(2024, 1, 5)),
+        ("1/5/2024 7:05", datetime(2024, 1, 5, 7, 5)),
+        ("01/05/2024 9:30:00 AM", datetime(2024, 1, 5, 9, 30)),
+        ("2024/01/05", datetime(2024, 1, 5)),
         ("13/45/2024", None),
         ("", None),
         (None, None),
@@ -77,6 +84,38 @@ def test_recent_cases_within_one_time(spark):
     assert sorted(r["dr_no"] for r in prepare.recent_cases(rows, 130).collect()) == sorted(expected)
 
 
+def test_recent_cases_by_ranges_of_ids(spark, make_cases, monkeypatch):
+    monkeypatch.setattr(prepare, "ORDERED_ROWS", 3)
+    ids = [i * i * 7919 % 100_003 for i in range(200)]
+    cases = make_cases(*[{"dr_no": i, "datetime": datetime(2024, 1, 1)} for i in ids])
+    for n in (1, 2, 50, 199, 200):
+        assert sorted(r["dr_no"] for r in prepare.recent_cases(cases, n).collect()) == sorted(ids)[:n]
+
+
+def test_one_row_per_id(spark, make_cases):
+    rows = [
+        {"dr_no": 1, "datetime": datetime(2024, 1, 1), "area_name": "B"},
+        {"dr_no": 1, "datetime": datetime(2024, 1, 2), "area_name": "A"},
+        {"dr_no": 1, "datetime": datetime(2024, 1, 2), "area_name": None},
+        {"dr_no": 2}, {"dr_no": 2}, {"dr_no": 2, "vict_age": 5},
+    ]
+    got = {r["dr_no"]: r for r in prepare.deduplicated_cases(make_cases(*rows)).collect()}
+    assert len(got) == 2 and got[1]["area_name"] == "A" and got[2]["vict_age"] == 5
+
+
+def test_dropped_rows_are_counted(spark):
+    rows = [("1", "2024-01-05"), ("1", "2024-01-05"), ("1", "soon"), ("2", None), ("3", " "), ("4", "never"), ("5", "1/5/2024")]
+    raw = spark.createDataFrame(rows, "dr_no string, date_occ string")
+    got = {r["reason"]: r["rows"] for r in prepare.dropped_rows(raw).collect()}
+    assert got == {prepare.REPEATED_ID: 1, prepare.UNREADABLE_DATE: 2, prepare.NO_DATE: 2}
+
+
+def test_whole_numbers_with_a_decimal(spark):
+    raw = spark.createDataFrame([("1", "34.0", "510"), ("2", "34.5", "x"), ("3", None, "1e2")], "dr_no string, vict_age string, crm_cd string")
+    got = [(r["vict_age"], r["crm_cd"]) for r in case_io.with_case_types(raw).orderBy("dr_no").collect()]
+    assert got == [(34, 510), (None, None), (None, 100)]
+
+
 def test_files(spark, tmp_path):
     raw = tmp_path / "raw.csv"
     raw.write_text(

@@ -1,5 +1,7 @@
 import random
 
+from dataclasses import replace
+
 import pytest
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import functions as F
@@ -119,8 +121,8 @@ def test_deeper_pool_than_the_index(spark, make_cases, tmp_path):
     cases = make_cases(*[{"dr_no": i, "mo_text": t} for i, t in enumerate(texts)])
     index = text_index.load_or_fit(cases, str(tmp_path), depth=3)
     with pytest.raises(ValueError):
-        sim.candidate_pool(index, None, 8)
-    got = as_lists(sim.similar_cases(index, cases, 7, cases=cases))
+        sim.candidate_pool(replace(index, cases=None), None, 8)
+    got = as_lists(sim.similar_cases(index, cases, 7))
     full = pools(range(50), texts, 50)
     assert {q: [c for c, _ in h] for q, h in got.items()} == {q: [c for c, _ in h if c != q][:7] for q, h in full.items()}
 
@@ -172,6 +174,12 @@ def test_index_is_reused_and_renewed(spark, make_cases, tmp_path):
     assert len(list(tmp_path.iterdir())) == 2
 
 
+def test_repeated_rows_have_fingerprints_of_their_own(make_cases):
+    a, b = {"dr_no": 1, "mo_text": "a"}, {"dr_no": 1, "mo_text": "b"}
+    tables = ([a], [a, a], [b, b], [a, b], [a, a, b, b])
+    assert len({text_index.fingerprint(make_cases(*t)) for t in tables}) == len(tables)
+
+
 def test_plan_limits_groups_before_the_shuffle_and_has_no_python(spark, tmp_path):
     cases = views.cases(spark, SMALL)
     index = text_index.load_or_fit(cases, str(tmp_path))
