@@ -5,6 +5,8 @@ Order everywhere: similarity rounded to 9 places, descending, then the lowest ca
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,20 +39,24 @@ def _rounded(total: Column) -> Column:
 def _sparse_matches(asked: DataFrame, weights: DataFrame, n_asked: Column) -> DataFrame:
     """Cosine of every asked text with every text that shares a term.
 
-    The postings of a frequent term are cut into blocks so that no task makes more than about
-    BLOCK_PAIRS pairs of one term; ``n_asked`` bounds how many asked texts can meet there. Asked
-    rows are repeated per block, which stays small next to the pairs they save a task from.
+    The postings of a frequent term are cut into blocks on both sides so that no task makes more
+    than about BLOCK_PAIRS pairs of one term; ``n_asked`` bounds how many asked texts can meet there.
+    A row is repeated once per block of the other side, that is once per thousands of the pairs it
+    makes. A term whose pairs fit one task is one block.
     """
     meeting = F.least(F.col("n_texts"), n_asked)
-    blocks = F.greatest(F.ceil(F.col("n_texts") * meeting / F.lit(BLOCK_PAIRS)), F.lit(1)).cast("int")
-    left = asked.select(
-        "q_text", "term", "q_weight", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
-    )
+    side = math.isqrt(BLOCK_PAIRS)
+    q_blocks = F.ceil(meeting / F.lit(side))
+    c_blocks = F.ceil(F.col("n_texts") * F.least(meeting, F.lit(side)) / F.lit(BLOCK_PAIRS))
+    blocks = lambda n: F.greatest(n, F.lit(1)).cast("long")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), blocks(n) - 1))
+    own = lambda text, n: F.pmod(F.xxhash64(text), blocks(n))
+    left = asked.select("q_text", "term", "q_weight", own("q_text", q_blocks).alias("q_block"), each(c_blocks).alias("c_block"))
     right = weights.select(
-        F.col("text_id").alias("c_text"), "term", "weight", F.pmod(F.xxhash64("text_id"), blocks).cast("int").alias("block")
+        F.col("text_id").alias("c_text"), "term", "weight", each(q_blocks).alias("q_block"), own("text_id", c_blocks).alias("c_block")
     )
     return (
-        left.join(right, ["term", "block"])
+        left.join(right, ["term", "q_block", "c_block"])
         .groupBy("q_text", "c_text")
         .agg(_rounded(F.sum(F.col("q_weight") * F.col("weight"))))
     )

@@ -1,5 +1,4 @@
 import random
-
 from dataclasses import replace
 
 import pytest
