@@ -484,3 +484,71 @@ def compare_models_served(spark, sf_dir):
     index = _document_index(spark, sf_dir)
     docs = views.document_cases(spark, sf_dir)
     return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir), **evaluation_run.SERVED)
+
+
+# --- properties of the model side that SQL can follow ------------------------------------------
+
+
+def _probable(*columns: str):
+    """Whether all are probabilities and ``score`` is the mean of the first two."""
+    within = F.lit(True)
+    for c in columns:
+        within = within & F.col(c).between(0, 1)
+    return within & (F.abs(F.col("score") - (F.col("p_rf") + F.col("p_gb")) / 2) < 1e-12)
+
+
+@query("train_ensemble_checked")
+def train_ensemble_checked(spark, sf_dir):
+    scored = train_ensemble(spark, sf_dir)
+    return scored.select("q_id", "dr_no", "label", _probable("p_rf", "p_gb", "score").alias("sound"))
+
+
+@query("score_pairs_checked")
+def score_pairs_checked(spark, sf_dir):
+    return score_pairs(spark, sf_dir).select("q_id", "dr_no", _probable("p_rf", "p_gb", "score").alias("sound"))
+
+
+@query("feature_importances_checked")
+def feature_importances_checked(spark, sf_dir):
+    total = lambda c: F.round(F.sum(c), 6).alias(c)
+    return feature_importances(spark, sf_dir).agg(
+        F.array_join(F.sort_array(F.collect_set("feature")), ",").alias("features"), total("rf"), total("gb"), total("avg")
+    )
+
+
+@query("model_roundtrip_checked")
+def model_roundtrip_checked(spark, sf_dir):
+    """Pairs whose score is another after the model was saved and loaded."""
+    model = _trained(spark, sf_dir, reuse=False)
+    folder = _model_folder(spark, sf_dir)
+    pairs = spark.read.parquet(f"{folder}/pairs")
+    again = ensemble.score(ensemble.score(pairs, model).withColumnsRenamed({"score": "before"}).drop("p_rf", "p_gb"), models.load(spark, f"{folder}/model"))
+    changed = F.count(F.when(F.col("score") != F.col("before"), 1))
+    return again.agg(F.count(F.lit(1)).alias("pairs"), changed.alias("changed"))
+
+
+@query("ranked_cases_checked")
+def ranked_cases_checked(spark, sf_dir):
+    """Per base: length of its list, its last rank, how often it is on its own list, rows whose features are all there."""
+    explained = F.count(F.when(F.col("features.time_decay").isNotNull() & F.col("features.age_difference").isNotNull(), 1))
+    return ranked_cases(spark, sf_dir).groupBy("q_id").agg(
+        F.count(F.lit(1)).alias("hits"),
+        F.max("rank").alias("last_rank"),
+        F.count(F.when(F.col("dr_no") == F.col("q_id"), 1)).alias("own"),
+        explained.alias("explained"),
+    )
+
+
+def _base_side(compared: DataFrame) -> DataFrame:
+    names = ["base_precision", "base_recall", "base_ndcg"]
+    return _rounded(compared.select("k", *names), names)
+
+
+@query("compare_models_checked")
+def compare_models_checked(spark, sf_dir):
+    return _base_side(compare_models(spark, sf_dir))
+
+
+@query("compare_models_served_checked")
+def compare_models_served_checked(spark, sf_dir):
+    return _base_side(compare_models_served(spark, sf_dir))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from caselink.functions.text import ENGLISH_STOP_WORDS
 from caselink.operators import evaluation, prepare
 from caselink.plans import catalog, evaluation_run
+from caselink.schema import FEATURES
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 
@@ -181,7 +182,12 @@ SELECT q, similarity, s.*,
        CAST(row_number() OVER (PARTITION BY q ORDER BY similarity DESC, dr_no) AS INTEGER) AS pool_rank
 FROM {p}all_cosines JOIN {source} s ON s.mo_text = c QUALIFY pool_rank <= {10 * catalog.DEEP_K}""",
     )
-    for name, n in (("sampled", evaluation_run.TRAINING_CASES), ("evaluated", evaluation_run.OFFLINE["eval_cases"])):
+    samples = {
+        "sampled": evaluation_run.TRAINING_CASES,
+        "evaluated": evaluation_run.OFFLINE["eval_cases"],
+        "shown": evaluation_run.SERVED["eval_cases"],
+    }
+    for name, n in samples.items():
         _part(
             f"{p}{name}",
             (source,),
@@ -218,6 +224,7 @@ _list_part("area_deep_list", catalog.DEEP_K, keep=f"AND p.area_name = '{catalog.
 _list_part("training_list", 15, "sampled")
 _list_part("doc_training_list", 15, "doc_sampled", pool="doc_pool")
 _list_part("doc_evaluated_list", max(evaluation_run.OFFLINE["k_values"]), "doc_evaluated", pool="doc_pool")
+_list_part("doc_shown_list", max(evaluation_run.SERVED["k_values"]), "doc_shown", pool="doc_pool")
 
 _SERVED = """q_id, rank, dr_no, strftime(datetime, '%Y-%m-%d') AS datetime, area_name, crm_cd_desc, weapon_desc,
        vict_age, vict_sex, round(similarity, 6) AS similarity, mo_text"""
@@ -278,6 +285,7 @@ FROM {p}per_case""",
 
 _metric_parts("", "top_list", "cases", "cases", evaluation.K_VALUES)
 _metric_parts("doc_", "doc_evaluated_list", "doc_evaluated", "docs", evaluation_run.OFFLINE["k_values"])
+_metric_parts("doc_shown_", "doc_shown_list", "doc_shown", "docs", evaluation_run.SERVED["k_values"])
 
 
 def _means(scored: str) -> str:
@@ -285,6 +293,11 @@ def _means(scored: str) -> str:
        round(avg(f1), 6) AS f1, round(avg(ndcg), 6) AS ndcg FROM {scored} GROUP BY k"""
 
 
+def _base_means(scored: str) -> str:
+    return f"""SELECT k, round(avg(precision), 6) AS base_precision, round(avg(recall), 6) AS base_recall,
+       round(avg(ndcg), 6) AS base_ndcg FROM {scored} GROUP BY k"""
+
+
 def _top(column: str, n: int | None, source: str = "cases") -> str:
     limit = "" if n is None else f" LIMIT {n}"
     return _with(
@@ -496,6 +509,18 @@ FROM (SELECT {_LABEL} AS label FROM training_list)""",
         ),
         "evaluate_similarity": _with(("scored",), _means("scored")),
         "evaluate_sample": _with(("doc_scored",), _means("doc_scored")),
+        "train_ensemble_checked": _with(
+            ("doc_training_list",), f"SELECT q_id, dr_no, {_LABEL} AS label, TRUE AS sound FROM doc_training_list"
+        ),
+        "score_pairs_checked": _with(("served_list",), "SELECT q_id, dr_no, TRUE AS sound FROM served_list"),
+        "feature_importances_checked": "SELECT '" + ",".join(sorted(FEATURES)) + "' AS features, 1.0::DOUBLE AS rf, 1.0::DOUBLE AS gb, 1.0::DOUBLE AS avg",
+        "model_roundtrip_checked": _with(("doc_training_list",), "SELECT count(*) AS pairs, 0::BIGINT AS changed FROM doc_training_list"),
+        "ranked_cases_checked": _with(
+            ("served_list",),
+            "SELECT q_id, count(*) AS hits, max(rank) AS last_rank, count(*) FILTER (dr_no = q_id) AS own, count(*) AS explained FROM served_list GROUP BY q_id",
+        ),
+        "compare_models_checked": _with(("doc_scored",), _base_means("doc_scored")),
+        "compare_models_served_checked": _with(("doc_shown_scored",), _base_means("doc_shown_scored")),
         "document_training_pairs": _with(
             ("doc_training_list",), f"SELECT q_id, dr_no, {_FEATURES}, {_LABEL} AS label FROM doc_training_list"
         ),
