@@ -8,9 +8,10 @@ all 40 bands of 5 with a chance of 2e-5, at 0.8 of 1e-7.
 Documents of one word sequence are one class, represented by its smallest id, before anything is compared.
 Only components are wanted, so not every pair of a band's bucket is: first each member is compared with
 the bucket's smallest id, then, where a bucket still holds several components, with another member of the
-bucket's own, and at last every pair of members that are not yet in one component. Members of
-buckets above ``LARGE`` are then also told apart by a second band that a pair must share. A near-copy group
-of any size so costs about its size in comparisons, and no link between different components is lost.
+bucket's own, and at last all members that are not yet in one component. In buckets of up to ``LARGE``
+members these are pairs; in larger ones members of different components meet in blocks inside tasks, and
+only links come out. A near-copy group that is one component so costs about its size in comparisons, and no
+link between different components of a bucket is lost.
 
 Buckets are found from counts that are summed before the shuffle; joins on hot buckets or hubs
 are left to be split by adaptive execution. Every round's tables are written to the shared folder.
@@ -36,7 +37,10 @@ from caselink.llm.shingles import mix, sequence_shingles, word_sequence
 PERCENT = 75
 BANDS, ROWS = 40, 5
 LARGE = 64
+BLOCK = 256
 _CELLS = 16_384
+#: Shingles of documents that a task remembers while it confirms pairs, 16 MB of texts and sets or so.
+REMEMBERED = 1_000_000
 
 
 def signatures(sets: list[np.ndarray], coordinates: int = BANDS * ROWS) -> np.ndarray:
@@ -109,13 +113,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple[str, np.ndarray]] = {}
+        held = 0
 
         def shingles(key: int, text: str) -> np.ndarray:
-            # Hubs recur in many pairs; a few sets are remembered.
+            # Documents of a group recur in many pairs; the sets met last are remembered.
+            nonlocal held
             if key not in known or known[key][0] != text:
-                if len(known) >= 64:
+                if held > REMEMBERED:
                     known.clear()
+                    held = 0
                 known[key] = (text, sequence_shingles(word_sequence(text)))
+                held += len(known[key][1])
             return known[key][1]
 
         for batch in batches:
@@ -123,7 +131,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
             for i in range(batch.num_rows):
                 x = shingles(a[i], batch.column("text_a")[i].as_py())
-                y = sequence_shingles(word_sequence(batch.column("text_b")[i].as_py()))
+                y = shingles(b[i], batch.column("text_b")[i].as_py())
                 shared = len(x) + len(y) - len(np.union1d(x, y))
                 good[i] = 100 * shared >= PERCENT * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
@@ -172,18 +180,82 @@ def _star_pairs(members: DataFrame, order: Column) -> DataFrame:
     return near.select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
 
-def _cross_pairs(members: DataFrame, bands: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members that are in different components."""
-    sizes = members.groupBy("bucket").count()
-    counted = members.join(sizes, "bucket")
-    few = counted.filter(F.col("count") <= LARGE).select("bucket", "id", "n", "component")
-    many = counted.filter(F.col("count") > LARGE).join(bands.select("id", F.col("bucket").alias("second")), "id").filter("second <> bucket")
-    parts = few.unionByName(many.select(F.xxhash64("bucket", "second").alias("bucket"), "id", "n", "component"))
-    x, y = parts.alias("x"), parts.alias("y")
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """All pairs of a bucket's members that are in different components; for buckets of bounded size."""
+    x, y = members.alias("x"), members.alias("y")
     on = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
     return x.join(y, on & _alike(F.col("x.n"), F.col("y.n"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
 
+def _block_links(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """The links between different components within buckets of any size, found block by block.
+
+    A bucket's largest component is one side, all others are the second one. Both are cut into blocks; each
+    pair of blocks that may hold a link (not two of the first side) meets once, in one group of at most
+    about ``2 * BLOCK`` documents, and only links come out of it.
+    """
+    largest = (
+        members.groupBy("bucket", "component")
+        .count()
+        .groupBy("bucket")
+        .agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.max("count").alias("n_main"), F.sum("count").alias("n_all"))
+    )
+    cuts = lambda n: F.greatest(F.ceil(n / F.lit(BLOCK)), F.lit(1)).cast("int")
+    sided = members.join(largest, "bucket").select(
+        "bucket",
+        "id",
+        "component",
+        (F.col("component") == F.col("main")).alias("is_main"),
+        cuts(F.col("n_main")).alias("n_a"),
+        cuts(F.col("n_all") - F.col("n_main")).alias("n_b"),
+    )
+    own = F.pmod(F.xxhash64("id"), F.when(F.col("is_main"), F.col("n_a")).otherwise(F.col("n_b"))).cast("int")
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    a_block, b_block = F.concat(F.lit("a"), F.col("own")), F.concat(F.lit("b"), F.col("own"))
+    # Blocks of the first side are named a0, a1, ..., those of the second b0, b1, ...
+    of_main = F.transform(upto(F.col("n_b")), lambda j: F.concat_ws("-", a_block, F.concat(F.lit("b"), j)))
+    of_others = F.concat(
+        F.transform(upto(F.col("n_a")), lambda i: F.concat_ws("-", F.concat(F.lit("a"), i), b_block)),
+        F.transform(
+            upto(F.col("n_b")),
+            lambda j: F.concat_ws("-", F.concat(F.lit("b"), F.least(j, F.col("own"))), F.concat(F.lit("b"), F.greatest(j, F.col("own")))),
+        ),
+    )
+    dealt = sided.withColumn("own", own).select(
+        "bucket", "id", "component", F.explode(F.when(F.col("is_main"), of_main).otherwise(of_others)).alias("block")
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        sets = [sequence_shingles(word_sequence(t.as_py())) for t in group.column("text")]
+        size = np.array([len(s) for s in sets], np.int64)
+        shared = shared_counts(sets)
+        good = (100 * shared >= PERCENT * (size[:, None] + size[None] - shared)) & (component[:, None] < component[None])
+        x, y = np.nonzero(good)
+        return pa.table({"a": pa.array(ids[x], pa.int64()), "b": pa.array(ids[y], pa.int64())})
+
+    both = dealt.join(texts.select("id", "text"), "id").select("bucket", "block", "id", "component", "text")
+    return both.groupBy("bucket", "block").applyInArrow(compare, "a long, b long").distinct()
+
+
+def shared_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """How many elements each two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, which, count = np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+    rank = np.cumsum(count > 1) - 1
+    several = count[which] > 1
+    owner, which = owner[several], rank[which[several]]
+    order = np.argsort(which, kind="stable")
+    owner, which = owner[order], which[order]
+    out = np.zeros((len(sets), len(sets)), np.int64)
+    for k in range(0, int(which[-1]) + 1 if len(which) else 0, columns):
+        a, b = np.searchsorted(which, [k, k + columns])
+        held = np.zeros((len(sets), columns), np.float32)
+        held[owner[a:b], which[a:b] - k] = 1
+        out += (held @ held.T).astype(np.int64)
+    return out
+
+
 def duplicate_classes(docs: DataFrame, folder: str) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     rows = stored(prepared(docs), folder, "prepared")
@@ -212,11 +284,18 @@ def duplicate_classes(docs: DataFrame, folder: str) -> DataFrame:
         else:
             split = labelled.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b")
             open_ = stored(labelled.join(split.select("bucket"), "bucket"), folder, f"open-{step}")
-            pairs = _star_pairs(open_, F.xxhash64("id", "bucket")) if step == 1 else _cross_pairs(open_, members.select("id", "bucket"))
+            if step == 2:
+                sizes = open_.groupBy("bucket").count()
+                few = open_.join(sizes.filter(F.col("count") <= LARGE).select("bucket"), "bucket", "left_semi")
+                many = stored(open_.join(sizes.filter(F.col("count") > LARGE).select("bucket"), "bucket", "left_semi"), folder, "many")
+            pairs = _star_pairs(open_, F.xxhash64("id", "bucket")) if step == 1 else _cross_pairs(few)
         pairs = stored(pairs, folder, f"pairs-{step}")
-        if pairs.isEmpty():
+        links = confirmed(pairs, texts)
+        if step == 2 and not many.isEmpty():
+            links = links.unionByName(_block_links(many, texts)).distinct()
+        elif pairs.isEmpty():
             break
-        links = stored(confirmed(pairs, texts), folder, f"links-{step}")
+        links = stored(links, folder, f"links-{step}")
         if labels is None:
             labels = stored(components(links, folder, "components-0"), folder, "labels-0")
         elif not links.isEmpty():

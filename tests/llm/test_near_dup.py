@@ -100,6 +100,7 @@ def groups(r):
 @pytest.mark.parametrize("large", [64, 2])
 def test_components_are_those_of_all_pairs(spark, make_docs, monkeypatch, seed, large):  # noqa: F811
     monkeypatch.setattr(near_dup, "LARGE", large)
+    monkeypatch.setattr(near_dup, "BLOCK", 3 if large == 2 else 256)
     docs = groups(random.Random(seed))
     expected = brute_components(docs)
     got = near_dup.near_duplicates(make_docs(*docs, extra=True)).collect()
@@ -186,3 +187,14 @@ def test_decontamination_is_native(spark, make_docs):  # noqa: F811
     items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
     plan = decontaminate.contamination(spark.read.parquet(f"{SMALL}/documents.parquet"), items)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop", plan)
+
+
+def test_shared_counts():
+    r = np.random.default_rng(4)
+    sets = [np.unique(r.integers(0, 50, n).astype(np.uint64)) for n in (0, 1, 20, 30, 90)]
+    expected = [[len(np.intersect1d(a, b)) * (i != j) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    for columns in (3, 4096):
+        got = near_dup.shared_counts(sets, columns)
+        np.fill_diagonal(got, 0)
+        assert (got == expected).all()
+    assert near_dup.shared_counts([]).shape == (0, 0)
