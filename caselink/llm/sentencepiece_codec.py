@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 Blanks become the mark U+2581 and one mark is put before a text. No piece of the vocabulary holds a mark
-after another character, and none holds a line end, so words (marks, then other characters) and line ends
-are encoded by themselves; each distinct word of a slice is encoded once. The slice's new words are put one
-after another into one array of code points, and
+after another character, none holds a line end, and none goes on from a letter to a digit or an ASCII sign
+(a loader proves which signs hold to that). So texts are cut there; each distinct word is encoded once. A
+slice's new words are put one after another into one array of code points, and
 
 1. a suffix array of it is built by doubling, up to the length of the longest piece,
 2. every piece's range of occurrences in it is found by binary search, for all pieces at once,
@@ -37,7 +37,6 @@ from pyspark.sql import types as T
 from caselink.llm.common import PairMerges, WordStore, id_and_text, pieces, ranges, slices
 
 MARK = "▁"
-_WORD = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
 _SEPARATOR = 0x110000
 
@@ -83,6 +82,20 @@ def read_model(path: str) -> list[tuple[str, float, int]]:
     return out
 
 
+def _word_pattern(normal: list[str]) -> re.Pattern:
+    """Cuts a text where no piece can lie across: before marks, around line ends, and before closed signs.
+
+    A sign is closed if within pieces it only ever follows a mark or a closed sign.
+    """
+    closed = {chr(c) for c in range(33, 127) if not chr(c).isalpha()}
+    neighbours = {(p[i], p[i + 1]) for p in normal for i in range(len(p) - 1)}
+    while broken := {b for a, b in neighbours if b in closed and a != MARK and a not in closed}:
+        closed -= broken
+    signs = "".join(map(re.escape, sorted(closed)))
+    runs = f"{MARK}*[{signs}]+[^{MARK}\n{signs}]*|" if closed else ""
+    return re.compile(f"{MARK}*[^{MARK}\n{signs}]+|{runs}{MARK}+|\n")
+
+
 class Codec:
     """Encodes and decodes texts with the vocabulary of a merge model with byte pieces and no normalisation."""
 
@@ -98,6 +111,7 @@ class Codec:
         for p, _, _ in normal:
             if MARK in p.lstrip(MARK) or "\n" in p or not all(c in id_of for c in p):
                 raise ValueError(f"piece {p!r} does not end with its word or has a character that is no piece")
+        self._word = _word_pattern([p for p, _, _ in normal])
         self._longest = max(len(p) for p, _, _ in normal)
         order = sorted(normal, key=lambda x: x[0])
         self._piece_ids = np.array([i for _, _, i in order], np.int64)
@@ -126,7 +140,7 @@ class Codec:
             later = np.zeros(len(rank), np.int64)
             later[:-step] = rank[step:]
             key = rank * (rank.max() + 1) + later
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             step *= 2
             if step >= self._longest:
                 return order
@@ -209,12 +223,11 @@ class Codec:
         edge_size = np.concatenate([edge_size, np.ones(len(other), np.int64)])
         edge_id = np.concatenate([edge_id, np.full(len(other), self._n)])
 
-        word = np.searchsorted(begins, edge_begin, "right") - 1
-        offset = edge_begin + edge_size - begins[word]
-        order = np.argsort(offset * (len(text) + 1) + edge_begin, kind="stable")
-        edge_begin, edge_size, edge_id, offset, first = (
-            x[order] for x in (edge_begin, edge_size, edge_id, offset, edge_begin == begins[word])
-        )
+        word_begin = np.repeat(begins, sizes + 1)[: len(text)]
+        offset = edge_begin + edge_size - word_begin[edge_begin]
+        order = np.argsort(offset * (len(text) + 1) + edge_begin)
+        edge_begin, edge_size, edge_id, offset = edge_begin[order], edge_size[order], edge_id[order], offset[order]
+        first = edge_begin == word_begin[edge_begin]
         last = np.full(len(text) + 1, -1, np.int64)  # last piece of the prefix that ends before a position
         step = np.zeros(len(text) + 1, np.int64)
         bounds = np.searchsorted(offset, np.arange(1, int(sizes.max(initial=0)) + 2))
@@ -238,7 +251,7 @@ class Codec:
             more = at > begins[owner]
             at, owner = at[more], owner[more]
         ids, owner, ends = (np.concatenate(x) for x in (found_ids, found_words, found_at))
-        order = np.argsort(ends, kind="stable")
+        order = np.argsort(ends)
         ids, owner, ends = ids[order], owner[order], ends[order]
         counts = np.bincount(owner, minlength=len(words))
         outside = np.flatnonzero(ids == self._n)
@@ -260,7 +273,7 @@ class Codec:
         for text in texts:
             n = 0
             for k, piece in enumerate(pieces(text) if text else ()):
-                found = _WORD.findall((MARK if k == 0 else "") + piece.replace(" ", MARK))
+                found = self._word.findall((MARK if k == 0 else "") + piece.replace(" ", MARK))
                 words += found
                 n += len(found)
             counts.append(n)
