@@ -4,8 +4,8 @@ Each task writes one archive. It trains a dictionary on the first records it hol
 are kept for that), puts it into a leading skippable frame and compresses every record as a frame by
 itself, so that a record can be read knowing the dictionary and its offset. Pages with equal payloads of
 ``LEAST_REVISIT`` bytes or more are stored once, by the smallest page id; the others are revisit records
-with the HTTP header only. Pages meet by the digest of their payload: only digests and ids are grouped, and
-a page whose payload is unique needs no partner at all.
+with the HTTP header only. Only digests and ids are grouped to find what repeats; the join with that, by digest,
+shuffles each payload once.
 
 Tasks write under a name of their own attempt and report the archive in a manifest; archives that no
 reported attempt wrote are never read. Readers open the manifest's archives only.
