@@ -342,8 +342,7 @@ def similar_by_weapon(spark, sf_dir):
 
 @query("similar_by_area_deep")
 def similar_by_area_deep(spark, sf_dir):
-    rows = _similar(spark, sf_dir, DEEP_K, area=AREA).filter(F.col("base.dr_no") % 100 == 1)
-    return _rounded(similarity.as_served(rows), ["similarity"])
+    return _rounded(similarity.as_served(_similar(spark, sf_dir, DEEP_K, area=AREA)), ["similarity"])
 
 
 # --- pairs, training ---------------------------------------------------------------------------

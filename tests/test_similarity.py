@@ -9,7 +9,7 @@ from brute import pools, vectors
 from caselink.functions.text import ENGLISH_STOP_WORDS, text_id
 from caselink.operators import similarity as sim
 from caselink.operators import tfidf
-from caselink.plans import views
+from caselink.plans import catalog, views
 from caselink.sources import text_index
 from conftest import SMALL
 
@@ -115,6 +115,20 @@ def test_filters_come_after_the_pool(spark, make_cases, tmp_path, monkeypatch):
     assert lists.filter("hits is null").count() == 60
 
 
+def test_deep_area_lists_of_every_case(spark, make_cases, monkeypatch, tmp_path):
+    """The registered query lists all bases, whatever their id."""
+    texts = corpus(10, 60, 9)
+    areas = [catalog.AREA if i % 3 == 0 else "B" for i in range(60)]
+    cases = make_cases(*[{"dr_no": i, "mo_text": t, "area_name": a} for i, (t, a) in enumerate(zip(texts, areas))])
+    monkeypatch.setattr(views, "cases", lambda spark, sf_dir: cases)
+    monkeypatch.setattr(views, "scratch", lambda spark, sf_dir, name: str(tmp_path / name))
+    got = {}
+    for r in catalog.QUERIES["similar_by_area_deep"](spark, "").orderBy("q_id", "rank").collect():
+        got.setdefault(r["q_id"], []).append(r["dr_no"])
+    full = pools(range(60), texts, 60)
+    assert got == {q: [c for c, _ in hits if c != q and c % 3 == 0][: catalog.DEEP_K] for q, hits in full.items()}
+
+
 def test_deeper_pool_than_the_index(spark, make_cases, tmp_path):
     texts = corpus(7, 50, 5)
     cases = make_cases(*[{"dr_no": i, "mo_text": t} for i, t in enumerate(texts)])
