@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caselink.schema import CASE_COLUMNS
+from caselink.schema import CASE_COLUMNS, CASE_SCHEMA
 from caselink.sources.cases import read_raw_cases, with_case_types, write_cases
 from caselink.sources.scratch import shared_folder, write_table
 
@@ -69,22 +69,31 @@ def clean_cases(df: DataFrame) -> DataFrame:
 
 
 def deduplicated_cases(cases: DataFrame) -> DataFrame:
-    """One row per ``dr_no``: the latest, then the one with the greatest other values, nulls being least."""
+    """One row per ``dr_no``: the latest, then the one with the greatest other values, nulls being least.
+
+    Rows without an id are not known to be repeats, so all of them stay.
+    """
     rest = [c for c in cases.columns if c != "dr_no"]
     rest = [c for c in rest if c == "datetime"] + [c for c in rest if c != "datetime"]
-    one = cases.groupBy("dr_no").agg(F.max(F.struct(*rest)).alias("row"))
-    return one.select("dr_no", "row.*").select(*cases.columns)
+    one = cases.filter(F.col("dr_no").isNotNull()).groupBy("dr_no").agg(F.max(F.struct(*rest)).alias("row"))
+    return one.select("dr_no", "row.*").select(*cases.columns).unionByName(cases.filter(F.col("dr_no").isNull()))
 
 
 def dropped_rows(raw: DataFrame, column: str = "date_occ") -> DataFrame:
-    """(reason, rows): how many raw rows do not reach the case table, and why."""
+    """(reason, rows): how many raw rows do not reach the case table, and why.
+
+    Ids are compared as the case table types them; a row whose id is missing or no whole number is no repeat.
+    """
     text = F.trim(F.col(column))
     reason = F.when(F.coalesce(text, F.lit("")) == "", F.lit(NO_DATE)).when(
         lenient_timestamp(F.col(column)).isNull(), F.lit(UNREADABLE_DATE)
     )
-    per_id = raw.select("dr_no", reason.alias("reason")).groupBy("dr_no", "reason").agg(F.count(F.lit(1)).alias("n"))
+    typed_id = F.col("dr_no").try_cast(CASE_SCHEMA["dr_no"].dataType)
+    per_id = raw.select(typed_id.alias("dr_no"), reason.alias("reason")).groupBy("dr_no", "reason").agg(F.count(F.lit(1)).alias("n"))
     repeated = F.when(F.col("reason").isNull(), F.lit(REPEATED_ID)).otherwise(F.col("reason"))
-    left_out = F.when(F.col("reason").isNull(), F.col("n") - 1).otherwise(F.col("n"))
+    left_out = (
+        F.when(F.col("reason").isNotNull(), F.col("n")).when(F.col("dr_no").isNull(), F.lit(0)).otherwise(F.col("n") - 1)
+    )
     return (
         per_id.select(repeated.alias("reason"), left_out.alias("n"))
         .groupBy("reason")
@@ -99,8 +108,8 @@ def recent_cases(cases: DataFrame, n: int | None = None) -> DataFrame:
     A sort with a large limit hands every split's first ``n`` rows to one task. Here counts per day,
     then per time of the last day, then per range of ids of the last time find the last row to keep,
     and the wide rows are filtered where they lie; each step is one number for the next. Rows without
-    a date count as the oldest; rows that share time and id stay or go together. ``cases`` is read
-    several times: give a stored table.
+    a date count as the oldest, rows without an id as the last of their time; rows that share time and
+    id, or have none, stay or go together. ``cases`` is read several times: give a stored table.
     """
     if n is None:
         return cases
@@ -116,7 +125,8 @@ def recent_cases(cases: DataFrame, n: int | None = None) -> DataFrame:
     needed = n - day[1] - needed
     last = F.lit(last_time.isoformat(sep=" ")).cast("timestamp_ntz")
     last_id = _last_id(keys.filter(F.col("time") == last).select("dr_no"), needed)
-    return cases.filter((time > last) | ((time == last) & (F.col("dr_no") <= last_id)))
+    kept = F.lit(True) if last_id is None else F.col("dr_no") <= last_id
+    return cases.filter((time > last) | ((time == last) & kept))
 
 
 def _edge(keys: DataFrame, column: str, n: int):
@@ -128,10 +138,13 @@ def _edge(keys: DataFrame, column: str, n: int):
     return None if row is None else (row[0], row[1])
 
 
-def _last_id(ids: DataFrame, n: int) -> int:
-    """The ``n``-th id in ascending order, by counts of ever narrower ranges of ids."""
+def _last_id(ids: DataFrame, n: int) -> int | None:
+    """The ``n``-th id in ascending order, by counts of ever narrower ranges of ids; None if rows without an id are needed too."""
+    ids = ids.filter(F.col("dr_no").isNotNull())
     while True:
         low, high, rows = ids.agg(F.min("dr_no"), F.max("dr_no"), F.count(F.lit(1))).first()
+        if n > rows:
+            return None
         if low == high or rows <= ORDERED_ROWS:
             return ids.orderBy("dr_no").limit(n).agg(F.max("dr_no")).first()[0]
         width = (high - low) // 1000 + 1
@@ -149,7 +162,7 @@ def _last_id(ids: DataFrame, n: int) -> int:
 def prepare_cases(
     raw: DataFrame, n: int | None = None, keep_time: bool = False, null_token: str = NULL_TOKEN
 ) -> DataFrame:
-    """Normalised raw columns -> typed clean case table, one row per id.
+    """Normalised raw columns -> typed clean case table, one row per id and all rows without one.
 
     With ``n`` the typed table is stored once, since finding the latest rows reads it several times.
     """

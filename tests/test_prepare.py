@@ -110,6 +110,19 @@ def test_dropped_rows_are_counted(spark):
     assert got == {prepare.REPEATED_ID: 1, prepare.UNREADABLE_DATE: 2, prepare.NO_DATE: 2}
 
 
+def test_rows_without_an_id_stay(spark):
+    rows = [("1", "1/5/2024"), ("01", "1/6/2024"), (None, "1/6/2024"), (None, "1/6/2024"), ("12A", "1/6/2024"), (" ", "1/4/2024"), ("x", "soon")]
+    raw = spark.createDataFrame([(*r, "A", "B") for r in rows], "dr_no string, date_occ string, area_name string, crm_cd_desc string")
+    cases = prepare.prepare_cases(raw)
+    assert sorted((r["dr_no"] or 0, r["datetime"].day) for r in cases.collect()) == [(0, 4), (0, 6), (0, 6), (0, 6), (1, 6)]
+    got = {r["reason"]: r["rows"] for r in prepare.dropped_rows(raw).collect()}
+    assert got == {prepare.REPEATED_ID: 1, prepare.UNREADABLE_DATE: 1}
+    assert raw.count() == cases.count() + sum(got.values())
+    # Within one time the rows without an id are the last, and go together.
+    for n, kept in ((1, [1]), (2, [0, 0, 0, 1]), (4, [0, 0, 0, 1]), (5, [0, 0, 0, 0, 1]), (9, [0, 0, 0, 0, 1])):
+        assert sorted(r["dr_no"] or 0 for r in prepare.prepare_cases(raw, n).collect()) == kept, n
+
+
 def test_whole_numbers_with_a_decimal(spark):
     raw = spark.createDataFrame([("1", "34.0", "510"), ("2", "34.5", "x"), ("3", None, "1e2")], "dr_no string, vict_age string, crm_cd string")
     got = [(r["vict_age"], r["crm_cd"]) for r in case_io.with_case_types(raw).orderBy("dr_no").collect()]
