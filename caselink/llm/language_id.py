@@ -204,10 +204,16 @@ def predictions(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is found with a score of ``least`` or more; columns unchanged."""
+    """The rows of ``docs`` whose language is found with a score of ``least`` or more; columns unchanged.
+
+    Where no row has a language to learn from, the rows that hold a letter.
+    """
+    counts = fit(docs)
+    if len(counts) == 0:
+        return docs.filter(F.coalesce(F.col("text").cast("string").rlike(r"\p{L}"), F.lit(False)))
     prefix = "_found_"
     while any(c.startswith(prefix) for c in docs.columns):
         prefix = "_" + prefix
-    verdict = identify(docs, fit(docs), prefix=prefix)
+    verdict = identify(docs, counts, prefix=prefix)
     good = (F.col(f"{prefix}pred") != UNDETERMINED) & (F.col(f"{prefix}score") >= least)
     return verdict.filter(good).select(*[F.col(f"`{c}`") for c in docs.columns])

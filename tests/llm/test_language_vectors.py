@@ -81,6 +81,13 @@ def test_held_out_and_labels_do_not_leak(spark, make_docs):  # noqa: F811
     assert same[0] == same[1]
 
 
+def test_unlabelled_documents_with_a_letter_stay(spark, make_docs):  # noqa: F811
+    docs = make_docs((1, "some words", None), (2, "12 - 34", None), (3, None, None), (4, "é", None), (5, "", None), extra=True)
+    kept = language_id.keep_identified(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 4]
+
+
 def test_edge_texts_of_languages(spark, make_docs):  # noqa: F811
     train = [(i, "the cat and the hat " * 5, "en") for i in range(20)] + [(i + 20, "der hut und die katze " * 5, "de") for i in range(20)]
     docs = make_docs(*train, (50, None), (51, ""), (52, "12 .. 34"), (None, "the hat"), (53, "die katze " * 40_000, None), (53, "the"), extra=True)
