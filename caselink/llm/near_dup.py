@@ -284,6 +284,8 @@ def duplicate_classes(docs: DataFrame, folder: str) -> DataFrame:
         else:
             split = labelled.groupBy("bucket").agg(F.min("component").alias("_a"), F.max("component").alias("_b")).filter("_a <> _b")
             open_ = stored(labelled.join(split.select("bucket"), "bucket"), folder, f"open-{step}")
+            if open_.isEmpty():
+                break
             if step == 2:
                 sizes = open_.groupBy("bucket").count()
                 few = open_.join(sizes.filter(F.col("count") <= LARGE).select("bucket"), "bucket", "left_semi")
@@ -294,7 +296,8 @@ def duplicate_classes(docs: DataFrame, folder: str) -> DataFrame:
         if step == 2 and not many.isEmpty():
             links = links.unionByName(_block_links(many, texts)).distinct()
         elif pairs.isEmpty():
-            break
+            # Hubs can be unlike all others in size while those are alike: the next round compares them.
+            continue
         links = stored(links, folder, f"links-{step}")
         if labels is None:
             labels = stored(components(links, folder, "components-0"), folder, "labels-0")

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 from llm_fixtures import SMALL, make_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from caselink.llm import common, decontaminate, near_dup, shingles
 
@@ -110,6 +111,21 @@ def test_components_are_those_of_all_pairs(spark, make_docs, monkeypatch, seed,
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+@pytest.mark.parametrize("large", [64, 2])
+def test_hubs_of_another_size(spark, make_docs, monkeypatch, large):  # noqa: F811
+    """One bucket whose hub of both star rounds is much shorter than two members that are alike."""
+    plain = near_dup.prepared
+    monkeypatch.setattr(near_dup, "prepared", lambda docs: plain(docs).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    monkeypatch.setattr(near_dup, "LARGE", large)
+    hub = spark.range(1000).orderBy(F.xxhash64("id", F.lit(1).cast("long"))).first()["id"]
+    long = " ".join(words(random.Random(7), 200))
+    docs = [(hub, "one two three four five six"), (hub + 1, long), (hub + 2, long + " tail")]
+    hashes = spark.range(hub, hub + 3).select("id", F.xxhash64("id", F.lit(1).cast("long")).alias("h")).orderBy("h")
+    assert hashes.first()["id"] == hub
+    got = {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(make_docs(*docs)).collect()}
+    assert got == brute_components(docs) == {hub: hub, hub + 1: hub + 1, hub + 2: hub + 1}
+
+
 def test_stars_of_links(spark):
     links = [(1, 2), (2, 3), (3, 9), (10, 11), (12, 11), (13, 12), (14, 13), (20, 5), (5, 6)]
     frame = spark.createDataFrame(links, "a long, b long")
