@@ -220,7 +220,7 @@ _list_part("top_list", catalog.TOP_K)
 _list_part("served_list", catalog.SERVED_K)
 _list_part("area_list", catalog.SERVED_K, keep=f"AND p.area_name = '{catalog.AREA}'")
 _list_part("weapon_list", catalog.SERVED_K, keep=f"AND p.weapon_desc = '{catalog.WEAPON}'")
-_list_part("area_deep_list", catalog.DEEP_K, keep=f"AND p.area_name = '{catalog.AREA}' AND b.dr_no % 100 = 1")
+_list_part("area_deep_list", catalog.DEEP_K, keep=f"AND p.area_name = '{catalog.AREA}'")
 _list_part("training_list", 15, "sampled")
 _list_part("doc_training_list", 15, "doc_sampled", pool="doc_pool")
 _list_part("doc_evaluated_list", max(evaluation_run.OFFLINE["k_values"]), "doc_evaluated", pool="doc_pool")

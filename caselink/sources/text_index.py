@@ -77,13 +77,15 @@ def fit(
 def table_fingerprint(cases: DataFrame, settings: str) -> str:
     """Name of exactly these cases under these settings; one pass over the table.
 
-    Digests of rows are added up, so that repeated rows count as often as they occur.
+    Digests of rows are added up, so that repeated rows count as often as they occur. A hash passes over
+    nulls, so each digest also takes in which columns are null.
     """
     wide = lambda *c: F.sum(F.xxhash64(*c).cast("decimal(38,0)"))
+    nulls = F.concat(*[F.col(c).isNull().cast("int").cast("string") for c in CASE_COLUMNS])
     row = cases.agg(
         F.count(F.lit(1)).alias("rows"),
-        wide(*CASE_COLUMNS).alias("a"),
-        wide(F.lit(settings), *reversed(CASE_COLUMNS)).alias("b"),
+        wide(nulls, *CASE_COLUMNS).alias("a"),
+        wide(F.lit(settings), *reversed(CASE_COLUMNS), nulls).alias("b"),
     ).select(F.md5(F.concat_ws(":", "rows", "a", "b", F.lit(settings))).alias("name"))
     return row.first()["name"]
 

@@ -200,3 +200,9 @@ def test_plan_limits_groups_before_the_shuffle_and_has_no_python(spark, tmp_path
     assert "WindowGroupLimit" in plan
     for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython"):
         assert node not in plan
+
+
+def test_a_value_in_a_neighbouring_null_column_is_another_table(make_cases):
+    one = make_cases({"dr_no": 1, "crm_cd_desc": "A", "weapon_desc": None})
+    other = make_cases({"dr_no": 1, "crm_cd_desc": None, "weapon_desc": "A"})
+    assert text_index.fingerprint(one) != text_index.fingerprint(other)
