@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.llm import chat, decontaminate, language_id, near_dup, secret_scan, sentencepiece_codec, token_counts, token_files, vector_search, warc
+from caselink.llm import chat, decontaminate, importance, language_id, near_dup, secret_scan, sentencepiece_codec, token_counts, token_files, vector_search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "piece_bpe_32k.model"
@@ -59,6 +59,10 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.formatted_digests(turns.select(*probe.columns).unionByName(probe))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -72,6 +76,7 @@ QUERIES: dict[str, Query] = {
         op8_language_id,
         op9_vector_search,
         op10_chat_format,
+        op11_importance,
     )
 }
-SQL: dict[str, str] = {"op2_near_dup": near_dup.SQL, "op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL}
+SQL: dict[str, str] = {"op2_near_dup": near_dup.SQL, "op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL, "op11_importance": importance.SQL}
