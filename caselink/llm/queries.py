@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caselink.llm import chat, decontaminate, importance, language_id, mixing, near_dup, secret_scan, sentencepiece_codec, token_counts, token_files, vector_search, warc
+from caselink.llm import chat, decontaminate, importance, language_id, mixing, near_dup, repair, secret_scan, sentencepiece_codec, token_counts, token_files, vector_search, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 PIECES = "piece_bpe_32k.model"
@@ -63,6 +63,10 @@ def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repaired_digests(table(spark, sf_dir, "conversations"))
+
+
 def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
@@ -81,7 +85,8 @@ QUERIES: dict[str, Query] = {
         op9_vector_search,
         op10_chat_format,
         op11_importance,
+        op12_repair,
         op13_mixing,
     )
 }
-SQL: dict[str, str] = {"op2_near_dup": near_dup.SQL, "op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL, "op11_importance": importance.SQL, "op13_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op2_near_dup": near_dup.SQL, "op4_warc": warc.SQL, "op7_decontamination": decontaminate.SQL, "op10_chat_format": chat.SQL, "op11_importance": importance.SQL, "op12_repair": repair.SQL, "op13_mixing": mixing.SQL}
