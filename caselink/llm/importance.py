@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselink.llm.common import id_and_text, run_folder, slices
+from caselink.llm.common import id_and_text, run_folder, slices, stored
 from caselink.llm.order import numbered
 
 BUCKETS = 10_000
@@ -231,10 +231,11 @@ def resample(
     rows = id_and_text(docs, id_col, text_col)
     aim = target.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     gain = gains(bucket_counts(rows.select("text"), buckets), bucket_counts(aim, buckets), buckets)
-    scored = scores(rows, gain, seed).withColumn("fit", F.col("n_words") >= least_words)
+    # Written first: dealing by ranges looks at its input twice.
+    scored = stored(scores(rows, gain, seed), folder, "scored").withColumn("fit", F.col("n_words") >= least_words)
     # Fit documents come first, so their numbers are their ranks.
     order = [F.desc("fit"), F.desc("score"), F.asc("doc_id"), F.asc("n_features"), F.asc("weight")]
-    ranked = numbered(scored, order, folder, "scores")
+    ranked = numbered(scored, order, folder, "ranked")
     n_fit = ranked.agg(F.count(F.when(F.col("fit"), 1))).scalar()
     quota = F.floor(n_fit * F.lit(share) / F.lit(100))
     drawn = F.col("fit") & (F.col("number") <= quota)
