@@ -44,7 +44,7 @@ SHARE = 25
 LEAST_WORDS = 20
 SEED = 7
 # Bytes of text that one automaton is made for.
-STRETCH = 2_000_000
+STRETCH = 250_000
 _END = b"\x01"
 #: Letters are lowered, other ASCII but digits becomes a blank, all other bytes stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
