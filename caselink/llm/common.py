@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -101,19 +102,33 @@ class WordStore:
         self._ids = np.zeros(0, np.uint32)
         self._ends = np.zeros(1, np.int64)
 
-    def ids(self, words: list, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of ``words`` in order, and the number of ids of each run of ``counts`` words."""
-        new = list(set(words).difference(self._index))
-        if len(new) + len(self._index) > self._most and self._index:
-            self._clear()
-            new = list(set(words))
-        if new:
+    def _places(self, words: list) -> np.ndarray:
+        """Where each word stands in the store; -1 for one that does not."""
+        return np.fromiter(map(self._index.get, words, repeat(-1)), np.int64, len(words))
+
+    def ids(self, words: list | pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``words`` in order, and the number of ids of each run of ``counts`` words.
+
+        Of an Arrow array of bytes, only the distinct words are looked up.
+        """
+        which = None
+        if isinstance(words, pa.Array):
+            coded = words.dictionary_encode()
+            which, words = coded.indices.to_numpy(), _values(coded.dictionary)
+        at = self._places(words)
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
+            new = list(dict.fromkeys(map(words.__getitem__, missing.tolist())))
+            if len(new) + len(self._index) > self._most and self._index:
+                self._clear()
+                new, missing = list(dict.fromkeys(words)), np.arange(len(words))
             ids, sizes = self._encode(new)
             first = len(self._index)
             self._index.update(zip(new, range(first, first + len(new))))
             self._ids = np.concatenate([self._ids, ids.astype(np.uint32)])
             self._ends = np.concatenate([self._ends, self._ends[-1] + np.cumsum(sizes)])
-        at = np.fromiter(map(self._index.__getitem__, words), np.int64, len(words))
+            at[missing] = self._places(list(map(words.__getitem__, missing.tolist())))
+        at = at if which is None else at[which]
         begins, sizes = self._ends[at], self._ends[at + 1] - self._ends[at]
         flat = self._ids[ranges(begins, sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -121,6 +136,13 @@ class WordStore:
         return flat, np.diff(ends[bounds])
 
 
+def _values(words: pa.Array) -> list[bytes]:
+    """The values of an array of bytes without nulls."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].tolist()
+    data = words.buffers()[2].to_pybytes() if bounds[-1] else b""
+    return [data[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
 def ranges(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """begins[0], begins[0] + 1, ... (sizes[0] of them), begins[1], ..."""
     total = int(sizes.sum())

@@ -37,6 +37,8 @@ _ASCII_LETTER, _ASCII_MARK = np.zeros(256, bool), np.zeros(256, bool)
 _ASCII_LETTER[97:123] = True
 _ASCII_MARK[33:127] = True
 _ASCII_MARK[97:123] = False
+_ASCII_SPACE = np.zeros(256, bool)
+_ASCII_SPACE[[32, *range(9, 14)]] = True
 
 
 class WordEncoder:
@@ -83,21 +85,31 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and each text's number of ids."""
-        words, counts = [], []
-        for text in texts:
-            n = 0
+        raws, owners, special = [], [], []
+        for i, text in enumerate(texts):
             for piece in pieces(text):
-                raw = piece.encode()
-                if not any(s in piece for s in self._specials):
-                    raw = raw.lower()
-                    codes = np.frombuffer(raw, np.uint8)
-                    cuts = np.flatnonzero(_ASCII_LETTER[codes[:-1]] & _ASCII_MARK[codes[1:]]) + 1
-                    raw = np.insert(codes, cuts, 32).tobytes() if len(cuts) else raw
-                found = raw.split()
-                words += found
-                n += len(found)
-            counts.append(n)
-        return self._store.ids(words, np.array(counts, np.int64))
+                special.append(any(s in piece for s in self._specials))
+                raws.append(piece.encode() if special[-1] else piece.encode().lower())
+                owners.append(i)
+        if not raws:
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        # A blank ends each piece.
+        codes = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+        ends = np.cumsum(np.fromiter(map(len, raws), np.int64, len(raws)) + 1)
+        cuts = np.flatnonzero(_ASCII_LETTER[codes[:-1]] & _ASCII_MARK[codes[1:]]) + 1
+        if any(special):
+            cuts = cuts[~np.array(special)[np.searchsorted(ends, cuts, "right")]]
+        if len(cuts):
+            codes = np.insert(codes, cuts, 32)
+            ends = ends + np.searchsorted(cuts, ends)
+        inside = ~_ASCII_SPACE[codes]
+        edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edges = np.concatenate([[0], edges]) if inside[0] else edges
+        begins, sizes = edges[::2], edges[1::2] - edges[::2]
+        counts = np.bincount(np.array(owners)[np.searchsorted(ends, begins, "right")], minlength=len(texts))
+        bounds = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(bounds), pa.py_buffer(codes[inside])])
+        return self._store.ids(words, counts)
 
 
 @lru_cache(maxsize=2)
