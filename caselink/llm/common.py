@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import uuid
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from caselink.sources.scratch import shared_folder
 
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
 PIECE_CHARS = 1_000_000
 _SAFE_CUT = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 
@@ -70,6 +72,38 @@ def stored(df: DataFrame, folder: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_MODEL: dict = {}
+
+
+def one_model(key: object, build: Callable[[], object]):
+    """The model of ``key``, built once in each worker.
+
+    Workers are reused by stage after stage, so each holds one model: the one that was asked for last.
+    """
+    if key not in _MODEL:
+        _MODEL.clear()
+        _give_back()
+        _MODEL[key] = build()
+    return _MODEL[key]
+
+
+def _give_back() -> None:
+    """Return freed memory to the system, where the allocators can."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker, which may wait long for its next task, holds no freed memory."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return tidied
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or a longer one that no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caselink.llm.common import slices
+from caselink.llm.common import one_model, slices, tidy
 
 UNDETERMINED = "und"
 SAMPLE = 1500
@@ -146,16 +146,10 @@ class ContextTrees:
         return out
 
 
-_LOADED: dict[str, ContextTrees] = {}
-
-
 def _trees(shared) -> ContextTrees:
     """The tables of a broadcast model, built once in each worker."""
     counts, key = shared.value
-    if key not in _LOADED:
-        _LOADED.clear()
-        _LOADED[key] = ContextTrees(counts)
-    return _LOADED[key]
+    return one_model(key, lambda: ContextTrees(counts))
 
 
 def fit(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
@@ -192,7 +186,7 @@ def identify(docs: DataFrame, counts: pd.DataFrame, text_col: str = "text", pref
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred.name, T.StringType()), T.StructField(score.name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

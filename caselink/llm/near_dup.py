@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caselink.llm.common import free_name, id_and_text, run_folder, slices, stored
+from caselink.llm.common import free_name, id_and_text, run_folder, slices, stored, tidy
 from caselink.llm.shingles import mix, sequence_shingles, word_sequence
 
 PERCENT = 75
@@ -102,7 +102,7 @@ def prepared(docs: DataFrame) -> DataFrame:
                 ["doc_id", "key", "n_shingles", "bands"],
             )
 
-    return id_and_text(docs).mapInArrow(run, "doc_id long, key binary, n_shingles long, bands array<long>")
+    return id_and_text(docs).mapInArrow(tidy(run), "doc_id long, key binary, n_shingles long, bands array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:

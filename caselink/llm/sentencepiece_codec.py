@@ -27,14 +27,13 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from caselink.llm.common import PairMerges, WordStore, id_and_text, pieces, ranges, slices
+from caselink.llm.common import PairMerges, WordStore, id_and_text, one_model, pieces, ranges, slices, tidy
 
 MARK = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _BYTE = 1, 2, 3, 6
@@ -114,8 +113,8 @@ class Codec:
         self._word = _word_pattern([p for p, _, _ in normal])
         self._longest = max(len(p) for p, _, _ in normal)
         order = sorted(normal, key=lambda x: x[0])
-        self._piece_ids = np.array([i for _, _, i in order], np.int64)
-        self._piece_sizes = np.array([len(p) for p, _, _ in order], np.int64)
+        self._piece_ids = np.array([i for _, _, i in order], np.int32)
+        self._piece_sizes = np.array([len(p) for p, _, _ in order], np.int32)
         codes = np.full((len(order), self._longest), -1, np.int32)
         for row, (p, _, _) in zip(codes, order):
             row[: len(p)] = [ord(c) for c in p]
@@ -174,7 +173,7 @@ class Codec:
 
         low, high = bound(False), bound(True)
         counts = high - low
-        begins = order[ranges(low, counts)]
+        begins = order.astype(np.int32)[ranges(low, counts)]
         return begins, np.repeat(self._piece_sizes, counts), np.repeat(self._piece_ids, counts)
 
     # --- neighbours ---
@@ -219,13 +218,13 @@ class Codec:
         known[edge_begin[edge_size == 1]] = True
         known[begins[1:] - 1] = True
         other = np.flatnonzero(~known)
-        edge_begin = np.concatenate([edge_begin, other])
-        edge_size = np.concatenate([edge_size, np.ones(len(other), np.int64)])
-        edge_id = np.concatenate([edge_id, np.full(len(other), self._n)])
+        edge_begin = np.concatenate([edge_begin, other.astype(np.int32)])
+        edge_size = np.concatenate([edge_size, np.ones(len(other), np.int32)])
+        edge_id = np.concatenate([edge_id, np.full(len(other), self._n, np.int32)])
 
-        word_begin = np.repeat(begins, sizes + 1)[: len(text)]
+        word_begin = np.repeat(begins.astype(np.int32), sizes + 1)[: len(text)]
         offset = edge_begin + edge_size - word_begin[edge_begin]
-        order = np.argsort(offset * (len(text) + 1) + edge_begin)
+        order = np.argsort(offset.astype(np.int64) * (len(text) + 1) + edge_begin)
         edge_begin, edge_size, edge_id, offset = edge_begin[order], edge_size[order], edge_id[order], offset[order]
         first = edge_begin == word_begin[edge_begin]
         last = np.full(len(text) + 1, -1, np.int64)  # last piece of the prefix that ends before a position
@@ -285,9 +284,8 @@ class Codec:
         return raw.removeprefix(b" ").decode(errors="replace")
 
 
-@lru_cache(maxsize=2)
 def codec(path: str) -> Codec:
-    return Codec(path)
+    return one_model(("codec", path), lambda: Codec(path))
 
 
 def encoded_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -331,7 +329,7 @@ def with_token_ids(docs: DataFrame, path: str, text_col: str = "text", name: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], arrays], [*whole.schema.names, name])
 
     fields = [*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(tidy(run), T.StructType(fields))
 
 
 def with_decoded(encoded: DataFrame, path: str, ids_col: str = "token_ids", name: str = "decoded") -> DataFrame:

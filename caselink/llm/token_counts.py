@@ -13,14 +13,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from caselink.llm.common import PairMerges, id_and_text, pieces, slices
+from caselink.llm.common import PairMerges, id_and_text, one_model, pieces, slices
 
 REMEMBERED = 400_000
 _BLANKS = "".join(map(chr, [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
@@ -107,9 +106,8 @@ class TokenCounter:
         return [n + sum(map(known, words)) for n, words in zip(totals, words_of)]
 
 
-@lru_cache(maxsize=2)
 def counter(path: str) -> TokenCounter:
-    return TokenCounter(path)
+    return one_model(("counter", path), lambda: TokenCounter(path))
 
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

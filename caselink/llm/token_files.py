@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caselink.llm.common import WordStore, file_system, id_and_text, pieces, ranges, run_folder, slices, stored
+from caselink.llm.common import WordStore, file_system, id_and_text, one_model, pieces, ranges, run_folder, slices, stored
 
 END_ID = 1
 _INDEX = "part int, file string, width int, n_docs long, n_null long, n_ids long"
@@ -112,9 +111,8 @@ class WordEncoder:
         return self._store.ids(words, counts)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return one_model(("encoder", path), lambda: WordEncoder(path))
 
 
 def write_token_files(
