@@ -94,6 +94,21 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+BATCH_BYTES = 4 << 20
+_BYTES_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to workers in batches of at most about ``BATCH_BYTES``, not only of 10,000 rows of whatever size.
+
+    A lower bound that the session already has stays.
+    """
+    held = spark.conf.get(_BYTES_SETTING, "").rstrip("b")
+    # A value with a unit is one that the session's owner wrote.
+    if not held or (held.isdigit() and int(held) > BATCH_BYTES):
+        spark.conf.set(_BYTES_SETTING, f"{BATCH_BYTES}b")
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for ``mapInArrow``, after which the worker, which may wait long for its next task, holds no freed memory."""
 
