@@ -1,7 +1,8 @@
 """A corpus from raw documents to token ids, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet and gives what
-it reads back to the next stage. All but the last return the columns of ``docs``.
+it reads back to the next stage. All but the last return the columns of ``docs``. Whole rows go through Python
+workers, so the stages bound the bytes of an Arrow batch in the session, where it has no lower bound.
 
 1. language_id: rows whose language cannot be told (no letter, or no clear winner) go.
 2. near_dup: of each group of near-duplicate documents the one of the smallest id stays.
@@ -19,16 +20,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselink.llm import decontaminate, language_id, near_dup, secret_scan, sentencepiece_codec
-from caselink.llm.common import run_folder
+from caselink.llm.common import bounded_batches, run_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return language_id.keep_identified(docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return near_dup.keep_one(docs, run_folder(spark, "stage_near_dup"))
 
 
@@ -38,6 +41,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     clean = secret_scan.redact(docs, secret_scan.train(docs))
     if "n_chars" not in docs.columns:
         return clean
@@ -45,6 +49,7 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sentencepiece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     encoded = sentencepiece_codec.with_token_ids(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
 
