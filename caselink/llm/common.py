@@ -103,7 +103,7 @@ def bounded_batches(spark: SparkSession) -> None:
 
     A lower bound that the session already has stays.
     """
-    held = spark.conf.get(_BYTES_SETTING, "").rstrip("b")
+    held = (spark.conf.get(_BYTES_SETTING, None) or "").rstrip("b")
     # A value with a unit is one that the session's owner wrote.
     if not held or (held.isdigit() and int(held) > BATCH_BYTES):
         spark.conf.set(_BYTES_SETTING, f"{BATCH_BYTES}b")
