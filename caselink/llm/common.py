@@ -109,10 +109,17 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(_BYTES_SETTING, f"{BATCH_BYTES}b")
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for ``mapInArrow``, after which the worker, which may wait long for its next task, holds no freed memory."""
+def tidy(
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps_model: bool = False
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``, after which the worker, which may wait long for its next task, holds no freed memory.
+
+    An operator without a model of its own drops what an earlier stage left in the worker.
+    """
 
     def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps_model:
+            _MODEL.clear()
         yield from run(batches)
         _give_back()
 

@@ -186,7 +186,7 @@ def identify(docs: DataFrame, counts: pd.DataFrame, text_col: str = "text", pref
                 )
 
     schema = T.StructType([*docs.schema.fields, T.StructField(pred.name, T.StringType()), T.StructField(score.name, T.DoubleType())])
-    return docs.mapInArrow(tidy(run), schema)
+    return docs.mapInArrow(tidy(run, keeps_model=True), schema)
 
 
 def predictions(docs: DataFrame) -> DataFrame:

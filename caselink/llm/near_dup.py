@@ -136,7 +136,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good[i] = 100 * shared >= PERCENT * (len(x) + len(y) - shared)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def components(links: DataFrame, folder: str, name: str) -> DataFrame:

@@ -329,7 +329,7 @@ def with_token_ids(docs: DataFrame, path: str, text_col: str = "text", name: str
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], arrays], [*whole.schema.names, name])
 
     fields = [*docs.schema.fields, T.StructField(name, T.ArrayType(T.IntegerType()))]
-    return docs.mapInArrow(tidy(run), T.StructType(fields))
+    return docs.mapInArrow(tidy(run, keeps_model=True), T.StructType(fields))
 
 
 def with_decoded(encoded: DataFrame, path: str, ids_col: str = "token_ids", name: str = "decoded") -> DataFrame:
