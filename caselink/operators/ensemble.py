@@ -101,9 +101,11 @@ def score_order() -> list[Column]:
 def rank_cases(candidates: DataFrame, model: Ensemble, k: int = SERVED_K) -> DataFrame:
     """Reorder (base, similarity, cand) candidates by score and keep ``k`` per base.
 
-    A base has at most one candidate list, so the groups of the window are bounded by its length.
+    A base has at most one candidate list, so the groups of the window are bounded by its length. Candidates
+    are dealt by base before they are scored: the window needs that anyway, and so every task scores its share.
     """
-    scored = score(with_features(candidates), model).withColumn("q_id", F.col("base.dr_no"))
+    dealt = candidates.withColumn("q_id", F.col("base.dr_no")).repartition("q_id")
+    scored = score(with_features(dealt), model)
     by_base = W.partitionBy("q_id").orderBy(*score_order())
     return (
         scored.drop("rank").withColumn("rank", F.row_number().over(by_base)).filter(F.col("rank") <= k).drop("q_id")

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.text import text_id
+from caselink.operators.pruned import nearest_matches
 from caselink.operators.skew import first_rows, heavy_keys, spread_join, top_per_key
 from caselink.schema import CASE_COLUMNS
 from caselink.sources.text_index import TextIndex, leading_cases
@@ -89,12 +90,16 @@ def _identical_matches(asked: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int) -> DataFrame:
+def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int, pruned: bool = False) -> DataFrame:
     """(q_text, c_text, similarity) of all texts that can hold one of the first ``depth`` cases.
 
     ``wanted`` has the asked ``q_text`` ids, None asks for every text of the index. Pairs that
-    share no term do not appear.
+    share no term do not appear. ``pruned`` is for free text, where most texts share some term with most
+    others: pairs that cannot be among the nearest are left out before they are summed.
     """
+    if pruned:
+        found = nearest_matches(index.weights, wanted, depth)
+        return found.select("q_text", "c_text", _rounded(F.col("total")))
     asked = index.weights.select(
         F.col("text_id").alias("q_text"), "n_rows", "term", "n_texts", F.col("weight").alias("q_weight")
     )
@@ -113,14 +118,14 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int) -> Data
     return others.unionByName(identical)
 
 
-def _nearest_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> DataFrame:
+def _nearest_texts(index: TextIndex, wanted: DataFrame | None, depth: int, pruned: bool = False) -> DataFrame:
     """(q_text, near): the ``depth`` nearest texts of each asked text, with their case counts.
 
     Each text ahead brings at least one case, its lowest id, that is ahead of every case of a text
     further down, so no other text can reach the pool.
     """
     sizes = index.texts.select(F.col("text_id").alias("c_text"), "n_rows", "first_dr")
-    matches = text_matches(index, wanted, depth).join(sizes, "c_text")
+    matches = text_matches(index, wanted, depth, pruned).join(sizes, "c_text")
     order = [F.desc("similarity"), F.asc("first_dr")]
     return (
         top_per_key(matches, ["q_text"], order, depth, "text_rank")
@@ -133,10 +138,10 @@ def _rows_of(texts: Column) -> Column:
     return F.aggregate(texts, F.lit(0).cast("long"), lambda n, t: n + t["n_rows"])
 
 
-def _lists_of_texts(index: TextIndex, wanted: DataFrame | None, depth: int) -> DataFrame:
+def _lists_of_texts(index: TextIndex, wanted: DataFrame | None, depth: int, pruned: bool = False) -> DataFrame:
     """(q_text, near) of every asked text, ``near`` being null without a match."""
     asked = index.texts.select(F.col("text_id").alias("q_text")) if wanted is None else wanted
-    return asked.join(_nearest_texts(index, wanted, depth), "q_text", "left")
+    return asked.join(_nearest_texts(index, wanted, depth, pruned), "q_text", "left")
 
 
 def _reaching_texts(near: DataFrame, depth: int) -> DataFrame:
@@ -168,7 +173,7 @@ def _fillers(near: DataFrame, cand: DataFrame, depth: int) -> DataFrame:
 
 
 def candidate_pool(
-    index: TextIndex, wanted: DataFrame | None, depth: int, cases: DataFrame | None = None
+    index: TextIndex, wanted: DataFrame | None, depth: int, cases: DataFrame | None = None, pruned: bool = False
 ) -> DataFrame:
     """(q_text, pool_rank, similarity, cand): the first ``depth`` cases for each asked text.
 
@@ -185,14 +190,16 @@ def candidate_pool(
         raise ValueError(f"the index keeps {index.depth} cases per text and not their table, the pool asks for {depth}")
     wanted = wanted.select("q_text").distinct() if wanted is not None else None
     cand = leaders.select(F.col("text_id").alias("c_text"), "leader_rank", F.struct(*CASE_COLUMNS).alias("cand"))
-    near = _lists_of_texts(index, wanted, depth)
+    near = _lists_of_texts(index, wanted, depth, pruned)
     matched = (
         _reaching_texts(near, depth)
         .join(cand, "c_text")
         .filter(F.col("leader_rank") <= F.col("room"))
         .select("q_text", "similarity", "cand")
     )
-    rows = matched.unionByName(_fillers(near, cand, depth))
+    # Where every text's own cases fill a pool, nothing is left to fill.
+    filled = index.copies is not None and index.copies[0] >= depth
+    rows = matched if filled else matched.unionByName(_fillers(near, cand, depth))
     order = [F.desc("similarity"), F.asc("cand.dr_no")]
     return top_per_key(rows, ["q_text"], order, depth, "pool_rank")
 
@@ -211,6 +218,7 @@ def similar_lists(
     cases: DataFrame | None = None,
     bases_are_all: bool = False,
     how: str = "inner",
+    pruned: bool = False,
 ) -> DataFrame:
     """(base, hits): for each base its up to ``k`` candidates (pool_rank, similarity, cand) in order.
 
@@ -221,7 +229,7 @@ def similar_lists(
     Lists are ordered once per text and are at most one pool long. A base takes its text's list,
     leaves itself out and cuts it, which needs no further shuffle or sort per base.
     ``bases_are_all`` saves the pass that finds the texts of the bases when they are the whole table.
-    ``how="left"`` keeps bases without candidates, ``hits`` being null.
+    ``how="left"`` keeps bases without candidates, ``hits`` being null. ``pruned``: see ``text_matches``.
     """
     filtered = area not in WILDCARDS or weapon not in WILDCARDS
     # Without filters only the first k rows other than the base can be returned.
@@ -229,7 +237,7 @@ def similar_lists(
     keyed = bases.select(
         text_id("mo_text").alias("q_text"), F.col("dr_no").alias("q_id"), F.struct(*CASE_COLUMNS).alias("base")
     )
-    pool = candidate_pool(index, None if bases_are_all else keyed.select("q_text"), depth, cases)
+    pool = candidate_pool(index, None if bases_are_all else keyed.select("q_text"), depth, cases, pruned)
     if area not in WILDCARDS:
         pool = pool.filter(F.col("cand.area_name") == area)
     if weapon not in WILDCARDS:

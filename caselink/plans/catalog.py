@@ -345,6 +345,13 @@ def similar_by_area_deep(spark, sf_dir):
     return _rounded(similarity.as_served(_similar(spark, sf_dir, DEEP_K, area=AREA)), ["similarity"])
 
 
+@query("similar_documents")
+def similar_documents(spark, sf_dir):
+    index = _document_index(spark, sf_dir)
+    found = similarity.similar_cases(index, views.document_cases(spark, sf_dir), TOP_K, bases_are_all=True, pruned=True)
+    return _rounded(found.select(*_pair_ids(), "rank", "similarity"), ["similarity"])
+
+
 # --- pairs, training ---------------------------------------------------------------------------
 
 

@@ -221,6 +221,7 @@ _list_part("served_list", catalog.SERVED_K)
 _list_part("area_list", catalog.SERVED_K, keep=f"AND p.area_name = '{catalog.AREA}'")
 _list_part("weapon_list", catalog.SERVED_K, keep=f"AND p.weapon_desc = '{catalog.WEAPON}'")
 _list_part("area_deep_list", catalog.DEEP_K, keep=f"AND p.area_name = '{catalog.AREA}'")
+_list_part("doc_list", catalog.TOP_K, "docs", pool="doc_pool")
 _list_part("training_list", 15, "sampled")
 _list_part("doc_training_list", 15, "doc_sampled", pool="doc_pool")
 _list_part("doc_evaluated_list", max(evaluation_run.OFFLINE["k_values"]), "doc_evaluated", pool="doc_pool")
@@ -484,6 +485,7 @@ JOIN all_cosines s ON s.q = b.mo_text JOIN cases c ON c.mo_text = s.c""",
         "similar_by_area": _with(("area_list",), f"SELECT {_SERVED} FROM area_list"),
         "similar_by_area_deep": _with(("area_deep_list",), f"SELECT {_SERVED} FROM area_deep_list"),
         "similar_by_weapon": _with(("weapon_list",), f"SELECT {_SERVED} FROM weapon_list"),
+        "similar_documents": _with(("doc_list",), "SELECT q_id, dr_no, rank, round(similarity, 6) AS similarity FROM doc_list"),
         "pair_features": _with(("served_list",), f"SELECT q_id, dr_no, {_FEATURES} FROM served_list"),
         "relevance_labels": _with(("served_list",), f"SELECT q_id, dr_no, {_LABEL} AS label FROM served_list"),
         "training_sample": _with(("sampled",), "SELECT dr_no FROM sampled"),
