@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -14,6 +16,7 @@ from caselink.operators.analytics import with_same_crime_count
 from caselink.operators.ensemble import Ensemble, evaluated_pool, score, score_order
 from caselink.operators.linkage import Relevance, with_features, with_label
 from caselink.operators.similarity import similar_cases, similar_lists
+from caselink.operators.skew import heavy_keys, spread_join
 from caselink.sources.text_index import TextIndex
 
 K_VALUES = (1, 3, 5, 10, 15, 20)
@@ -137,6 +140,53 @@ def ensemble_metrics(
     return metrics_at_k(lists, max(k_values))
 
 
+RULE_FIELDS = ("crm_cd", "area_name", "weapon_desc", "mo_text")
+# Signs of the numbers of cases that agree in each two, three and all four fields.
+_SIGNS = {2: 1, 3: -2, 4: 3}
+
+
+def _values_id(fields: Sequence[str]) -> Column:
+    """Key of the values of ``fields``; which of them are missing shows, as the names are part of it."""
+    return F.md5(F.to_json(F.struct(*fields)))
+
+
+def with_relevant_count(df: DataFrame, cases: DataFrame) -> DataFrame:
+    """``df``, which has the columns of a case, with ``relevant``: how many other cases are relevant to it.
+
+    The counterpart of ``is_relevant`` without pairing cases. Of the numbers of cases that agree in each two,
+    three and all four of ``RULE_FIELDS``, those in two are added, those in three taken away twice, those in
+    four added three times; every case that agrees in two or more is then counted once. A missing value agrees
+    with nothing. Cases are counted by their four values first, so a frequent value costs no more than a rare
+    one, and all sets of fields are counted from that in one aggregation. ``df`` must come from ``cases``: a case
+    is taken off its own count.
+    """
+    held = lambda d: d.withColumn("_text", F.md5("mo_text"))
+    fields = [*RULE_FIELDS[:3], "_text"]
+    combos = held(cases).groupBy(*fields).agg(F.count(F.lit(1)).alias("_n")).withColumn("_combo", _values_id(fields))
+    sets = [c for size in _SIGNS for c in combinations(fields, size)]
+    present = lambda c: reduce(lambda x, y: x & y, [F.col(f).isNotNull() for f in c])
+    entry = lambda i, c: F.struct(F.concat(F.lit(f"{i}:"), _values_id(c)).alias("key"), F.lit(_SIGNS[len(c)]).alias("sign"))
+    shown = combos.select("_combo", "_n", F.inline(F.array_compact(F.array(*[F.when(present(c), entry(i, c)) for i, c in enumerate(sets)]))))
+    agreeing = shown.groupBy("key").agg((F.sum("_n") - 1).alias("others"))
+    relevant = shown.join(agreeing, "key").groupBy("_combo").agg(F.sum(F.col("sign") * F.col("others")).alias("relevant"))
+    heavy = heavy_keys(combos, "_combo", "_n")
+    keyed = held(df).withColumn("_combo", _values_id(fields)).drop("_text")
+    found = spread_join(keyed, relevant, "_combo", heavy, "dr_no", "left").drop("_combo")
+    return found.withColumn("relevant", F.coalesce("relevant", F.lit(0)))
+
+
+def true_recalls(
+    index: TextIndex, bases: DataFrame, cases: DataFrame, k_values: Sequence[int] = K_VALUES, bases_are_all: bool = False
+) -> DataFrame:
+    """(dr_no, k, recall): relevant cases among the first ``k`` over all relevant cases; 0 where there are none."""
+    lists = similar_lists(index, bases, max(k_values), bases_are_all=bases_are_all, how="left")
+    labels = F.transform("hits", lambda hit: is_relevant(F.col("base"), hit["cand"]))
+    rows = with_relevant_count(lists.select("base.*", _or_empty(labels).alias("rels")), cases)
+    cut = rows.select("dr_no", "relevant", "rels", _each(k_values))
+    hits = m.found(F.slice("rels", F.lit(1), F.col("k")))
+    return cut.select("dr_no", "k", F.when(F.col("relevant") > 0, hits / F.col("relevant")).otherwise(F.lit(0.0)).alias("recall"))
+
+
 def compare(base: DataFrame, ensemble: DataFrame) -> DataFrame:
     """Mean metrics of both rankings side by side per k."""
     names = ("precision", "recall", "ndcg")

@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.pairs import is_relevant, pair_features
+from caselink.functions.text import text_or_empty
 from caselink.operators.similarity import similar_cases
 from caselink.operators.skew import first_rows
 from caselink.sources.scratch import shared_folder, write_table
@@ -31,6 +33,20 @@ def with_label(ranked: DataFrame, relevance: Relevance = is_relevant) -> DataFra
     return ranked.withColumn("label", relevance(F.col("base"), F.col("cand")).cast("int"))
 
 
+#: Of 100 groups of cases with one text, how many are for training; the others are held out.
+TRAINING_SHARE = 80
+
+
+def held_out(text: Column | str = "mo_text", seed: int = SAMPLE_SEED) -> Column:
+    """Whether a case of this text is held out from training.
+
+    A digest of text and seed decides, so all cases of one text are on one side, and a new case does not
+    change the side of another.
+    """
+    digest = F.md5(F.concat(text_or_empty(text), F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 >= TRAINING_SHARE
+
+
 def sample_cases(
     cases: DataFrame,
     n: int,
@@ -61,9 +77,19 @@ def training_pairs(
     seed: int = SAMPLE_SEED,
     k: int = TRAINING_K,
     relevance: Relevance = is_relevant,
+    apart: bool = False,
 ) -> DataFrame:
-    """Sampled bases with their most similar cases, features and label; one job for all bases."""
-    bases = stored_sample(cases, n, seed)
+    """Sampled bases with their most similar cases, features and label; one job for all bases.
+
+    With ``apart``, neither a base nor a case it is paired with is held out.
+    """
+    bases = stored_sample(cases.filter(~held_out()) if apart else cases, n, seed)
+    if apart:
+        # A pool wide enough that about ``k`` stay when those held out go.
+        near = similar_cases(index, bases, 2 * k).filter(~held_out(F.col("cand.mo_text")))
+        by_base = W.partitionBy("base.dr_no").orderBy("rank")
+        near = near.withColumn("rank", F.row_number().over(by_base)).filter(F.col("rank") <= k)
+        return with_label(with_features(near), relevance)
     return with_label(with_features(similar_cases(index, bases, k)), relevance)
 
 

@@ -15,7 +15,7 @@ from caselink.functions.text import text_id
 from caselink.operators.pruned import nearest_matches
 from caselink.operators.skew import first_rows, heavy_keys, spread_join, top_per_key
 from caselink.schema import CASE_COLUMNS
-from caselink.sources.text_index import TextIndex, leading_cases
+from caselink.sources.text_index import TextIndex, leading_cases, within
 
 DIGITS = 9
 # Pairs of texts that one task handles for one term in the term join.
@@ -250,6 +250,47 @@ def similar_lists(
     return spread_join(keyed, lists, "q_text", heavy, "q_id", how).select("base", F.slice(others, 1, k).alias("hits"))
 
 
+def similar_within(
+    index: TextIndex, bases: DataFrame, k: int, field: str, value: str | None, path: str | None = None, bases_are_all: bool = False
+) -> DataFrame:
+    """(base, rank, similarity, cand): the ``k`` nearest of the cases whose ``field`` is ``value``, the base left out.
+
+    Unlike the area and weapon filters of ``similar_cases``, which act on a pool that is already cut, the cases
+    are chosen first, so a list is only shorter than ``k`` if fewer such cases exist. ``path`` keeps the table of
+    leading cases by ``field`` for the next call.
+    """
+    part = within(index, field, value, path)
+    depth = k + 1
+    keyed = bases.select(text_id("mo_text").alias("q_text"), F.col("dr_no").alias("q_id"), F.struct(*CASE_COLUMNS).alias("base"))
+    wanted = None if bases_are_all else keyed.select("q_text").distinct()
+    asked = index.texts.select(F.col("text_id").alias("q_text")) if wanted is None else wanted
+    cand_leaders = part.leaders if depth <= part.depth else leading_cases(part.cases, depth)
+    cand = cand_leaders.select(F.col("text_id").alias("c_text"), "leader_rank", F.struct(*CASE_COLUMNS).alias("cand"))
+    terms = index.weights.select(F.col("text_id").alias("q_text"), "term", "n_texts", F.col("weight").alias("q_weight"))
+    if wanted is not None:
+        terms = terms.join(wanted, "q_text", "left_semi")
+    sizes = part.texts.select(F.col("text_id").alias("c_text"), "n_rows", "first_dr")
+    matches = _sparse_matches(terms, part.weights, F.col("n_texts")).join(sizes, "c_text")
+    near = (
+        top_per_key(matches, ["q_text"], [F.desc("similarity"), F.asc("first_dr")], depth, "text_rank")
+        .groupBy("q_text")
+        .agg(F.collect_list(F.struct("c_text", "similarity", "n_rows")).alias("near"))
+    )
+    near = asked.join(near, "q_text", "left")
+    matched = _reaching_texts(near, depth).join(cand, "c_text").filter(F.col("leader_rank") <= F.col("room"))
+    rows = matched.select("q_text", "similarity", "cand").unionByName(_fillers(near, cand, depth))
+    pool = top_per_key(rows, ["q_text"], [F.desc("similarity"), F.asc("cand.dr_no")], depth, "pool_rank")
+    ordered = F.sort_array(F.collect_list(F.struct("pool_rank", "similarity", "cand")))
+    lists = pool.groupBy("q_text").agg(ordered.alias("listed"))
+    heavy = heavy_keys(index.texts, "text_id", "n_rows").withColumnRenamed("text_id", "q_text")
+    others = F.filter("listed", lambda hit: hit["cand"]["dr_no"] != F.col("q_id"))
+    return (
+        spread_join(keyed, lists, "q_text", heavy, "q_id")
+        .select("base", F.posexplode(F.slice(others, 1, k)).alias("pos", "hit"))
+        .select("base", (F.col("pos") + 1).alias("rank"), "hit.similarity", "hit.cand")
+    )
+
+
 def similar_cases(index: TextIndex, bases: DataFrame, k: int = 20, **options) -> DataFrame:
     """(base, rank, similarity, cand): one row per base and candidate; options as ``similar_lists``."""
     return (

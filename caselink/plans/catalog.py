@@ -352,6 +352,23 @@ def similar_documents(spark, sf_dir):
     return _rounded(found.select(*_pair_ids(), "rank", "similarity"), ["similarity"])
 
 
+def _within(spark, sf_dir, field, value):
+    found = similarity.similar_within(
+        _index(spark, sf_dir), views.cases(spark, sf_dir), TOP_K, field, value, views.scratch(spark, sf_dir, "leaders_by"), bases_are_all=True
+    )
+    return _rounded(similarity.as_served(found), ["similarity"])
+
+
+@query("similar_within_area")
+def similar_within_area(spark, sf_dir):
+    return _within(spark, sf_dir, "area_name", AREA)
+
+
+@query("similar_within_weapon")
+def similar_within_weapon(spark, sf_dir):
+    return _within(spark, sf_dir, "weapon_desc", WEAPON)
+
+
 # --- pairs, training ---------------------------------------------------------------------------
 
 
@@ -454,6 +471,28 @@ for _name, _column in (("precision_at_k", "precision"), ("recall_at_k", "recall"
     _metric_query(_name, _column)
 
 
+@query("relevant_counts")
+def relevant_counts(spark, sf_dir):
+    cases = views.cases(spark, sf_dir)
+    return evaluation.with_relevant_count(cases, cases).select("dr_no", "relevant")
+
+
+@query("true_recall_at_k")
+def true_recall_at_k(spark, sf_dir):
+    cases = views.cases(spark, sf_dir)
+    return _rounded(evaluation.true_recalls(_index(spark, sf_dir), cases, cases, bases_are_all=True), ["recall"])
+
+
+@query("held_out_samples")
+def held_out_samples(spark, sf_dir):
+    """Ids that training and evaluation draw when they are kept apart."""
+    docs = views.document_cases(spark, sf_dir)
+    held = linkage.held_out()
+    drawn = lambda df, n, side: linkage.sample_cases(df, n).select("dr_no", F.lit(side).alias("side"))
+    training = drawn(docs.filter(~held), evaluation_run.TRAINING_CASES, "training")
+    return training.unionByName(drawn(docs.filter(held), evaluation_run.OFFLINE["eval_cases"], "evaluation"))
+
+
 @query("map_at_k")
 def map_at_k(spark, sf_dir):
     cases = views.cases(spark, sf_dir)

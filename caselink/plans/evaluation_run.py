@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -34,18 +35,21 @@ def trained(
     n: int = TRAINING_CASES,
     trees: int = ensemble.TREES,
     reuse: bool = True,
+    apart: bool = False,
+    version: str | None = None,
 ) -> ensemble.Ensemble:
     """The ensemble saved below ``folder``, trained on ``n`` sampled bases if there is none.
 
-    The model's folder carries the fingerprint of cases and settings. ``index`` may be a function that
-    provides the index; it is called only to train.
+    The model's folder carries the fingerprint of cases and settings; a caller who knows the table's
+    ``version`` saves the pass that takes it. ``index`` may be a function that provides the index; it is called
+    only to train. ``apart`` trains on cases whose texts are not held out (``linkage.held_out``).
     """
     spark = cases.sparkSession
-    folder = model_folder(cases, folder, n, trees)
+    folder = model_folder(cases, folder, n, trees, apart, version)
 
     def fit() -> ensemble.Ensemble:
         texts = index() if callable(index) else index
-        pairs = write_table(linkage.training_pairs(texts, cases, n), f"{folder}/pairs")
+        pairs = write_table(linkage.training_pairs(texts, cases, n, apart=apart), f"{folder}/pairs")
         # n bases have at most 15 pairs each: a handful of tasks is enough for any table.
         tasks = max(1, min(spark.sparkContext.defaultParallelism, n * linkage.TRAINING_K // 2000))
         return ensemble.train(pairs, trees=trees, partitions=tasks)
@@ -57,9 +61,13 @@ def trained(
     return model
 
 
-def model_folder(cases: DataFrame, folder: str, n: int = TRAINING_CASES, trees: int = ensemble.TREES) -> str:
+def model_folder(
+    cases: DataFrame, folder: str, n: int = TRAINING_CASES, trees: int = ensemble.TREES, apart: bool = False, version: str | None = None
+) -> str:
     """Where the model of these cases and settings, and the pairs it was trained on, lie."""
-    return f"{folder}/{table_fingerprint(cases, f'{n}:{trees}:{linkage.SAMPLE_SEED}:{FEATURES}')}"
+    settings = f"{n}:{trees}:{linkage.SAMPLE_SEED}:{FEATURES}" + (":apart" if apart else "")
+    named = hashlib.md5(f"{version}:{settings}".encode()).hexdigest() if version else table_fingerprint(cases, settings)
+    return f"{folder}/{named}"
 
 
 def compare_rankings(
@@ -68,13 +76,17 @@ def compare_rankings(
     model: ensemble.Ensemble,
     eval_cases: int = OFFLINE["eval_cases"],
     k_values: Sequence[int] = OFFLINE["k_values"],
+    apart: bool = False,
 ) -> DataFrame:
     """Similarity against ensemble on sampled cases.
 
+    The sample for evaluation and that for training are drawn in one order, so its cases were trained on;
+    ``apart`` draws it from the cases whose texts are held out, for a model that was trained ``apart``.
+
     The labels restate features the ensemble is given, so its scores show that it has learnt the
     labelling rule and say nothing about linked cases.
     """
-    bases = linkage.stored_sample(cases, eval_cases)
+    bases = linkage.stored_sample(cases.filter(linkage.held_out()) if apart else cases, eval_cases)
     plain = evaluation.similarity_metrics(index, bases, cases, k_values)
     learnt = evaluation.ensemble_metrics(index, model, bases, cases, k_values)
     return evaluation.compare(evaluation.mean_metrics(plain), evaluation.mean_metrics(learnt))
@@ -88,13 +100,16 @@ def run_evaluation(
     eval_cases: int = OFFLINE["eval_cases"],
     k_values: Sequence[int] = OFFLINE["k_values"],
     trees: int = ensemble.TREES,
+    apart: bool = False,
+    version: str | None = None,
 ) -> EvaluationRun:
-    """Train afresh, then importances and the comparison of both rankings."""
-    model = trained(index, cases, folder, n, trees, reuse=False)
-    pairs = cases.sparkSession.read.parquet(f"{model_folder(cases, folder, n, trees)}/pairs")
+    """Train afresh, then importances and the comparison of both rankings; ``apart`` as in ``compare_rankings``."""
+    version = version or table_fingerprint(cases, "evaluation")
+    model = trained(index, cases, folder, n, trees, False, apart, version)
+    pairs = cases.sparkSession.read.parquet(f"{model_folder(cases, folder, n, trees, apart, version)}/pairs")
     return EvaluationRun(
         model,
         linkage.label_rate(pairs),
         ensemble.importances(model, cases.sparkSession),
-        compare_rankings(index, cases, model, eval_cases, k_values),
+        compare_rankings(index, cases, model, eval_cases, k_values, apart),
     )

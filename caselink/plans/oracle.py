@@ -6,7 +6,7 @@ They follow the definitions by brute force: every pair of texts, plain windows o
 from __future__ import annotations
 
 from caselink.functions.text import ENGLISH_STOP_WORDS
-from caselink.operators import evaluation, prepare
+from caselink.operators import evaluation, linkage, prepare
 from caselink.plans import catalog, evaluation_run
 from caselink.schema import FEATURES
 
@@ -222,6 +222,34 @@ _list_part("area_list", catalog.SERVED_K, keep=f"AND p.area_name = '{catalog.ARE
 _list_part("weapon_list", catalog.SERVED_K, keep=f"AND p.weapon_desc = '{catalog.WEAPON}'")
 _list_part("area_deep_list", catalog.DEEP_K, keep=f"AND p.area_name = '{catalog.AREA}'")
 _list_part("doc_list", catalog.TOP_K, "docs", pool="doc_pool")
+for _name, _condition in (("area", f"area_name = '{catalog.AREA}'"), ("weapon", f"weapon_desc = '{catalog.WEAPON}'")):
+    _part(
+        f"within_{_name}",
+        ("all_cosines",),
+        f"""
+SELECT b.dr_no AS q_id, similarity, p.*,
+       CAST(row_number() OVER (PARTITION BY b.dr_no ORDER BY similarity DESC, p.dr_no) AS INTEGER) AS rank
+FROM cases b JOIN all_cosines ON q = b.mo_text JOIN (
+  SELECT * FROM cases WHERE {_condition} QUALIFY row_number() OVER (PARTITION BY mo_text ORDER BY dr_no) <= {catalog.TOP_K + 1}
+) p ON p.mo_text = c
+WHERE p.dr_no <> b.dr_no QUALIFY rank <= {catalog.TOP_K}""",
+    )
+_part(
+    "relevant",
+    ("cases",),
+    """
+SELECT b.dr_no, count(c.dr_no) AS relevant FROM cases b LEFT JOIN cases c ON c.dr_no <> b.dr_no
+  AND CAST(coalesce(c.crm_cd = b.crm_cd, FALSE) AS INTEGER) + CAST(coalesce(c.area_name = b.area_name, FALSE) AS INTEGER)
+    + CAST(coalesce(c.weapon_desc = b.weapon_desc, FALSE) AS INTEGER) + CAST(coalesce(c.mo_text = b.mo_text, FALSE) AS INTEGER) >= 2
+GROUP BY b.dr_no""",
+)
+_part(
+    "doc_sided",
+    ("docs",),
+    f"""
+SELECT dr_no, ('0x' || substr(md5(mo_text || ':42'), 1, 8))::BIGINT % 100 >= {linkage.TRAINING_SHARE} AS held FROM docs
+WHERE crm_cd IS NOT NULL AND area_name IS NOT NULL AND mo_text IS NOT NULL""",
+)
 _list_part("training_list", 15, "sampled")
 _list_part("doc_training_list", 15, "doc_sampled", pool="doc_pool")
 _list_part("doc_evaluated_list", max(evaluation_run.OFFLINE["k_values"]), "doc_evaluated", pool="doc_pool")
@@ -486,6 +514,20 @@ JOIN all_cosines s ON s.q = b.mo_text JOIN cases c ON c.mo_text = s.c""",
         "similar_by_area_deep": _with(("area_deep_list",), f"SELECT {_SERVED} FROM area_deep_list"),
         "similar_by_weapon": _with(("weapon_list",), f"SELECT {_SERVED} FROM weapon_list"),
         "similar_documents": _with(("doc_list",), "SELECT q_id, dr_no, rank, round(similarity, 6) AS similarity FROM doc_list"),
+        "similar_within_area": _with(("within_area",), f"SELECT {_SERVED} FROM within_area"),
+        "similar_within_weapon": _with(("within_weapon",), f"SELECT {_SERVED} FROM within_weapon"),
+        "relevant_counts": _with(("relevant",), "SELECT dr_no, relevant FROM relevant"),
+        "true_recall_at_k": _with(
+            ("relevant", "labels", "ks"),
+            """SELECT r.dr_no, ks.k, round(CASE WHEN relevant = 0 THEN 0 ELSE coalesce(sum(rel), 0) / relevant END, 6) AS recall
+FROM relevant r CROSS JOIN ks LEFT JOIN labels l ON l.q_id = r.dr_no AND l.rank <= ks.k GROUP BY r.dr_no, ks.k, relevant""",
+        ),
+        "held_out_samples": _with(
+            ("doc_sided",),
+            f"""SELECT dr_no, CASE WHEN held THEN 'evaluation' ELSE 'training' END AS side FROM doc_sided
+QUALIFY row_number() OVER (PARTITION BY held ORDER BY md5(CAST(dr_no AS VARCHAR) || ':42'), dr_no)
+  <= CASE WHEN held THEN {evaluation_run.OFFLINE["eval_cases"]} ELSE {evaluation_run.TRAINING_CASES} END""",
+        ),
         "pair_features": _with(("served_list",), f"SELECT q_id, dr_no, {_FEATURES} FROM served_list"),
         "relevance_labels": _with(("served_list",), f"SELECT q_id, dr_no, {_LABEL} AS label FROM served_list"),
         "training_sample": _with(("sampled",), "SELECT dr_no FROM sampled"),

@@ -35,6 +35,8 @@ class TextIndex:
     leaders  text_id, leader_rank, and the case columns: the ``depth`` lowest ids of each text.
              Cases with one text are equally similar to anything and tie on the id, so no pool of
              ``depth`` rows can hold any other case.
+             Of an index of part of the cases (``within``) they are the part's, as are ``n_rows`` and
+             ``first_dr`` of ``texts``; terms and weights are those of all cases.
     cases    the table the index was made of; a pool deeper than ``depth`` takes its leaders from it.
     copies   fewest and most cases per text, known for a saved index; lets a query leave out the
              plan branch that no text needs.
@@ -74,6 +76,39 @@ def fit(
     return TextIndex(texts, idf, weights, leaders, depth, cases=cases if with_leaders else None)
 
 
+def leading_cases_by(cases: DataFrame, field: str, depth: int) -> DataFrame:
+    """(text_id, part, n_rows, leader_rank, case columns): the ``depth`` lowest ids of each text under each value of ``field``."""
+    keyed = cases.select(text_id("mo_text").alias("text_id"), F.col(field).alias("part"), *CASE_COLUMNS)
+    sizes = keyed.groupBy("text_id", "part").agg(F.count(F.lit(1)).alias("n_rows"))
+    leaders = top_per_key(keyed, ["text_id", "part"], [F.asc("dr_no")], depth, "leader_rank", lanes=256)
+    same = leaders["text_id"].eqNullSafe(sizes["text_id"]) & leaders["part"].eqNullSafe(sizes["part"])
+    return leaders.join(sizes, same).select(leaders["text_id"], leaders["part"], "n_rows", "leader_rank", *CASE_COLUMNS)
+
+
+def within(index: TextIndex, field: str, value: str | None, path: str | None = None) -> TextIndex:
+    """The index of the cases whose ``field`` is ``value`` (None: missing), with the weights of all cases.
+
+    The leading cases of each text under each value are a table of their own, made once below ``path`` and then
+    read for every value; one value's rows are a filter on it.
+    """
+    if index.cases is None:
+        raise ValueError("the index does not know its cases")
+    by = None
+    if path is not None:
+        try:
+            by = index.cases.sparkSession.read.parquet(f"{path}/{field}")
+        except AnalysisException:
+            by = None
+    if by is None:
+        by = leading_cases_by(index.cases, field, index.depth)
+        by = by if path is None else write_table(by, f"{path}/{field}")
+    part = by.filter(F.col("part").eqNullSafe(F.lit(value)))
+    firsts = part.filter("leader_rank = 1").select("text_id", "n_rows", F.col("dr_no").alias("first_dr"))
+    texts = index.texts.select("text_id", "mo_text").join(firsts, "text_id")
+    weights = index.weights.drop("n_rows").join(firsts.select("text_id", "n_rows"), "text_id")
+    return replace(index, texts=texts, weights=weights, leaders=part.drop("part", "n_rows"), copies=None, cases=index.cases.filter(F.col(field).eqNullSafe(F.lit(value))))
+
+
 def table_fingerprint(cases: DataFrame, settings: str) -> str:
     """Name of exactly these cases under these settings; one pass over the table.
 
