@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselink.functions.pairs import pair_features
 from caselink.operators import analytics as an
-from caselink.operators import ensemble, evaluation, linkage, prepare, similarity, tfidf
+from caselink.operators import ensemble, evaluation, id_search, linkage, prepare, similarity, tfidf
 from caselink.plans import evaluation_run, reports, views
 from caselink.schema import FEATURES
 from caselink.sources import cases as case_io
-from caselink.sources import models, text_index
+from caselink.sources import growing_index, models, text_index
 from caselink.sources.scratch import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +24,7 @@ CATEGORY = "HIGH"
 AREA = "NATION_13"
 WEAPON = "MACHINERY"
 ID_PATTERN = "1.3"
+ID_PATTERNS = ("123", "1.3", "^12.*5$", "99$", "0{2}1", "(1|2)37", "44+1?", "^7$")
 TOP_K = 20
 SERVED_K = 10
 LATEST = 1000
@@ -158,6 +160,29 @@ def search_case_ids(spark, sf_dir):
     return an.search_case_ids(views.cases(spark, sf_dir), ID_PATTERN)
 
 
+@query("checked_raw_cases")
+def checked_raw_cases(spark, sf_dir):
+    rows, _ = case_io.read_checked_cases(spark, views.broken_csv(spark, sf_dir), views.RAW_HEADERS)
+    return rows
+
+
+@query("rejected_lines")
+def rejected_lines(spark, sf_dir):
+    rows, rejected = case_io.read_checked_cases(spark, views.broken_csv(spark, sf_dir), views.RAW_HEADERS)
+    taken = rows.agg(F.lit("accepted").alias("reason"), F.count(F.lit(1)).alias("lines"))
+    return taken.unionByName(rejected.groupBy("reason").agg(F.count(F.lit(1)).alias("lines")))
+
+
+@query("search_ids_indexed")
+def search_ids_indexed(spark, sf_dir):
+    cases = views.cases(spark, sf_dir)
+    grams = id_search.write_id_grams(cases, views.scratch(spark, sf_dir, "id_grams"))
+    found = [
+        id_search.search_ids_by_grams(grams, cases, p).select(F.lit(p).alias("pattern"), "dr_no") for p in ID_PATTERNS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 # --- analytics ---------------------------------------------------------------------------------
 
 
@@ -280,6 +305,17 @@ def tfidf_weights(spark, sf_dir):
     return _rounded(tfidf.per_case(docs, index.texts, index.weights).select("dr_no", "term", "weight"), ["weight"])
 
 
+@query("appended_tfidf_weights")
+def appended_tfidf_weights(spark, sf_dir):
+    """Weights of an index to which three parts of the documents were appended one after another."""
+    docs = views.document_cases(spark, sf_dir)
+    path = views.scratch(spark, sf_dir, "growing_index")
+    for part in range(3):
+        growing_index.append(docs.filter(F.pmod("dr_no", F.lit(3)) == part), path, f"part-{part}")
+    index = growing_index.load(spark, path)
+    return _rounded(tfidf.per_case(docs, index.texts, index.weights).select("dr_no", "term", "weight"), ["weight"])
+
+
 @query("case_tfidf_weights")
 def case_tfidf_weights(spark, sf_dir):
     cases = views.cases(spark, sf_dir)

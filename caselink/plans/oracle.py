@@ -9,6 +9,7 @@ from caselink.functions.text import ENGLISH_STOP_WORDS
 from caselink.operators import evaluation, linkage, prepare
 from caselink.plans import catalog, evaluation_run
 from caselink.schema import FEATURES
+from caselink.sources import cases
 
 _STOP = ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH_STOP_WORDS)
 
@@ -406,6 +407,19 @@ def oracle_sql() -> dict[str, str]:
             """SELECT dr_no, strftime(datetime, '%Y-%m-%d') AS datetime, area_name, crm_cd, crm_cd_desc, weapon_desc,
        vict_age, vict_sex, mo_text FROM cases WHERE dr_no IN (SELECT l_orderkey FROM lineitem)""",
         ),
+        "checked_raw_cases": _with(("raw",), "SELECT * FROM raw WHERE CAST(dr_no AS BIGINT) % 50 NOT IN (3, 7, 11, 13)"),
+        "rejected_lines": _with(
+            ("raw",),
+            f"""SELECT reason, count(*) AS lines FROM (
+  SELECT unnest(CASE CAST(dr_no AS BIGINT) % 50 WHEN 3 THEN ['{cases.TOO_FEW}'] WHEN 7 THEN ['{cases.TOO_MANY}'] WHEN 11 THEN ['{cases.OPEN_QUOTE}']
+    WHEN 13 THEN ['{cases.OPEN_QUOTE}', '{cases.OPEN_QUOTE}'] ELSE ['accepted'] END) AS reason FROM raw) GROUP BY reason""",
+        ),
+        "search_ids_indexed": _with(
+            ("cases",),
+            "SELECT pattern, dr_no FROM cases JOIN (VALUES "
+            + ", ".join(f"('{p}')" for p in catalog.ID_PATTERNS)
+            + ") p(pattern) ON regexp_matches(CAST(dr_no AS VARCHAR), pattern) QUALIFY row_number() OVER (PARTITION BY pattern ORDER BY dr_no) <= 10",
+        ),
         "search_case_ids": _with(
             ("cases",),
             f"SELECT dr_no FROM cases WHERE regexp_matches(CAST(dr_no AS VARCHAR), '{catalog.ID_PATTERN}') ORDER BY dr_no LIMIT 10",
@@ -491,6 +505,9 @@ WHERE term NOT IN ({_STOP})""",
         "tfidf_weights": _with(
             ("doc_weights",), "SELECT dr_no, term, round(weight, 6) AS weight FROM docs JOIN doc_weights USING (mo_text)"
         ),
+        "appended_tfidf_weights": _with(
+            ("doc_weights",), "SELECT dr_no, term, round(weight, 6) AS weight FROM docs JOIN doc_weights USING (mo_text)"
+        ),
         "case_tfidf_weights": _with(
             ("weights",), "SELECT dr_no, term, round(weight, 6) AS weight FROM cases JOIN weights USING (mo_text)"
         ),

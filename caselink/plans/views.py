@@ -115,6 +115,26 @@ def raw_csv(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
+def broken_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Write the export with malformed lines among the others and return its folder; no header lines.
+
+    Of 50 ids one row each lacks its last field, has one more, begins with an open quote, or goes on in a second line.
+    """
+    path = scratch(spark, sf_dir, "broken")
+    export = raw_export(spark, sf_dir)
+    line = F.to_csv(F.struct(*[F.col(f"`{c}`") for c in export.columns]), {"escape": '"'})
+    lot = F.col("DR_NO").cast("long") % 50
+    spoiled = (
+        F.when(lot == 3, F.regexp_replace(line, ",[^,]*$", ""))
+        .when(lot == 7, F.concat(line, F.lit(",more")))
+        .when(lot == 11, F.concat(F.lit('"'), line))
+        .when(lot == 13, F.regexp_replace(line, ",([^,]*)$", ',"$1\n"'))
+        .otherwise(line)
+    )
+    export.select(spoiled.alias("value")).write.mode("overwrite").text(path)
+    return path
+
+
 def timed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One case per event, with a time of day."""
     return table(spark, sf_dir, "events").select(

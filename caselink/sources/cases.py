@@ -28,6 +28,39 @@ def read_raw_cases(spark: SparkSession, path: str, headers: list[str] | None = N
     return normalize_headers(reader.csv(path))
 
 
+#: Why a line of a raw export is not taken for a row.
+BLANK_LINE, OPEN_QUOTE, TOO_FEW, TOO_MANY = "blank line", "open quote", "too few fields", "too many fields"
+
+
+def checked_lines(spark: SparkSession, path: str, headers: list[str]) -> DataFrame:
+    """(line, reason): every line of the files but headers; ``reason`` is null for a line that is a row.
+
+    Lines are judged one by one, so files of any size are split. A value that goes on in the next line leaves an
+    open quote in both and is rejected as such, where the CSV reader would give two rows of nulls.
+    """
+    line = F.col("value")
+    # What stands in closed quotes does not count; a quote that is left is open.
+    bare = F.regexp_replace(line, '"[^"]*"', "")
+    fields = F.size(F.split(bare, ","))
+    reason = (
+        F.when(F.trim(line) == "", BLANK_LINE)
+        .when(F.contains(bare, F.lit('"')), OPEN_QUOTE)
+        .when(fields < len(headers), TOO_FEW)
+        .when(fields > len(headers), TOO_MANY)
+    )
+    lines = spark.read.text(path).filter(line != ",".join(headers))
+    return lines.select(line.alias("line"), reason.alias("reason"))
+
+
+def read_checked_cases(spark: SparkSession, path: str, headers: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows, rejected): the raw export as ``read_raw_cases`` gives it, and (line, reason) of all other lines."""
+    lines = checked_lines(spark, path, headers)
+    schema = T.StructType([T.StructField(normalize_header(h), T.StringType()) for h in headers])
+    parsed = F.from_csv("line", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), {"escape": '"', "quote": '"'})
+    rows = lines.filter("reason is null").select(parsed.alias("row")).select("row.*")
+    return rows, lines.filter("reason is not null")
+
+
 def read_cases(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Clean case table from Parquet, or from (gzip) CSV.
 
