@@ -22,7 +22,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -67,7 +66,7 @@ def _grams(codes: np.ndarray) -> np.ndarray:
     return (c[:-3] << 24) | (c[1:-2] << 16) | (c[2:-1] << 8) | c[3:]
 
 
-def count_contexts(sample: DataFrame) -> pd.DataFrame:
+def count_contexts(sample: DataFrame) -> pa.Table:
     """How often each run of four bytes occurs in each language's sample: lang, gram, n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,16 +81,17 @@ def count_contexts(sample: DataFrame) -> pd.DataFrame:
 
     grams = sample.mapInArrow(run, "lang string, gram long, n long")
     # Bounded: the sample is.
-    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+    return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
 
 
 class ContextTrees:
     """The cost table of the trees that ``counts`` (lang, gram, n) describe."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-        of = np.searchsorted(self.langs, counts["lang"].to_numpy(str))
+    def __init__(self, counts: pa.Table):
+        lang = np.asarray(counts["lang"]).astype(str)
+        gram, n = np.asarray(counts["gram"]).astype(np.int64), np.asarray(counts["n"]).astype(np.float64)
+        self.langs = sorted(set(lang.tolist()))
+        of = np.searchsorted(self.langs, lang)
         parts = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)])
         # Bytes never met share symbol 0.
         seen = np.unique(np.concatenate([parts.ravel(), np.frombuffer(_PAD, np.uint8)]))
@@ -152,11 +152,11 @@ def _trees(shared) -> ContextTrees:
     return one_model(key, lambda: ContextTrees(counts))
 
 
-def fit(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> pd.DataFrame:
+def fit(docs: DataFrame, per_language: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> pa.Table:
     return count_contexts(learning_sample(docs, per_language, id_col, text_col, lang_col))
 
 
-def identify(docs: DataFrame, counts: pd.DataFrame, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
+def identify(docs: DataFrame, counts: pa.Table, text_col: str = "text", prefix: str = "lang_") -> DataFrame:
     """All columns of ``docs``, then ``<prefix>pred`` and ``<prefix>score``; no shuffle."""
     names = (f"{prefix}pred", f"{prefix}score")
     pred, score = (pa.field(names[0], pa.string()), pa.field(names[1], pa.float64()))
