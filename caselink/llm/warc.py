@@ -5,7 +5,8 @@ are kept for that), puts it into a leading skippable frame and compresses every
 itself, so that a record can be read knowing the dictionary and its offset. Pages with equal payloads of
 ``LEAST_REVISIT`` bytes or more are stored once, by the smallest page id; the others are revisit records
 with the HTTP header only. Only digests and ids are grouped to find what repeats; the join with that, by digest,
-shuffles each payload once.
+shuffles each payload once. Payloads that are too short to be found again, and digests that more than a
+thousandth of the repeated pages have, are dealt over many tasks.
 
 Tasks write under a name of their own attempt and report the archive in a manifest; archives that no
 reported attempt wrote are never read. Readers open the manifest's archives only.
@@ -30,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caselink.llm.common import file_system, run_folder, stored
+from caselink.operators.skew import heavy_keys, spread_join
 
 LEAST_REVISIT = 100
 DICTIONARY_BYTES = 32_768
@@ -50,14 +52,16 @@ def classified(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col).cast("string"), F.lit("")).alias("url"), payload.alias("payload")
     ).withColumn("digest", F.sha2("payload", 256))
     long_enough = F.length("payload") >= LEAST_REVISIT
-    first = (
+    repeated = (
         rows.filter(long_enough)
-        .groupBy(F.col("digest").alias("_digest"))
+        .groupBy(F.col("digest").alias("_key"))
         .agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
         .filter("_n > 1")
-        .drop("_n")
     )
-    joined = rows.join(first, (F.col("digest") == F.col("_digest")) & long_enough, "left")
+    first = stored(repeated, run_folder(pages.sparkSession, "warc_digests"), "repeated")
+    # Short payloads find nothing and are dealt over lanes; so are those of a digest that many pages have.
+    keyed = rows.withColumns({"_key": F.when(long_enough, F.col("digest")), "_spread": F.xxhash64("page_id", "url", "digest")})
+    joined = spread_join(keyed, first.drop("_n"), "_key", heavy_keys(first, "_key", "_n"), "_spread", "left")
     refers = F.when(F.col("_first") != F.coalesce(F.col("page_id"), F.col("_first") - 1), F.col("_first"))
     return joined.select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
 
