@@ -44,8 +44,13 @@ def trained(
     ``version`` saves the pass that takes it. ``index`` may be a function that provides the index; it is called
     only to train. ``apart`` trains on cases whose texts are not held out (``linkage.held_out``).
     """
+    return _trained_at(model_folder(cases, folder, n, trees, apart, version), index, cases, n, trees, reuse, apart)
+
+
+def _trained_at(
+    folder: str, index: TextIndex | Callable[[], TextIndex], cases: DataFrame, n: int, trees: int, reuse: bool, apart: bool
+) -> ensemble.Ensemble:
     spark = cases.sparkSession
-    folder = model_folder(cases, folder, n, trees, apart, version)
 
     def fit() -> ensemble.Ensemble:
         texts = index() if callable(index) else index
@@ -104,9 +109,10 @@ def run_evaluation(
     version: str | None = None,
 ) -> EvaluationRun:
     """Train afresh, then importances and the comparison of both rankings; ``apart`` as in ``compare_rankings``."""
-    version = version or table_fingerprint(cases, "evaluation")
-    model = trained(index, cases, folder, n, trees, False, apart, version)
-    pairs = cases.sparkSession.read.parquet(f"{model_folder(cases, folder, n, trees, apart, version)}/pairs")
+    # Named once: without a version the name costs a pass over the cases.
+    folder = model_folder(cases, folder, n, trees, apart, version)
+    model = _trained_at(folder, index, cases, n, trees, False, apart)
+    pairs = cases.sparkSession.read.parquet(f"{folder}/pairs")
     return EvaluationRun(
         model,
         linkage.label_rate(pairs),

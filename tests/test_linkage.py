@@ -164,7 +164,9 @@ def test_model_folder_follows_cases_and_settings(learnt):
     docs = learnt[1]
     folders = [evaluation_run.model_folder(docs, "f", n, trees) for n, trees in ((60, 5), (61, 5), (60, 6))]
     folders.append(evaluation_run.model_folder(docs.filter("dr_no > 3"), "f", 60, 5))
-    assert len(set(folders)) == 4 and folders[0] == evaluation_run.model_folder(docs, "f", 60, 5)
+    folders.append(evaluation_run.model_folder(docs, "f", 60, 5, apart=True))
+    folders += [evaluation_run.model_folder(docs, "f", 60, 5, version=v) for v in ("1", "2")]
+    assert len(set(folders)) == 7 and folders[0] == evaluation_run.model_folder(docs, "f", 60, 5)
 
 
 def test_model_without_its_marker_is_trained_again(spark, learnt, tmp_path):
@@ -187,3 +189,13 @@ def test_features_can_be_left_out(spark, learnt):
     model = ensemble.train(pairs, kept, trees=2)
     assert ensemble.importances(model, spark).count() == 5
     assert {"p_rf", "p_gb", "score"} <= set(ensemble.score(pairs, model).columns)
+
+
+def test_evaluation_apart_from_training(spark, learnt, tmp_path):
+    index, docs, _, _ = learnt
+    run = evaluation_run.run_evaluation(index, docs, str(tmp_path), n=60, eval_cases=10, k_values=(1, 3), trees=3, apart=True, version="1")
+    pairs = spark.read.parquet(evaluation_run.model_folder(docs, str(tmp_path), 60, 3, apart=True, version="1") + "/pairs")
+    held = lambda c: F.count(F.when(linkage.held_out(F.col(f"{c}.mo_text")), 1))
+    assert tuple(pairs.agg(held("base"), held("cand")).first()) == (0, 0) and run.label_rate.first()["pairs"] == pairs.count()
+    rows = run.comparison.collect()
+    assert [r["k"] for r in rows] == [1, 3] and all(0 <= r[c] <= 1 for r in rows for c in run.comparison.columns[1:])
