@@ -78,7 +78,9 @@ def load(spark: SparkSession, path: str, depth: int = DEPTH) -> TextIndex | None
     corpus = texts.agg(F.sum("n_rows")).scalar()
     merged = read("terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_texts").alias("n_texts"))
     idf = write_table(merged.withColumn("idf", F.log((1 + corpus) / (1 + F.col("df"))) + 1), f"{folder}/idf")
-    counts = read("term_counts").join(texts.select("text_id", "n_rows"), "text_id").select("text_id", "n_rows", "term", "tf")
-    weights = write_table(term_weights(counts, idf), f"{folder}/weights")
+    # Numbers of cases are joined last, where the rows lie by text already.
+    counts = read("term_counts").select("text_id", F.lit(0).alias("n_rows"), "term", "tf")
+    weighed = term_weights(counts, idf).drop("n_rows").join(texts.select("text_id", "n_rows"), "text_id")
+    weights = write_table(weighed.select("text_id", "n_rows", "term", "tf", "n_texts", "weight"), f"{folder}/weights")
     leaders = top_per_key(read("leaders").select("text_id", *CASE_COLUMNS), ["text_id"], [F.asc("dr_no")], depth, "leader_rank", lanes=256)
     return TextIndex(texts, idf, weights, write_table(leaders, f"{folder}/leaders"), depth)
