@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 from caselink.functions.pairs import pair_features
 from caselink.operators import analytics as an
 from caselink.operators import ensemble, evaluation, id_search, linkage, prepare, similarity, tfidf
-from caselink.plans import evaluation_run, reports, views
+from caselink.plans import daily, evaluation_run, reports, views
 from caselink.schema import FEATURES
 from caselink.sources import cases as case_io
-from caselink.sources import growing_index, models, text_index
+from caselink.sources import growing_index, lookup, models, text_index
 from caselink.sources.scratch import write_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -155,6 +155,14 @@ def case_detail(spark, sf_dir):
     return an.case_detail(an.lookup_cases(views.cases(spark, sf_dir), asked))
 
 
+@query("case_detail_by_lot")
+def case_detail_by_lot(spark, sf_dir):
+    path = views.scratch(spark, sf_dir, "lookup")
+    lookup.write_lookup(views.cases(spark, sf_dir), path)
+    asked = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("dr_no"))
+    return an.case_detail(lookup.lookup(spark, path, asked))
+
+
 @query("search_case_ids")
 def search_case_ids(spark, sf_dir):
     return an.search_case_ids(views.cases(spark, sf_dir), ID_PATTERN)
@@ -578,6 +586,42 @@ def _probable(*columns: str):
     return within & (F.abs(F.col("score") - (F.col("p_rf") + F.col("p_gb")) / 2) < 1e-12)
 
 
+# --- store by day --------------------------------------------------------------------------------
+
+GRAIN = "month"
+LATE_SINCE = "2000-07-01"
+
+
+def _daily_store(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """All cases, the last year's at first without weapon, sex and age, then replaced by the whole ones."""
+    path = views.scratch(spark, sf_dir, f"daily_{name}")
+    cases = write_table(views.cases(spark, sf_dir), views.scratch(spark, sf_dir, f"daily_{name}_source"))
+    late = F.col("datetime") >= F.lit(LATE_SINCE).cast("timestamp_ntz")
+    raw = {c: F.when(~late, F.col(c)) for c in ("weapon_desc", "vict_sex", "vict_age")}
+    daily.replace(cases.withColumns(raw), path, GRAIN)
+    daily.replace(cases.filter(late), path, GRAIN)
+    return path
+
+
+@query("daily_analytics_report")
+def daily_analytics_report(spark, sf_dir):
+    path = _daily_store(spark, sf_dir, "report")
+    return daily.analytics_report(spark, path, views.scratch(spark, sf_dir, "daily_report_counts"), grain=GRAIN)
+
+
+@query("daily_summary")
+def daily_summary(spark, sf_dir):
+    """Approximate distinct ids are compared with the number of cases, which are unique here."""
+    figures = daily.summary(spark, _daily_store(spark, sf_dir, "summary"), grain=GRAIN)
+    close = F.abs(F.col("distinct_ids") - F.col("total_cases")) <= 0.03 * F.col("total_cases")
+    return figures.select("total_cases", "distinct_areas", "crime_types", close.alias("ids_close"), "min_date", "max_date")
+
+
+@query("daily_latest_cases")
+def daily_latest_cases(spark, sf_dir):
+    return daily.latest_cases(spark, _daily_store(spark, sf_dir, "latest"), RECENT)
+
+
 @query("train_ensemble_checked")
 def train_ensemble_checked(spark, sf_dir):
     scored = train_ensemble(spark, sf_dir)

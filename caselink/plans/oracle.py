@@ -391,6 +391,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "clean_cases": _with(("prepared",), "SELECT * FROM prepared"),
         "recent_cases": _with(("cases",), f"SELECT * FROM cases {newest} {n}"),
+        "daily_latest_cases": _with(("cases",), f"SELECT * FROM cases {newest} {n}"),
         "latest_cases": _with(("timed",), f"SELECT * FROM timed {newest} {catalog.LATEST}"),
         "prepare_cases": _with(("unique_prepared",), "SELECT * FROM unique_prepared"),
         "prepare_recent_cases": _with(("unique_prepared",), f"SELECT * FROM unique_prepared {newest} {n}"),
@@ -405,6 +406,11 @@ def oracle_sql() -> dict[str, str]:
         "case_detail": _with(
             ("cases",),
             """SELECT dr_no, strftime(datetime, '%Y-%m-%d') AS datetime, area_name, crm_cd, crm_cd_desc, weapon_desc,
+       vict_age, vict_sex, mo_text FROM cases WHERE dr_no IN (SELECT l_orderkey FROM lineitem)""",
+        ),
+        "case_detail_by_lot": _with(
+            ("cases",),
+            """SELECT dr_no, strftime(datetime, '%Y-%m-%d') AS datetime, area_name, crm_cd, crm_cd_desc, weapon_desc,
        vict_age, vict_sex, mo_text FROM cases WHERE dr_no IN (SELECT l_orderkey FROM lineitem)""",
         ),
         "checked_raw_cases": _with(("raw",), "SELECT * FROM raw WHERE CAST(dr_no AS BIGINT) % 50 NOT IN (3, 7, 11, 13)"),
@@ -481,6 +487,24 @@ UNION ALL SELECT 'hour_of_day', CAST(hour(datetime) AS INTEGER), CAST(hour(datet
 UNION ALL SELECT 'yoy_trend', CAST((dense_rank() OVER (ORDER BY y) - 1) * 12 + month_num - 1 AS INTEGER), month || ' ' || y, count(datetime)
 FROM {_MONTHS_AXIS} CROSS JOIN (SELECT DISTINCT year(datetime) AS y FROM cases WHERE datetime IS NOT NULL)
 LEFT JOIN cases ON month(datetime) = month_num AND year(datetime) = y GROUP BY y, month_num, month""",
+        ),
+        "daily_analytics_report": _with(
+            ("months",),
+            f"""SELECT 'monthly_trend' AS metric, CAST(row_number() OVER (ORDER BY month) - 1 AS INTEGER) AS pos, month AS name, count FROM months
+UNION ALL {_ranked_chart("top_areas", "area_name", 10)}
+UNION ALL {_ranked_chart("top_weapons", _WEAPON, 10)}
+UNION ALL {_ranked_chart("sex_breakdown", _SEX, None)}
+UNION ALL SELECT 'age_groups', pos, name, count FROM ({_AGES})
+UNION ALL SELECT 'day_of_week', pos, name, count FROM ({_weekdays('cases')})
+UNION ALL SELECT 'hour_of_day', CAST(hour(datetime) AS INTEGER), CAST(hour(datetime) AS VARCHAR), count(*) FROM cases GROUP BY ALL
+UNION ALL SELECT 'yoy_trend', CAST((dense_rank() OVER (ORDER BY y) - 1) * 12 + month_num - 1 AS INTEGER), month || ' ' || y, count(datetime)
+FROM {_MONTHS_AXIS} CROSS JOIN (SELECT DISTINCT year(datetime) AS y FROM cases WHERE datetime IS NOT NULL)
+LEFT JOIN cases ON month(datetime) = month_num AND year(datetime) = y GROUP BY y, month_num, month""",
+        ),
+        "daily_summary": _with(
+            ("cases",),
+            """SELECT count(*) AS total_cases, count(DISTINCT area_name) AS distinct_areas, count(DISTINCT crm_cd_desc) AS crime_types,
+       TRUE AS ids_close, strftime(min(datetime), '%Y-%m-%d') AS min_date, strftime(max(datetime), '%Y-%m-%d') AS max_date FROM cases""",
         ),
         "metrics_report": _with(
             ("cases",),

@@ -68,9 +68,16 @@ def headline_report(cases: DataFrame, folder: str, n: int = 5) -> DataFrame:
 def analytics_report(cases: DataFrame, folder: str, n: int = 10) -> DataFrame:
     """All charts from one read of the table: (metric, pos, name, count).
 
+    The counts are written to ``folder`` and the charts are cut from that small table.
+    """
+    return charts(write_table(chart_counts(cases), folder), n)
+
+
+def chart_counts(cases: DataFrame, *by: str) -> DataFrame:
+    """(*by, metric, key, count): how many cases each mark of each chart stands for, per value of the columns ``by``.
+
     Every case yields one (metric, key) pair per chart. The pairs are counted map-side, so the
-    shuffle carries distinct keys only; the counts are written to ``folder`` and the charts are
-    cut from that small table.
+    shuffle carries distinct keys only.
     """
     keys = {
         "monthly_trend": F.date_format("datetime", "yyyy-MM"),
@@ -82,13 +89,12 @@ def analytics_report(cases: DataFrame, folder: str, n: int = 10) -> DataFrame:
         "hour_of_day": F.hour("datetime").cast("string"),
     }
     pairs = F.array(*[F.struct(F.lit(m).alias("metric"), k.alias("key")) for m, k in keys.items()])
-    counted = write_table(
-        cases.select(F.inline(pairs))
-        .filter(F.col("key").isNotNull())
-        .groupBy("metric", "key")
-        .agg(F.count(F.lit(1)).alias("count")),
-        folder,
-    )
+    rows = cases.select(*by, F.inline(pairs)).filter(F.col("key").isNotNull())
+    return rows.groupBy(*by, "metric", "key").agg(F.count(F.lit(1)).alias("count"))
+
+
+def charts(counted: DataFrame, n: int = 10) -> DataFrame:
+    """The charts of (metric, key, count), which is read once per chart."""
 
     def of(metric: str, key=F.col("key"), name: str = "name") -> DataFrame:
         return counted.filter(F.col("metric") == metric).select(key.alias(name), "count")
