@@ -5,8 +5,9 @@ byte costs -log2 of its probability after the longest context the language has s
 context has not seen pays the context's escape probability and falls to the next shorter context, in the
 end to 1 of 256. A context met n times with d different bytes gives a byte seen c times c / (n + d) and
 escapes with d / (n + d). The counts are frozen, so the cost of a byte depends on it and the three before
-it only: each worker turns the trees into one table of costs, and the code length of a whole text is a sum
-of lookups. The language with the shortest code wins.
+it only: each worker turns the trees into sorted arrays of what was met, and the code length of a whole text
+is a sum of lookups, by binary search and back-off where a run was never met. The language with the shortest
+code wins.
 
 The trees are fitted on a sample of at most about ``SAMPLE`` labelled documents per language, drawn by a
 digest of the id, so the counts that reach the driver are bounded. Every row is scored over its whole text.
@@ -19,7 +20,8 @@ language first in the alphabet; the score is the winner's share of 2^-(bits per
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,8 @@ from caselink.llm.common import one_model, slices, tidy
 UNDETERMINED = "und"
 SAMPLE = 1500
 FOLDS = 5
-_PAD = b"\n\n\n"
+ORDER = 3
+_PAD = b"\n" * ORDER
 _EVIDENCE = 32.0
 _STEP = 500_000
 _LETTER = regex.compile(r"\p{L}")
@@ -84,65 +87,102 @@ def count_contexts(sample: DataFrame) -> pa.Table:
     return grams.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
 
 
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key stands in the sorted ``keys``, and whether it is there."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class _Costs:
+    """A cost for each language of the keys that any has met; ``base`` gives those of languages that have not.
+
+    Keys of several languages have a row of a table, those of one language a single number.
+    """
+
+    def __init__(self, key: np.ndarray, lang: np.ndarray, cost: np.ndarray, width: int, base: Callable[[np.ndarray], np.ndarray]):
+        self.base = base
+        keys, first, count = np.unique(key, return_index=True, return_counts=True)
+        lone = count < min(2, width)
+        self.keys, self.lone = keys[~lone].astype(np.uint32), keys[lone].astype(np.uint32)
+        self.lone_lang, self.lone_cost = lang[first[lone]].astype(np.int16), cost[first[lone]].astype(np.float32)
+        self.table = base(self.keys)
+        several = np.repeat(~lone, count)
+        self.table[np.repeat(np.cumsum(~lone) - 1, count)[several], lang[several]] = cost[several]
+
+    def of(self, wanted: np.ndarray) -> np.ndarray:
+        """The costs of each wanted key in every language."""
+        at, hit = _places(self.keys, wanted)
+        if hit.all():
+            return self.table[at]
+        miss = np.flatnonzero(~hit)
+        left = wanted[miss]
+        rest = self.base(left)
+        place, single = _places(self.lone, left)
+        place = place[single]
+        rest[np.flatnonzero(single), self.lone_lang[place]] = self.lone_cost[place]
+        if len(miss) == len(wanted):
+            return rest
+        out = self.table[at]
+        out[miss] = rest
+        return out
+
+    @property
+    def nbytes(self) -> int:
+        return sum(a.nbytes for a in (self.keys, self.lone, self.lone_lang, self.lone_cost, self.table))
+
+
 class ContextTrees:
-    """The cost table of the trees that ``counts`` (lang, gram, n) describe."""
+    """The trees that ``counts`` (lang, gram, n) describe, level by level as sorted arrays of what was met.
+
+    ``cost[k]`` holds what a byte costs after k context bytes, ``escape[k]`` what it costs to leave such a context.
+    Memory follows the counts, not the number of possible contexts.
+    """
 
     def __init__(self, counts: pa.Table):
-        lang = np.asarray(counts["lang"]).astype(str)
-        gram, n = np.asarray(counts["gram"]).astype(np.int64), np.asarray(counts["n"]).astype(np.float64)
-        self.langs = sorted(set(lang.tolist()))
-        of = np.searchsorted(self.langs, lang)
-        parts = np.stack([(gram >> s) & 255 for s in (24, 16, 8, 0)])
-        # Bytes never met share symbol 0.
-        seen = np.unique(np.concatenate([parts.ravel(), np.frombuffer(_PAD, np.uint8)]))
-        self.symbol = np.zeros(256, np.int32)
-        self.symbol[seen] = np.arange(1, len(seen) + 1)
-        self.size = a = len(seen) + 1
-        x, y, z, s = self.symbol[parts].astype(np.int64)
-        context, which = np.unique((x * a + y) * a + z, return_inverse=True)
-        n_lang, n_context = len(self.langs), len(context)
-        self.row = np.tile(np.arange(a * a, dtype=np.int32) + n_context, a)
-        self.row[context] = np.arange(n_context)
-        cost = np.empty((n_lang, n_context + a * a, a), np.float32)
-        for lang in range(n_lang):
-            mine = of == lang
-            weight = n[mine]
-            third = np.bincount(which[mine] * a + s[mine], weight, n_context * a).reshape(n_context, a)
-            second = np.bincount((y[mine] * a + z[mine]) * a + s[mine], weight, a**3).reshape(a * a, a)
-            first = second.reshape(a, a, a).sum(0)
-            p = self._mix(first.sum(0)[None], np.full((1, a), 1 / 256))
-            p = self._mix(first, np.broadcast_to(p, (a, a)))
-            p = self._mix(second, np.tile(p, (a, 1)))
-            cost[lang, n_context:] = -np.log2(p)
-            cost[lang, :n_context] = -np.log2(self._mix(third, p[context % (a * a)]))
-        self.cost = np.ascontiguousarray(cost.reshape(n_lang, -1).T)
-
-    @staticmethod
-    def _mix(counts: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        """Probabilities of every symbol after every context, given those after the context without its first byte."""
-        n, d = counts.sum(1, keepdims=True), (counts > 0).sum(1, keepdims=True)
-        total = np.maximum(n + d, 1)
-        return np.where(n == 0, shorter, np.where(counts > 0, counts / total, d / total * shorter))
+        coded = counts["lang"].combine_chunks().dictionary_encode()
+        named = coded.dictionary.to_pylist()
+        self.langs = sorted(named)
+        of = np.searchsorted(self.langs, named).astype(np.int16)[coded.indices.to_numpy()]
+        gram, n = counts["gram"].to_numpy(), counts["n"].to_numpy().astype(np.float64)
+        width = len(self.langs)
+        self.cost: list[_Costs] = []
+        self.escape: list[_Costs] = []
+        nothing = lambda keys: np.zeros((len(keys), width), np.float32)
+        for k in range(ORDER + 1):
+            # The byte is the lowest eight bits; its context of k bytes stands above them.
+            pair, which = np.unique((gram & ((1 << 8 * (k + 1)) - 1)) * width + of, return_inverse=True)
+            met = np.bincount(which, n)
+            key, owner_lang = pair // width, (pair % width).astype(np.int16)
+            context, owner = np.unique((key >> 8) * width + owner_lang, return_inverse=True)
+            kinds = np.bincount(owner)
+            both = np.bincount(owner, met) + kinds
+            met /= both[owner]
+            del pair, which, owner
+            self.escape.append(_Costs(context // width, context % width, -np.log2(kinds / both), width, nothing))
+            del context, kinds, both
+            self.cost.append(_Costs(key, owner_lang, -np.log2(met), width, partial(self._left, k)))
+
+    def _left(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """Costs of bytes that are not met after their k context bytes: the escape, then what they cost after k - 1."""
+        out = self.escape[k].of(keys >> np.uint32(8))
+        out += np.float32(8) if k == 0 else self.cost[k - 1].of(keys & np.uint32((1 << 8 * k) - 1))
+        return out
 
     def bits(self, texts: list[str]) -> np.ndarray:
         """Code length of each whole text under each language."""
-        a = self.size
         raw = [_PAD + t.encode() for t in texts]
-        codes = self.symbol[np.frombuffer(b"".join(raw), np.uint8)]
-        ends = np.cumsum([len(r) for r in raw])
+        codes = np.frombuffer(b"".join(raw), np.uint8)
         out = np.zeros((len(texts), len(self.langs)))
         text = np.repeat(np.arange(len(raw), dtype=np.int32), [len(r) for r in raw])
         # Positions whose three predecessors belong to the same text.
-        for k in range(3, len(codes), _STEP):
-            part = codes[k - 3 : k + _STEP]
+        for k in range(ORDER, len(codes), _STEP):
             owner = text[k : k + _STEP]
-            row = self.row[(part[:-3] * a + part[1:-2]) * a + part[2:-1]].astype(np.int64) * a + part[3:]
-            own = owner == text[k - 3 : k - 3 + len(owner)]
-            cost = self.cost[row]
-            cost[~own] = 0
+            cost = self.cost[ORDER].of(_grams(codes[k - ORDER : k + _STEP]))
+            cost[owner != text[k - ORDER : k - ORDER + len(owner)]] = 0
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             out[owner[starts]] += np.add.reduceat(cost, starts, axis=0, dtype=np.float64)
-        assert ends[-1] == len(codes)
         return out
 
 

@@ -1,10 +1,12 @@
 """Language identification and vector search."""
 
 import math
+import tracemalloc
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from llm_fixtures import SMALL, make_docs  # noqa: F401
 
@@ -46,16 +48,38 @@ def test_code_lengths_are_exact():
         for i in range(len(raw) - 3):
             counts[lang][raw[i : i + 4]] = counts[lang].get(raw[i : i + 4], 0) + 1
         rows += [(lang, int.from_bytes(g, "big"), n) for g, n in counts[lang].items()]
-    trees = language_id.ContextTrees(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    trees = language_id.ContextTrees(pa.Table.from_pandas(pd.DataFrame(rows, columns=["lang", "gram", "n"])))
     probes = ["", "the", "x", "über und ü", "then the \x00 cat", "日本"]
     got = trees.bits(probes)
     expected = [[brute_bits(counts, lang, p) for lang in trees.langs] for p in probes]
     assert np.allclose(got, expected, rtol=1e-5, atol=1e-4)
 
 
+def test_many_languages_of_all_bytes_stay_small():
+    r, counts, rows = np.random.default_rng(3), {}, []
+    for k in range(20):
+        grams = np.unique(r.integers(0, 1 << 32, 100_000, dtype=np.uint64))
+        n = r.integers(1, 9, len(grams))
+        rows.append(pa.table({"lang": [f"l{k:02d}"] * len(grams), "gram": grams.astype(np.int64), "n": n}))
+        if k < 3:
+            counts[f"l{k:02d}"] = {int(g).to_bytes(4, "big"): int(m) for g, m in zip(grams, n)}
+    table = pa.concat_tables(rows)
+    tracemalloc.start()
+    trees = language_id.ContextTrees(table)
+    held, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # Two million runs of four bytes; a row of 20 costs for each would take 160 MB at every order.
+    assert held < 120e6 and most < 300e6
+    assert held < 1.2 * sum(c.nbytes for c in (*trees.cost, *trees.escape))
+    probes = ["", "über 日本 \x00", "क्या", "plain"]
+    got = trees.bits(probes)[:, :3]
+    expected = [[brute_bits(counts, lang, p) for lang in trees.langs[:3]] for p in probes]
+    assert np.allclose(got, expected, rtol=1e-5, atol=1e-3)
+
+
 def test_windows_of_long_texts_agree(monkeypatch):
     rows = [("a", int.from_bytes(g, "big"), 1) for g in (b"abcd", b"bcda", b"xabc")]
-    trees = language_id.ContextTrees(pd.DataFrame(rows, columns=["lang", "gram", "n"]))
+    trees = language_id.ContextTrees(pa.Table.from_pandas(pd.DataFrame(rows, columns=["lang", "gram", "n"])))
     texts = ["abcd" * 50, "", "x", "bcda" * 9]
     whole = trees.bits(texts)
     monkeypatch.setattr(language_id, "_STEP", 7)
