@@ -21,22 +21,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, "[\\x20\\x09-\\x0D]+"), "")
 
 
-def over_shingles(word_array: Column, value) -> Column:
-    """``value`` of every shingle of ``word_array`` in order, repeats included."""
-    n = F.size(word_array)
-    runs = F.transform(F.sequence(F.lit(1), n - (WORDS - 1)), lambda i: value(F.slice(word_array, i, WORDS)))
-    whole = F.when(n > 0, F.array(value(word_array))).otherwise(F.filter(F.array(value(word_array)), lambda _: F.lit(False)))
-    return F.when(n >= WORDS, runs).otherwise(whole)
-
-
-def shingle_hashes(word_array: Column) -> Column:
-    return over_shingles(word_array, lambda run: F.xxhash64(run))
-
-
-def shingle_texts(word_array: Column) -> Column:
-    return over_shingles(word_array, lambda run: F.array_join(run, " "))
-
-
 def word_sequence(text: str) -> bytes:
     """The words of a text with one blank between them, in UTF-8."""
     return b" ".join(text.encode().lower().split())

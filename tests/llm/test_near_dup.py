@@ -146,15 +146,17 @@ def brute_pairs(docs, items):
     out = {}
     for item_id, text in items:
         item = brute_set(text)
+        length = len(min(item, default=()))
         for doc_id, body in docs:
-            shared = len(item & brute_set(body))
+            split = [w for w in re.split("[\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), body or "")) if w]
+            shared = len(item & {tuple(split[i : i + length]) for i in range(len(split) - length + 1)})
             if item and 100 * shared >= 75 * len(item):
                 out[doc_id, item_id] = (len(item), max(shared, out.get((doc_id, item_id), (0, 0))[1]))
     return out
 
 
 def items_and_documents(r):
-    items = [(i, " ".join(words(r, n))) for i, n in enumerate([1, 3, 5, 6, 20, 40, 130, 300])] + [(50, None), (51, " ")]
+    items = [(i, " ".join(words(r, n))) for i, n in enumerate([1, 3, 5, 6, 20, 40, 130, 300, 2, 4])] + [(50, None), (51, " ")]
     docs = []
     for k in range(80):
         body = words(r, r.choice([0, 10, 300, 2000]))
@@ -177,7 +179,7 @@ def test_contaminated_pairs(spark, make_docs):  # noqa: F811
 
 
 def test_shuffled_sketches_give_the_same(spark, make_docs, monkeypatch):  # noqa: F811
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 0)
     items, docs = items_and_documents(random.Random(6))
     got = decontaminate.contamination(make_docs(*docs), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got} == set(brute_pairs(docs, items))
@@ -192,6 +194,30 @@ def test_clean_documents_stay(spark, make_docs):  # noqa: F811
     assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted((d for d, _ in docs if d not in bad), key=str)
 
 
+def test_sketches_cannot_miss_at_any_size(spark):
+    """As many values as a document may lack of the item, and one more, for each size."""
+    items = [(n, " ".join(f"w{n}x{i}" for i in range(n + 4))) for n in (1, 2, 3, 4, 7, 8, 100, 127, 128, 129, 1000, 5000)]
+    sets = decontaminate.item_sets(spark.createDataFrame(items, "item_id long, text string"))
+    kept = {r["item_id"]: r["count"] for r in decontaminate.sketches(sets).groupBy("item_id").count().collect()}
+    assert {r["item_id"]: r["n_item"] for r in sets.collect()} == {n: n for n, _ in items}
+    for n, count in kept.items():
+        assert n - -(-75 * n // 100) + 1 <= count <= n // 2 + 1
+
+
+def test_short_items_are_found_inside_long_documents(spark, make_docs):  # noqa: F811
+    items = spark.createDataFrame([(1, "Red fox"), (2, "the red fox ran"), (3, "one two three four five six")], "item_id long, text string")
+    docs = make_docs((1, "and the red fox ran on " * 500), (2, "red a fox"), (3, "RED\nFOX"), (4, "one two three four five seven"), (None, "a red fox"), (None, "no"))
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {(1, 1), (1, 2), (3, 1), (None, 1)}
+
+
+def test_a_third_of_rows_without_an_id(spark, make_docs):  # noqa: F811
+    items, docs = items_and_documents(random.Random(9))
+    docs = [(None if i % 3 == 0 else d, t) for i, (d, t) in enumerate(docs)]
+    got = decontaminate.contamination(make_docs(*docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]): (r["item_shingles"], r["shared"]) for r in got} == brute_pairs(docs, items)
+
+
 def test_no_items_or_no_documents(spark, make_docs):  # noqa: F811
     items = spark.createDataFrame([(1, "a b c d e")], "item_id long, text string")
     docs = make_docs((1, "a b c d e"))
