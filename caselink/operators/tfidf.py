@@ -9,12 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.text import ENGLISH_STOP_WORDS, is_term, text_id, text_or_empty, tokens
 from caselink.operators.skew import heavy_keys, spread_join
 
+# Terms with more than 1/COMMON of all counts are broadcast with their frequencies; at most COMMON can be.
+COMMON = 500_000
+
 
 def distinct_texts(cases: DataFrame) -> DataFrame:
     """(text_id, mo_text, n_rows, first_dr): one row per distinct text, null counting as empty."""
@@ -33,13 +35,31 @@ def tokenize(texts: DataFrame, keep: Sequence[str], stop_words: Sequence[str] =
     )
 
 
-def term_counts(texts: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """(text_id, n_rows, term, tf)."""
-    return (
-        tokenize(texts, ["text_id", "n_rows"], stop_words)
-        .groupBy("text_id", "n_rows", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
+def term_lists(texts: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """``texts`` with ``terms``, an array of (term, tf), in place of ``mo_text``; counted inside each row, no shuffle."""
+    words = F.filter(tokens("mo_text"), lambda w: is_term(w, stop_words))
+    sorted_words = texts.withColumn("_words", F.sort_array(words)).drop("mo_text")
+    begins = F.filter(
+        F.sequence(F.lit(0), F.size("_words") - 1),
+        lambda i: (i >= 0) & ((i == 0) | (F.get("_words", i) != F.get("_words", i - 1))),
+    )
+    entry = lambda at, i: F.struct(
+        F.get("_words", at).alias("term"), (F.coalesce(F.get("_begins", i + 1), F.size("_words")) - at).cast("long").alias("tf")
     )
+    terms = F.when(F.size("_words") > 0, F.transform("_begins", entry)).otherwise(F.array().cast("array<struct<term:string,tf:bigint>>"))
+    return sorted_words.withColumn("_begins", begins).withColumn("terms", terms).drop("_words", "_begins")
+
+
+def unlisted(lists: DataFrame) -> DataFrame:
+    """One row for each entry of ``terms``, its fields as columns."""
+    # The outer form: Spark would count all terms twice to leave out rows without any beforehand.
+    rest = [c for c in lists.columns if c != "terms"]
+    return lists.select(*rest, F.inline_outer("terms")).filter(F.col("term").isNotNull())
+
+
+def term_counts(texts: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """(text_id, n_rows, first_dr, term, tf)."""
+    return unlisted(term_lists(texts, stop_words))
 
 
 def inverse_document_frequency(counts: DataFrame, texts: DataFrame) -> DataFrame:
@@ -52,16 +72,39 @@ def inverse_document_frequency(counts: DataFrame, texts: DataFrame) -> DataFrame
     )
 
 
-def term_weights(counts: DataFrame, idf: DataFrame) -> DataFrame:
-    """(text_id, n_rows, term, tf, n_texts, weight): tf * idf, scaled to length 1 per text.
+def weight_lists(texts: DataFrame, idf: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
+    """(text_id, n_rows, first_dr, terms), ``terms`` being (term, tf, n_texts, weight): tf * idf, scaled to length 1 per text.
 
-    Frequent terms are dealt over several tasks in the join with ``idf``.
+    ``texts`` have ``mo_text``, or the ``terms`` that were counted before. Terms above 1/COMMON of all counts, at
+    most COMMON of them, are broadcast; only the counts of the others meet ``idf`` in a shuffle and go back to their
+    text. So most counts never leave the task that has their text.
     """
-    heavy = heavy_keys(idf, "term", "n_texts")
-    raw = spread_join(counts, idf.select("term", "n_texts", "idf"), "term", heavy, "text_id")
-    raw = raw.withColumn("raw", F.col("tf") * F.col("idf"))
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(W.partitionBy("text_id")))
-    return raw.select("text_id", "n_rows", "term", "tf", "n_texts", (F.col("raw") / length).alias("weight"))
+    listed = (lambda df: df) if "terms" in texts.columns else (lambda df: term_lists(df, stop_words))
+    share = F.col("n_texts") * F.lit(COMMON) / idf.agg(F.sum("n_texts")).scalar()
+    common = F.broadcast(idf.filter(share >= 1).select("term", F.col("n_texts").alias("_n"), F.col("idf").alias("_idf")))
+    rare = (
+        unlisted(listed(texts).select("text_id", "terms"))
+        .join(common, "term", "left_anti")
+        .join(idf.filter(share < 1).select("term", "n_texts", "idf"), "term")
+        .groupBy("text_id")
+        .agg(F.collect_list(F.struct("term", "tf", "n_texts", "idf")).alias("_rare"))
+    )
+    empty = F.array().cast("array<struct<term:string,tf:bigint,n_texts:bigint,idf:double>>")
+    unknown = [F.lit(None).cast("bigint").alias("n_texts"), F.lit(None).cast("double").alias("idf")]
+    counted = F.transform("terms", lambda t: F.struct(t["term"].alias("term"), t["tf"].alias("tf"), *unknown))
+    both = listed(texts.join(rare, "text_id", "left")).select(
+        "text_id", "n_rows", "first_dr", F.concat(counted, F.coalesce("_rare", empty)).alias("terms")
+    )
+    # Each rare term stands twice: as counted, which finds nothing here and goes, and as found above.
+    found = unlisted(both).join(common, "term", "left").withColumn("_idf", F.coalesce("_idf", "idf")).filter(F.col("_idf").isNotNull())
+    entry = F.struct("term", "tf", F.coalesce("_n", "n_texts").alias("n_texts"), (F.col("tf") * F.col("_idf")).alias("weight"))
+    lists = found.groupBy("text_id", "n_rows", "first_dr").agg(F.collect_list(entry).alias("terms"))
+    # Scaled in the last step of the sum: as a column of its own, the length would be summed again for every entry.
+    scaled = lambda t, square: F.struct(
+        t["term"].alias("term"), t["tf"].alias("tf"), t["n_texts"].alias("n_texts"), (t["weight"] / F.sqrt(square)).alias("weight")
+    )
+    total = lambda square, t: square + t["weight"] * t["weight"]
+    return lists.withColumn("terms", F.aggregate("terms", F.lit(0.0), total, lambda square: F.transform("terms", lambda t: scaled(t, square))))
 
 
 def corpus_stats(texts: DataFrame, counts: DataFrame) -> DataFrame:
@@ -72,8 +115,18 @@ def corpus_stats(texts: DataFrame, counts: DataFrame) -> DataFrame:
     ).select(texts.agg(F.sum("n_rows")).scalar().alias("n_rows"), "vocabulary", "stored_elements")
 
 
-def per_case(cases: DataFrame, texts: DataFrame, rows: DataFrame) -> DataFrame:
-    """Rows held per ``text_id`` -> rows per case (``dr_no``), for all cases that share the text."""
-    heavy = heavy_keys(texts, "text_id", "n_rows")
+def per_case(cases: DataFrame, texts: DataFrame, rows: DataFrame, cases_are_all: bool = False) -> DataFrame:
+    """Rows held per ``text_id`` -> rows per case (``dr_no``), for all cases that share the text.
+
+    ``cases_are_all`` says that ``texts`` were made of exactly these cases. Rows of a text that one case has then
+    take its id from ``first_dr`` and are not shuffled; ``rows`` must have ``n_rows`` and ``first_dr``.
+    """
     ids = cases.select("dr_no", text_id("mo_text").alias("text_id"))
-    return spread_join(ids, rows, "text_id", heavy, "dr_no").drop("text_id")
+    if not cases_are_all:
+        heavy = heavy_keys(texts, "text_id", "n_rows")
+        return spread_join(ids, rows, "text_id", heavy, "dr_no").drop("text_id")
+    # Ids alone are counted: grouping the texts again would shuffle them.
+    heavy = heavy_keys(ids.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_rows")), "text_id", "n_rows")
+    shared = spread_join(ids, rows.filter("n_rows > 1"), "text_id", heavy, "dr_no").drop("text_id")
+    single = rows.filter("n_rows = 1").withColumn("dr_no", F.col("first_dr")).drop("text_id")
+    return shared.unionByName(single)

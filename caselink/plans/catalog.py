@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from functools import reduce
 
@@ -51,19 +52,22 @@ def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
     return text_index.load_or_fit(cases, views.scratch(spark, sf_dir, "text_index"))
 
 
-def _document_index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
-    docs = views.document_cases(spark, sf_dir)
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document cases, joined and stored once for a query: every read of the view would shuffle all texts."""
+    return write_table(views.document_cases(spark, sf_dir), views.scratch(spark, sf_dir, f"document_cases/{uuid.uuid4().hex}"))
+
+
+def _document_index(spark: SparkSession, sf_dir: str, docs: DataFrame) -> text_index.TextIndex:
     return text_index.load_or_fit(docs, views.scratch(spark, sf_dir, "document_case_index"))
 
 
-def _trained(spark: SparkSession, sf_dir: str, reuse: bool = True) -> ensemble.Ensemble:
-    docs = views.document_cases(spark, sf_dir)
+def _trained(spark: SparkSession, sf_dir: str, docs: DataFrame, reuse: bool = True) -> ensemble.Ensemble:
     folder = views.scratch(spark, sf_dir, "ensemble")
-    return evaluation_run.trained(lambda: _document_index(spark, sf_dir), docs, folder, reuse=reuse)
+    return evaluation_run.trained(lambda: _document_index(spark, sf_dir, docs), docs, folder, reuse=reuse)
 
 
-def _model_folder(spark: SparkSession, sf_dir: str) -> str:
-    return evaluation_run.model_folder(views.document_cases(spark, sf_dir), views.scratch(spark, sf_dir, "ensemble"))
+def _model_folder(spark: SparkSession, sf_dir: str, docs: DataFrame) -> str:
+    return evaluation_run.model_folder(docs, views.scratch(spark, sf_dir, "ensemble"))
 
 
 # --- sources, cleaning -------------------------------------------------------------------------
@@ -296,7 +300,7 @@ def tokenize_text(spark, sf_dir):
 def term_frequency(spark, sf_dir):
     docs = views.documents(spark, sf_dir)
     texts = tfidf.distinct_texts(docs)
-    return tfidf.per_case(docs, texts, tfidf.term_counts(texts)).select("dr_no", "term", "tf")
+    return tfidf.per_case(docs, texts, tfidf.term_counts(texts), cases_are_all=True).select("dr_no", "term", "tf")
 
 
 @query("idf")
@@ -310,25 +314,25 @@ def idf(spark, sf_dir):
 def tfidf_weights(spark, sf_dir):
     docs = views.documents(spark, sf_dir)
     index = text_index.fit(docs, path=views.scratch(spark, sf_dir, "document_index"), with_leaders=False)
-    return _rounded(tfidf.per_case(docs, index.texts, index.weights).select("dr_no", "term", "weight"), ["weight"])
+    return _rounded(tfidf.per_case(docs, index.texts, index.weights, cases_are_all=True).select("dr_no", "term", "weight"), ["weight"])
 
 
 @query("appended_tfidf_weights")
 def appended_tfidf_weights(spark, sf_dir):
     """Weights of an index to which three parts of the documents were appended one after another."""
-    docs = views.document_cases(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
     path = views.scratch(spark, sf_dir, "growing_index")
     for part in range(3):
         growing_index.append(docs.filter(F.pmod("dr_no", F.lit(3)) == part), path, f"part-{part}")
     index = growing_index.load(spark, path)
-    return _rounded(tfidf.per_case(docs, index.texts, index.weights).select("dr_no", "term", "weight"), ["weight"])
+    return _rounded(tfidf.per_case(docs, index.texts, index.weights, cases_are_all=True).select("dr_no", "term", "weight"), ["weight"])
 
 
 @query("case_tfidf_weights")
 def case_tfidf_weights(spark, sf_dir):
     cases = views.cases(spark, sf_dir)
     index = _index(spark, sf_dir)
-    return _rounded(tfidf.per_case(cases, index.texts, index.weights).select("dr_no", "term", "weight"), ["weight"])
+    return _rounded(tfidf.per_case(cases, index.texts, index.weights, cases_are_all=True).select("dr_no", "term", "weight"), ["weight"])
 
 
 @query("tfidf_stats")
@@ -391,8 +395,9 @@ def similar_by_area_deep(spark, sf_dir):
 
 @query("similar_documents")
 def similar_documents(spark, sf_dir):
-    index = _document_index(spark, sf_dir)
-    found = similarity.similar_cases(index, views.document_cases(spark, sf_dir), TOP_K, bases_are_all=True, pruned=True)
+    docs = _documents(spark, sf_dir)
+    index = _document_index(spark, sf_dir, docs)
+    found = similarity.similar_cases(index, docs, TOP_K, bases_are_all=True, pruned=True)
     return _rounded(found.select(*_pair_ids(), "rank", "similarity"), ["similarity"])
 
 
@@ -460,33 +465,35 @@ def training_label_rate(spark, sf_dir):
 
 @query("document_training_pairs")
 def document_training_pairs(spark, sf_dir):
-    docs = views.document_cases(spark, sf_dir)
-    pairs = linkage.training_pairs(_document_index(spark, sf_dir), docs, evaluation_run.TRAINING_CASES)
+    docs = _documents(spark, sf_dir)
+    pairs = linkage.training_pairs(_document_index(spark, sf_dir, docs), docs, evaluation_run.TRAINING_CASES)
     return _rounded(pairs.select(*_pair_ids(), *FEATURES, "label"), ["similarity", "time_decay"])
 
 
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
-    model = _trained(spark, sf_dir, reuse=False)
-    pairs = spark.read.parquet(_model_folder(spark, sf_dir) + "/pairs")
+    docs = _documents(spark, sf_dir)
+    model = _trained(spark, sf_dir, docs, reuse=False)
+    pairs = spark.read.parquet(_model_folder(spark, sf_dir, docs) + "/pairs")
     return ensemble.score(pairs, model).select(*_pair_ids(), "label", "p_rf", "p_gb", "score")
 
 
 @query("feature_importances")
 def feature_importances(spark, sf_dir):
-    return ensemble.importances(_trained(spark, sf_dir), spark)
+    return ensemble.importances(_trained(spark, sf_dir, _documents(spark, sf_dir)), spark)
 
 
 @query("score_pairs")
 def score_pairs(spark, sf_dir):
     pairs = linkage.with_features(_similar(spark, sf_dir, SERVED_K))
-    return ensemble.score(pairs, _trained(spark, sf_dir)).select(*_pair_ids(), "p_rf", "p_gb", "score")
+    return ensemble.score(pairs, _trained(spark, sf_dir, _documents(spark, sf_dir))).select(*_pair_ids(), "p_rf", "p_gb", "score")
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    _trained(spark, sf_dir)
-    folder = _model_folder(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    _trained(spark, sf_dir, docs)
+    folder = _model_folder(spark, sf_dir, docs)
     saved = models.load(spark, f"{folder}/model")
     return ensemble.score(spark.read.parquet(f"{folder}/pairs"), saved).select(*_pair_ids(), "score")
 
@@ -494,7 +501,7 @@ def model_roundtrip(spark, sf_dir):
 @query("ranked_cases")
 def ranked_cases(spark, sf_dir):
     candidates = _similar(spark, sf_dir, ensemble.served_pool(SERVED_K))
-    return ensemble.as_served(ensemble.rank_cases(candidates, _trained(spark, sf_dir), SERVED_K))
+    return ensemble.as_served(ensemble.rank_cases(candidates, _trained(spark, sf_dir, _documents(spark, sf_dir)), SERVED_K))
 
 
 # --- evaluation --------------------------------------------------------------------------------
@@ -530,7 +537,7 @@ def true_recall_at_k(spark, sf_dir):
 @query("held_out_samples")
 def held_out_samples(spark, sf_dir):
     """Ids that training and evaluation draw when they are kept apart."""
-    docs = views.document_cases(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
     held = linkage.held_out()
     drawn = lambda df, n, side: linkage.sample_cases(df, n).select("dr_no", F.lit(side).alias("side"))
     training = drawn(docs.filter(~held), evaluation_run.TRAINING_CASES, "training")
@@ -552,9 +559,9 @@ def evaluate_similarity(spark, sf_dir):
 
 @query("evaluate_sample")
 def evaluate_sample(spark, sf_dir):
-    docs = views.document_cases(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
     bases = linkage.stored_sample(docs, evaluation_run.OFFLINE["eval_cases"])
-    index = _document_index(spark, sf_dir)
+    index = _document_index(spark, sf_dir, docs)
     means = evaluation.mean_metrics(
         evaluation.similarity_metrics(index, bases, docs, evaluation_run.OFFLINE["k_values"])
     )
@@ -563,16 +570,16 @@ def evaluate_sample(spark, sf_dir):
 
 @query("compare_models")
 def compare_models(spark, sf_dir):
-    index = _document_index(spark, sf_dir)
-    docs = views.document_cases(spark, sf_dir)
-    return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir), **evaluation_run.OFFLINE)
+    docs = _documents(spark, sf_dir)
+    index = _document_index(spark, sf_dir, docs)
+    return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir, docs), **evaluation_run.OFFLINE)
 
 
 @query("compare_models_served")
 def compare_models_served(spark, sf_dir):
-    index = _document_index(spark, sf_dir)
-    docs = views.document_cases(spark, sf_dir)
-    return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir), **evaluation_run.SERVED)
+    docs = _documents(spark, sf_dir)
+    index = _document_index(spark, sf_dir, docs)
+    return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir, docs), **evaluation_run.SERVED)
 
 
 # --- properties of the model side that SQL can follow ------------------------------------------
@@ -644,8 +651,9 @@ def feature_importances_checked(spark, sf_dir):
 @query("model_roundtrip_checked")
 def model_roundtrip_checked(spark, sf_dir):
     """Pairs whose score is another after the model was saved and loaded."""
-    model = _trained(spark, sf_dir, reuse=False)
-    folder = _model_folder(spark, sf_dir)
+    docs = _documents(spark, sf_dir)
+    model = _trained(spark, sf_dir, docs, reuse=False)
+    folder = _model_folder(spark, sf_dir, docs)
     pairs = spark.read.parquet(f"{folder}/pairs")
     again = ensemble.score(ensemble.score(pairs, model).withColumnsRenamed({"score": "before"}).drop("p_rf", "p_gb"), models.load(spark, f"{folder}/model"))
     changed = F.count(F.when(F.col("score") != F.col("before"), 1))

@@ -1,9 +1,9 @@
 """A text index that grows with the case table: each appended part is read once, counted, and merged.
 
-A part's folder holds what merges: its texts with their number of cases, the term counts of the texts that no
-earlier part had, the document frequencies it adds, and its leading cases. A row of ``versions`` is written
+A part's folder holds what merges: its texts with their number of cases and term counts, marked where no
+earlier part had them, the document frequencies it adds, and its leading cases. A row of ``versions`` is written
 last, so a part that was cut short is not seen, and a version is appended once. Weights of all texts depend on
-the number of cases and are derived again, from the counts that are stored; no text is cut into terms twice.
+the number of cases and are derived again, from the counts that are stored; an appended part alone is cut into terms.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from caselink.functions.text import ENGLISH_STOP_WORDS
 from caselink.operators.skew import top_per_key
-from caselink.operators.tfidf import distinct_texts, term_counts, term_weights
+from caselink.operators.tfidf import distinct_texts, term_lists, unlisted, weight_lists
 from caselink.schema import CASE_COLUMNS
 from caselink.sources.scratch import write_table
 from caselink.sources.text_index import DEPTH, TextIndex, leading_cases
@@ -46,17 +46,14 @@ def append(
         return
     folder = f"{path}/parts/{version}"
     texts = write_table(distinct_texts(cases), f"{folder}/texts")
+    fresh = F.lit(1)
     if known:
         earlier = _tables(spark, path, known, "texts").select("text_id").distinct()
-        fresh = texts.join(earlier, "text_id", "left_anti")
-    else:
-        fresh = texts
-    counts = write_table(term_counts(fresh, stop_words).drop("n_rows"), f"{folder}/term_counts")
-    added = counts.join(texts.select("text_id", "n_rows"), "text_id").withColumn("fresh", F.lit(1))
-    if known:
-        # Texts met before: their terms are counted already, only their cases are new.
-        again = _tables(spark, path, known, "term_counts").join(texts.select("text_id", "n_rows"), "text_id")
-        added = added.unionByName(again.withColumn("fresh", F.lit(0)))
+        texts = texts.join(earlier.withColumn("_known", F.lit(1)), "text_id", "left")
+        fresh = F.coalesce(1 - F.col("_known"), F.lit(1))
+    # Texts met before are listed once more, with the number of their new cases, for the frequencies below.
+    listed = term_lists(texts.select("text_id", "mo_text", "n_rows", fresh.alias("fresh")), stop_words)
+    added = unlisted(write_table(listed, f"{folder}/term_lists"))
     terms = added.groupBy("term").agg(F.sum("n_rows").alias("df"), F.sum("fresh").alias("n_texts"))
     write_table(terms, f"{folder}/terms")
     write_table(leading_cases(cases, depth), f"{folder}/leaders")
@@ -78,9 +75,8 @@ def load(spark: SparkSession, path: str, depth: int = DEPTH) -> TextIndex | None
     corpus = texts.agg(F.sum("n_rows")).scalar()
     merged = read("terms").groupBy("term").agg(F.sum("df").alias("df"), F.sum("n_texts").alias("n_texts"))
     idf = write_table(merged.withColumn("idf", F.log((1 + corpus) / (1 + F.col("df"))) + 1), f"{folder}/idf")
-    # Numbers of cases are joined last, where the rows lie by text already.
-    counts = read("term_counts").select("text_id", F.lit(0).alias("n_rows"), "term", "tf")
-    weighed = term_weights(counts, idf).drop("n_rows").join(texts.select("text_id", "n_rows"), "text_id")
-    weights = write_table(weighed.select("text_id", "n_rows", "term", "tf", "n_texts", "weight"), f"{folder}/weights")
+    counted = read("term_lists").filter("fresh = 1").select("text_id", "terms")
+    lists = counted.join(texts.select("text_id", "n_rows", "first_dr"), "text_id")
+    lists = write_table(weight_lists(lists, idf), f"{folder}/weight_lists")
     leaders = top_per_key(read("leaders").select("text_id", *CASE_COLUMNS), ["text_id"], [F.asc("dr_no")], depth, "leader_rank", lanes=256)
-    return TextIndex(texts, idf, weights, write_table(leaders, f"{folder}/leaders"), depth)
+    return TextIndex(texts, idf, unlisted(lists), write_table(leaders, f"{folder}/leaders"), depth, lists=lists)

@@ -25,5 +25,5 @@ def shared_folder(spark: SparkSession, *parts: str) -> str:
 
 def write_table(df: DataFrame, path: str) -> DataFrame:
     """Write ``df`` as Parquet and return the table, cut off from the plan that made it."""
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -10,12 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselink.functions.text import ENGLISH_STOP_WORDS, text_id
-from caselink.operators.skew import top_per_key
+from caselink.operators.skew import heavy_keys, top_per_key
 from caselink.operators.tfidf import (
     distinct_texts,
     inverse_document_frequency,
     term_counts,
-    term_weights,
+    unlisted,
+    weight_lists,
 )
 from caselink.schema import CASE_COLUMNS
 from caselink.sources.scratch import write_table
@@ -31,7 +32,7 @@ class TextIndex:
     """
     texts    text_id, mo_text, n_rows, first_dr
     idf      term, df, n_texts, idf
-    weights  text_id, n_rows, term, tf, n_texts, weight
+    weights  text_id, n_rows, first_dr, term, tf, n_texts, weight
     leaders  text_id, leader_rank, and the case columns: the ``depth`` lowest ids of each text.
              Cases with one text are equally similar to anything and tie on the id, so no pool of
              ``depth`` rows can hold any other case.
@@ -40,6 +41,7 @@ class TextIndex:
     cases    the table the index was made of; a pool deeper than ``depth`` takes its leaders from it.
     copies   fewest and most cases per text, known for a saved index; lets a query leave out the
              plan branch that no text needs.
+    lists    the weights with one row per text: text_id, n_rows, first_dr, terms; None for part of the cases.
     """
 
     texts: DataFrame
@@ -49,11 +51,18 @@ class TextIndex:
     depth: int
     copies: tuple[int, int] | None = None
     cases: DataFrame | None = None
+    lists: DataFrame | None = None
 
 
 def leading_cases(cases: DataFrame, depth: int) -> DataFrame:
+    """Only the cases of texts that many share are cut in lanes first; the others are shuffled once."""
     keyed = cases.select(text_id("mo_text").alias("text_id"), *CASE_COLUMNS)
-    return top_per_key(keyed, ["text_id"], [F.asc("dr_no")], depth, "leader_rank", lanes=256)
+    sizes = keyed.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    hot = F.broadcast(heavy_keys(sizes, "text_id", "n_rows").select("text_id"))
+    order = [F.asc("dr_no")]
+    of_hot = top_per_key(keyed.join(hot, "text_id", "left_semi"), ["text_id"], order, depth, "leader_rank", lanes=256)
+    others = top_per_key(keyed.join(hot, "text_id", "left_anti"), ["text_id"], order, depth, "leader_rank")
+    return others.unionByName(of_hot)
 
 
 def fit(
@@ -69,11 +78,10 @@ def fit(
     """
     keep = (lambda df, name: df) if path is None else (lambda df, name: write_table(df, f"{path}/{name}"))
     texts = keep(distinct_texts(cases), "texts")
-    counts = keep(term_counts(texts, stop_words), "term_counts")
-    idf = keep(inverse_document_frequency(counts, texts), "idf")
-    weights = keep(term_weights(counts, idf), "weights")
+    idf = keep(inverse_document_frequency(term_counts(texts, stop_words), texts), "idf")
+    lists = keep(weight_lists(texts, idf, stop_words), "weight_lists")
     leaders = keep(leading_cases(cases, depth), "leaders") if with_leaders else None
-    return TextIndex(texts, idf, weights, leaders, depth, cases=cases if with_leaders else None)
+    return TextIndex(texts, idf, unlisted(lists), leaders, depth, cases=cases if with_leaders else None, lists=lists)
 
 
 def leading_cases_by(cases: DataFrame, field: str, depth: int) -> DataFrame:
@@ -106,7 +114,7 @@ def within(index: TextIndex, field: str, value: str | None, path: str | None = N
     firsts = part.filter("leader_rank = 1").select("text_id", "n_rows", F.col("dr_no").alias("first_dr"))
     texts = index.texts.select("text_id", "mo_text").join(firsts, "text_id")
     weights = index.weights.drop("n_rows").join(firsts.select("text_id", "n_rows"), "text_id")
-    return replace(index, texts=texts, weights=weights, leaders=part.drop("part", "n_rows"), copies=None, cases=index.cases.filter(F.col(field).eqNullSafe(F.lit(value))))
+    return replace(index, texts=texts, weights=weights, leaders=part.drop("part", "n_rows"), copies=None, lists=None, cases=index.cases.filter(F.col(field).eqNullSafe(F.lit(value))))
 
 
 def table_fingerprint(cases: DataFrame, settings: str) -> str:
@@ -134,10 +142,12 @@ def load(spark: SparkSession, path: str) -> TextIndex | None:
     """The index saved at ``path``, or None if there is no complete one."""
     try:
         about = spark.read.schema(ABOUT).parquet(f"{path}/about").first()
+        lists = spark.read.parquet(f"{path}/weight_lists")
     except AnalysisException:
         return None
-    tables = [spark.read.parquet(f"{path}/{name}") for name in ("texts", "idf", "weights", "leaders")]
-    return TextIndex(*tables, about["depth"], (about["fewest"], about["most"]))
+    tables = [spark.read.parquet(f"{path}/{name}") for name in ("texts", "idf", "leaders")]
+    texts, idf, leaders = tables
+    return TextIndex(texts, idf, unlisted(lists), leaders, about["depth"], (about["fewest"], about["most"]), lists=lists)
 
 
 def _save_about(index: TextIndex, path: str) -> None:
