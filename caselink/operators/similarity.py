@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.text import text_id
+from caselink.operators.asked import asked_weights, nearest_of
 from caselink.operators.pruned import nearest_matches
 from caselink.operators.skew import first_rows, heavy_keys, spread_join, top_per_key
 from caselink.schema import CASE_COLUMNS
@@ -94,7 +95,7 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int, pruned:
     """(q_text, c_text, similarity) of all texts that can hold one of the first ``depth`` cases.
 
     ``wanted`` has the asked ``q_text`` ids, None asks for every text of the index. Pairs that
-    share no term do not appear. ``pruned`` is for free text, where most texts share some term with most
+    share no term do not appear. Where few texts are asked, every task sums and cuts its own texts (``asked``). ``pruned`` is for free text, where most texts share some term with most
     others: pairs that cannot be among the nearest are left out before they are summed.
     """
     if pruned:
@@ -109,6 +110,10 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int, pruned:
         n_asked = wanted.agg(F.count(F.lit(1))).scalar()
     own_copies_suffice = F.col("n_rows") >= depth
     fewest, most = index.copies or (0, depth)
+    if wanted is not None and index.lists is not None and fewest < depth:
+        few = asked_weights(index.lists, wanted)
+        if few is not None:
+            return nearest_of(index.lists, few, depth)
     if most < depth:
         return _sparse_matches(asked, index.weights, n_asked)
     identical = _identical_matches(asked.filter(own_copies_suffice), index.weights)
