@@ -26,6 +26,9 @@ BLOCK_PAIRS = 1 << 24
 WIDTH = 1e-4
 RESIDUE = 4e-9
 
+# Rows of reaching texts up to which they are sent to the leading cases, whose texts then stay where they are.
+SENT = 200_000
+
 WILDCARDS = (None, "", "All")
 
 
@@ -196,9 +199,12 @@ def candidate_pool(
     wanted = wanted.select("q_text").distinct() if wanted is not None else None
     cand = leaders.select(F.col("text_id").alias("c_text"), "leader_rank", F.struct(*CASE_COLUMNS).alias("cand"))
     near = _lists_of_texts(index, wanted, depth, pruned)
+    reaching = _reaching_texts(near, depth)
+    # An asked text has at most ``depth`` of them.
+    if wanted is not None and wanted.limit(SENT // depth + 1).count() <= SENT // depth:
+        reaching = F.broadcast(reaching)
     matched = (
-        _reaching_texts(near, depth)
-        .join(cand, "c_text")
+        reaching.join(cand, "c_text")
         .filter(F.col("leader_rank") <= F.col("room"))
         .select("q_text", "similarity", "cand")
     )

@@ -16,9 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselink.functions.text import ENGLISH_STOP_WORDS
-from caselink.operators.skew import top_per_key
 from caselink.operators.tfidf import distinct_texts, term_lists, unlisted, weight_lists
-from caselink.schema import CASE_COLUMNS
 from caselink.sources.scratch import write_table
 from caselink.sources.text_index import DEPTH, TextIndex, leading_cases
 
@@ -78,5 +76,5 @@ def load(spark: SparkSession, path: str, depth: int = DEPTH) -> TextIndex | None
     counted = read("term_lists").filter("fresh = 1").select("text_id", "terms")
     lists = counted.join(texts.select("text_id", "n_rows", "first_dr"), "text_id")
     lists = write_table(weight_lists(lists, idf), f"{folder}/weight_lists")
-    leaders = top_per_key(read("leaders").select("text_id", *CASE_COLUMNS), ["text_id"], [F.asc("dr_no")], depth, "leader_rank", lanes=256)
+    leaders = leading_cases(read("leaders"), depth)
     return TextIndex(texts, idf, unlisted(lists), write_table(leaders, f"{folder}/leaders"), depth, lists=lists)
