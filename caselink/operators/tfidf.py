@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.text import ENGLISH_STOP_WORDS, is_term, text_id, text_or_empty, tokens
 from caselink.operators.skew import heavy_keys, spread_join
 
-# Terms with more than 1/COMMON of all counts are broadcast with their frequencies; at most COMMON can be.
+# So many of the most frequent terms at most are broadcast with their frequencies.
 COMMON = 500_000
 
 
@@ -28,6 +29,35 @@ def distinct_texts(cases: DataFrame) -> DataFrame:
     )
 
 
+def text_sizes(cases: DataFrame) -> DataFrame:
+    """(text_id, n_rows, first_dr): ``distinct_texts`` without the texts, which are not shuffled for it."""
+    return (
+        cases.select(text_id("mo_text").alias("text_id"), "dr_no")
+        .groupBy("text_id")
+        .agg(F.count(F.lit(1)).alias("n_rows"), F.min("dr_no").alias("first_dr"))
+    )
+
+
+def texts_in_place(cases: DataFrame, shared: DataFrame, any_alone: bool = True) -> DataFrame:
+    """``distinct_texts`` where ``shared`` has the sizes of all texts of more than one case, few enough to be sent.
+
+    A text of one case stays where it is; of the others, the copies with the lowest id are shuffled.
+    """
+    keyed = cases.select(text_id("mo_text").alias("text_id"), text_or_empty("mo_text").alias("mo_text"), "dr_no")
+    sent = F.broadcast(shared)
+    several = (
+        keyed.join(sent, "text_id")
+        .filter(F.col("dr_no").eqNullSafe(F.col("first_dr")))
+        .groupBy("text_id", "n_rows", "first_dr")
+        .agg(F.first("mo_text").alias("mo_text"))
+        .select("text_id", "mo_text", "n_rows", "first_dr")
+    )
+    if not any_alone:
+        return several
+    alone = keyed.join(sent, "text_id", "left_anti")
+    return alone.select("text_id", "mo_text", F.lit(1).cast("long").alias("n_rows"), F.col("dr_no").alias("first_dr")).unionByName(several)
+
+
 def tokenize(texts: DataFrame, keep: Sequence[str], stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
     """One row per token of ``mo_text`` that is no stop word."""
     return texts.select(*keep, F.explode(tokens("mo_text")).alias("term")).filter(
@@ -72,20 +102,29 @@ def inverse_document_frequency(counts: DataFrame, texts: DataFrame) -> DataFrame
     )
 
 
+def _least_common(idf: DataFrame) -> int:
+    """The least ``n_texts`` with which a term is broadcast: as low as leaves COMMON terms at most."""
+    sizes = idf.groupBy("n_texts").agg(F.count(F.lit(1)).alias("terms"))
+    so_far = F.sum("terms").over(W.orderBy(F.desc("n_texts")))
+    least = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= COMMON).agg(F.min("n_texts").alias("n")).first()["n"]
+    return (1 << 62) if least is None else least
+
+
 def weight_lists(texts: DataFrame, idf: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS) -> DataFrame:
-    """(text_id, n_rows, first_dr, terms), ``terms`` being (term, tf, n_texts, weight): tf * idf, scaled to length 1 per text.
+    """(text_id, n_rows, first_dr, terms, length), ``terms`` being (term, tf, n_texts, idf); ``weighted`` makes weights of it.
 
-    ``texts`` have ``mo_text``, or the ``terms`` that were counted before. Terms above 1/COMMON of all counts, at
-    most COMMON of them, are broadcast; only the counts of the others meet ``idf`` in a shuffle and go back to their
-    text. So most counts never leave the task that has their text.
+    ``texts`` have ``mo_text``, or the ``terms`` that were counted before. The most frequent terms, at most COMMON,
+    are broadcast; only the counts of the others meet ``idf`` in a shuffle and go back to their text. So most counts
+    never leave the task that has their text. A weight differs in every row, while few values of ``idf`` do, so the
+    latter is what is kept.
     """
     listed = (lambda df: df) if "terms" in texts.columns else (lambda df: term_lists(df, stop_words))
-    share = F.col("n_texts") * F.lit(COMMON) / idf.agg(F.sum("n_texts")).scalar()
-    common = F.broadcast(idf.filter(share >= 1).select("term", F.col("n_texts").alias("_n"), F.col("idf").alias("_idf")))
+    least = _least_common(idf)
+    common = F.broadcast(idf.filter(F.col("n_texts") >= least).select("term", F.col("n_texts").alias("_n"), F.col("idf").alias("_idf")))
     rare = (
         unlisted(listed(texts).select("text_id", "terms"))
         .join(common, "term", "left_anti")
-        .join(idf.filter(share < 1).select("term", "n_texts", "idf"), "term")
+        .join(idf.filter(F.col("n_texts") < least).select("term", "n_texts", "idf"), "term")
         .groupBy("text_id")
         .agg(F.collect_list(F.struct("term", "tf", "n_texts", "idf")).alias("_rare"))
     )
@@ -97,14 +136,18 @@ def weight_lists(texts: DataFrame, idf: DataFrame, stop_words: Sequence[str] = E
     )
     # Each rare term stands twice: as counted, which finds nothing here and goes, and as found above.
     found = unlisted(both).join(common, "term", "left").withColumn("_idf", F.coalesce("_idf", "idf")).filter(F.col("_idf").isNotNull())
-    entry = F.struct("term", "tf", F.coalesce("_n", "n_texts").alias("n_texts"), (F.col("tf") * F.col("_idf")).alias("weight"))
+    entry = F.struct("term", "tf", F.coalesce("_n", "n_texts").alias("n_texts"), F.col("_idf").alias("idf"))
     lists = found.groupBy("text_id", "n_rows", "first_dr").agg(F.collect_list(entry).alias("terms"))
-    # Scaled in the last step of the sum: as a column of its own, the length would be summed again for every entry.
-    scaled = lambda t, square: F.struct(
-        t["term"].alias("term"), t["tf"].alias("tf"), t["n_texts"].alias("n_texts"), (t["weight"] / F.sqrt(square)).alias("weight")
+    total = lambda square, t: square + (t["tf"] * t["idf"]) * (t["tf"] * t["idf"])
+    return lists.withColumn("length", F.aggregate("terms", F.lit(0.0), total, F.sqrt))
+
+
+def weighted(lists: DataFrame) -> DataFrame:
+    """(text_id, n_rows, first_dr, terms) of ``weight_lists``, ``terms`` being (term, tf, n_texts, weight): tf * idf, scaled to length 1 per text."""
+    scaled = lambda t: F.struct(
+        t["term"].alias("term"), t["tf"].alias("tf"), t["n_texts"].alias("n_texts"), (t["tf"] * t["idf"] / F.col("length")).alias("weight")
     )
-    total = lambda square, t: square + t["weight"] * t["weight"]
-    return lists.withColumn("terms", F.aggregate("terms", F.lit(0.0), total, lambda square: F.transform("terms", lambda t: scaled(t, square))))
+    return lists.select("text_id", "n_rows", "first_dr", F.transform("terms", scaled).alias("terms"))
 
 
 def corpus_stats(texts: DataFrame, counts: DataFrame) -> DataFrame:

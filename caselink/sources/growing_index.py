@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caselink.functions.text import ENGLISH_STOP_WORDS
-from caselink.operators.tfidf import distinct_texts, term_lists, unlisted, weight_lists
+from caselink.operators.tfidf import distinct_texts, term_lists, unlisted, weight_lists, weighted
 from caselink.sources.scratch import write_table
 from caselink.sources.text_index import DEPTH, TextIndex, leading_cases
 
@@ -75,6 +75,6 @@ def load(spark: SparkSession, path: str, depth: int = DEPTH) -> TextIndex | None
     idf = write_table(merged.withColumn("idf", F.log((1 + corpus) / (1 + F.col("df"))) + 1), f"{folder}/idf")
     counted = read("term_lists").filter("fresh = 1").select("text_id", "terms")
     lists = counted.join(texts.select("text_id", "n_rows", "first_dr"), "text_id")
-    lists = write_table(weight_lists(lists, idf), f"{folder}/weight_lists")
+    lists = weighted(write_table(weight_lists(lists, idf), f"{folder}/idf_lists"))
     leaders = leading_cases(read("leaders"), depth)
     return TextIndex(texts, idf, unlisted(lists), write_table(leaders, f"{folder}/leaders"), depth, lists=lists)

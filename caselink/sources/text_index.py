@@ -15,8 +15,11 @@ from caselink.operators.tfidf import (
     distinct_texts,
     inverse_document_frequency,
     term_counts,
+    text_sizes,
+    texts_in_place,
     unlisted,
     weight_lists,
+    weighted,
 )
 from caselink.schema import CASE_COLUMNS
 from caselink.sources.scratch import write_table
@@ -24,6 +27,9 @@ from caselink.sources.scratch import write_table
 # Default number of leading cases kept per text: the smallest candidate pool.
 DEPTH = 200
 
+# Texts of more than one case up to which their ids are sent to the cases; the others then stay where they are.
+SHARED = 500_000
+
 ABOUT = "depth int, fewest long, most long"
 
 
@@ -54,15 +60,24 @@ class TextIndex:
     lists: DataFrame | None = None
 
 
-def leading_cases(cases: DataFrame, depth: int) -> DataFrame:
-    """Only the cases of texts that many share are cut in lanes first; the others are shuffled once."""
+def leading_cases(cases: DataFrame, depth: int, sizes: DataFrame | None = None, shared: DataFrame | None = None, any_alone: bool = True) -> DataFrame:
+    """Only the cases of texts that many share are cut in lanes first; the others are shuffled once.
+
+    ``sizes`` has the number of cases of each text if that is known. With ``shared``, the texts of more than one case,
+    a case whose text no other has is not shuffled: it is its text's only leader.
+    """
     keyed = cases.select(text_id("mo_text").alias("text_id"), *CASE_COLUMNS)
-    sizes = keyed.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    sizes = keyed.groupBy("text_id").agg(F.count(F.lit(1)).alias("n_rows")) if sizes is None else sizes
     hot = F.broadcast(heavy_keys(sizes, "text_id", "n_rows").select("text_id"))
+    several = keyed if shared is None else keyed.join(F.broadcast(shared.select("text_id")), "text_id", "left_semi")
     order = [F.asc("dr_no")]
-    of_hot = top_per_key(keyed.join(hot, "text_id", "left_semi"), ["text_id"], order, depth, "leader_rank", lanes=256)
-    others = top_per_key(keyed.join(hot, "text_id", "left_anti"), ["text_id"], order, depth, "leader_rank")
-    return others.unionByName(of_hot)
+    of_hot = top_per_key(several.join(hot, "text_id", "left_semi"), ["text_id"], order, depth, "leader_rank", lanes=256)
+    others = top_per_key(several.join(hot, "text_id", "left_anti"), ["text_id"], order, depth, "leader_rank")
+    leaders = others.unionByName(of_hot)
+    if shared is None or not any_alone:
+        return leaders
+    alone = keyed.join(F.broadcast(shared.select("text_id")), "text_id", "left_anti")
+    return leaders.unionByName(alone.withColumn("leader_rank", F.lit(1)))
 
 
 def fit(
@@ -77,10 +92,17 @@ def fit(
     ``with_leaders=False`` leaves out the leading cases when only the weights are wanted.
     """
     keep = (lambda df, name: df) if path is None else (lambda df, name: write_table(df, f"{path}/{name}"))
-    texts = keep(distinct_texts(cases), "texts")
+    # Texts are counted by their ids first, so that those of one case need not be shuffled.
+    sizes = shared = None
+    any_alone = True
+    if path is not None:
+        sizes = keep(text_sizes(cases), "sizes")
+        n = sizes.agg(F.count(F.lit(1)).alias("texts"), F.count(F.when(F.col("n_rows") > 1, 1)).alias("shared")).first()
+        shared, any_alone = sizes.filter("n_rows > 1") if n["shared"] <= SHARED else None, n["texts"] > n["shared"]
+    texts = keep(distinct_texts(cases) if shared is None else texts_in_place(cases, shared, any_alone), "texts")
     idf = keep(inverse_document_frequency(term_counts(texts, stop_words), texts), "idf")
-    lists = keep(weight_lists(texts, idf, stop_words), "weight_lists")
-    leaders = keep(leading_cases(cases, depth), "leaders") if with_leaders else None
+    lists = weighted(keep(weight_lists(texts, idf, stop_words), "idf_lists"))
+    leaders = keep(leading_cases(cases, depth, sizes, shared, any_alone), "leaders") if with_leaders else None
     return TextIndex(texts, idf, unlisted(lists), leaders, depth, cases=cases if with_leaders else None, lists=lists)
 
 
@@ -142,7 +164,7 @@ def load(spark: SparkSession, path: str) -> TextIndex | None:
     """The index saved at ``path``, or None if there is no complete one."""
     try:
         about = spark.read.schema(ABOUT).parquet(f"{path}/about").first()
-        lists = spark.read.parquet(f"{path}/weight_lists")
+        lists = weighted(spark.read.parquet(f"{path}/idf_lists"))
     except AnalysisException:
         return None
     tables = [spark.read.parquet(f"{path}/{name}") for name in ("texts", "idf", "leaders")]
