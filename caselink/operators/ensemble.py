@@ -18,8 +18,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.operators.linkage import SAMPLE_SEED, with_features
-from caselink.operators.similarity import DIGITS
+from caselink.operators.similarity import DIGITS, dealt_cases, similar_cases
 from caselink.schema import FEATURES
+from caselink.sources.text_index import TextIndex
 
 # Size of the two models.
 TREES = 100
@@ -28,6 +29,8 @@ BOOSTING_DEPTH = 4
 BOOSTING_STEP = 0.1
 
 SERVED_K = 10
+# Bases that one task ranks at once: their pairs are sorted in its memory.
+BASES_PER_TASK = 10_000
 
 
 @dataclass(frozen=True)
@@ -104,7 +107,10 @@ def rank_cases(candidates: DataFrame, model: Ensemble, k: int = SERVED_K) -> Dat
     A base has at most one candidate list, so the groups of the window are bounded by its length. Candidates
     are dealt by base before they are scored: the window needs that anyway, and so every task scores its share.
     """
-    dealt = candidates.withColumn("q_id", F.col("base.dr_no")).repartition("q_id")
+    return _ranked(candidates.withColumn("q_id", F.col("base.dr_no")).repartition("q_id"), model, k)
+
+
+def _ranked(dealt: DataFrame, model: Ensemble, k: int) -> DataFrame:
     scored = score(with_features(dealt), model)
     by_base = W.partitionBy("q_id").orderBy(*score_order())
     return (
@@ -112,6 +118,18 @@ def rank_cases(candidates: DataFrame, model: Ensemble, k: int = SERVED_K) -> Dat
     )
 
 
+def rank_all_cases(index: TextIndex, cases: DataFrame, model: Ensemble, k: int = SERVED_K) -> DataFrame:
+    """``rank_cases`` of the served pools of all cases of the index.
+
+    Where few texts make up all cases, bases are dealt by id before they meet their lists, so that no pair is
+    shuffled: a base has ``served_pool(k)`` of them, which would write many times the table.
+    """
+    dealt = dealt_cases(index, cases, served_pool(k), BASES_PER_TASK)
+    if dealt is None:
+        return rank_cases(similar_cases(index, cases, served_pool(k), bases_are_all=True), model, k)
+    return _ranked(dealt, model, k)
+
+
 def served_pool(k: int) -> int:
     return max(30, 3 * k)
 

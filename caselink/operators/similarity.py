@@ -29,6 +29,9 @@ RESIDUE = 4e-9
 # Rows of reaching texts up to which they are sent to the leading cases, whose texts then stay where they are.
 SENT = 200_000
 
+# Bytes up to which the lists of all texts are sent to the bases of a ranking, and what a case has besides its text.
+LISTED, CASE_BYTES = 64 << 20, 250
+
 WILDCARDS = (None, "", "All")
 
 
@@ -242,6 +245,28 @@ def similar_lists(
     ``bases_are_all`` saves the pass that finds the texts of the bases when they are the whole table.
     ``how="left"`` keeps bases without candidates, ``hits`` being null. ``pruned``: see ``text_matches``.
     """
+    keyed, lists = _keyed_and_lists(index, bases, k, area, weapon, weapon_null_name, cases, bases_are_all, pruned)
+    heavy = heavy_keys(index.texts, "text_id", "n_rows").withColumnRenamed("text_id", "q_text")
+    return spread_join(keyed, lists, "q_text", heavy, "q_id", how).select("base", _others(k).alias("hits"))
+
+
+def _others(k: int) -> Column:
+    """The first ``k`` of a text's list without the base itself."""
+    return F.slice(F.filter("listed", lambda hit: hit["cand"]["dr_no"] != F.col("q_id")), 1, k)
+
+
+def _keyed_and_lists(
+    index: TextIndex,
+    bases: DataFrame,
+    k: int,
+    area: str | None = None,
+    weapon: str | None = None,
+    weapon_null_name: str | None = None,
+    cases: DataFrame | None = None,
+    bases_are_all: bool = False,
+    pruned: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """(q_text, q_id, base) of the bases and (q_text, listed) of their texts."""
     filtered = area not in WILDCARDS or weapon not in WILDCARDS
     # Without filters only the first k rows other than the base can be returned.
     depth = pool_size(k) if filtered else k + 1
@@ -256,9 +281,27 @@ def similar_lists(
     ordered = F.sort_array(F.collect_list(F.struct("pool_rank", "similarity", "cand")))
     # One more than k: the base may be on its own list.
     lists = pool.groupBy("q_text").agg(F.slice(ordered, 1, k + 1).alias("listed"))
-    heavy = heavy_keys(index.texts, "text_id", "n_rows").withColumnRenamed("text_id", "q_text")
-    others = F.filter("listed", lambda hit: hit["cand"]["dr_no"] != F.col("q_id"))
-    return spread_join(keyed, lists, "q_text", heavy, "q_id", how).select("base", F.slice(others, 1, k).alias("hits"))
+    return keyed, lists
+
+
+def dealt_cases(index: TextIndex, bases: DataFrame, k: int, per_task: int) -> DataFrame | None:
+    """(q_id, base, rank, similarity, cand) as ``similar_cases`` of all cases, the rows of one id in one task; None if all lists exceed LISTED.
+
+    Bases are dealt by their id alone, about ``per_task`` to a task, and the lists of the few texts are sent to them:
+    no pair is shuffled, and a window by ``q_id`` needs no exchange.
+    """
+    longest = F.coalesce(F.max(F.octet_length("mo_text")), F.lit(0))
+    size = index.texts.agg(F.count(F.lit(1)).alias("texts"), longest.alias("longest"), F.sum("n_rows").alias("cases")).first()
+    if size["texts"] * (k + 1) * (size["longest"] + CASE_BYTES) > LISTED:
+        return None
+    keyed, lists = _keyed_and_lists(index, bases, k, bases_are_all=True)
+    tasks = math.ceil((size["cases"] or 0) / per_task)
+    dealt = keyed.repartition(max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), tasks), "q_id")
+    return (
+        dealt.join(F.broadcast(lists), "q_text")
+        .select("q_id", "base", F.posexplode(_others(k)).alias("pos", "hit"))
+        .select("q_id", "base", (F.col("pos") + 1).alias("rank"), "hit.similarity", "hit.cand")
+    )
 
 
 def similar_within(

@@ -500,8 +500,9 @@ def model_roundtrip(spark, sf_dir):
 
 @query("ranked_cases")
 def ranked_cases(spark, sf_dir):
-    candidates = _similar(spark, sf_dir, ensemble.served_pool(SERVED_K))
-    return ensemble.as_served(ensemble.rank_cases(candidates, _trained(spark, sf_dir, _documents(spark, sf_dir)), SERVED_K))
+    index = _index(spark, sf_dir)
+    model = _trained(spark, sf_dir, _documents(spark, sf_dir))
+    return ensemble.as_served(ensemble.rank_all_cases(index, views.cases(spark, sf_dir), model, SERVED_K))
 
 
 # --- evaluation --------------------------------------------------------------------------------
