@@ -200,14 +200,15 @@ def candidate_pool(
     else:
         raise ValueError(f"the index keeps {index.depth} cases per text and not their table, the pool asks for {depth}")
     wanted = wanted.select("q_text").distinct() if wanted is not None else None
-    cand = leaders.select(F.col("text_id").alias("c_text"), "leader_rank", F.struct(*CASE_COLUMNS).alias("cand"))
     near = _lists_of_texts(index, wanted, depth, pruned)
     reaching = _reaching_texts(near, depth)
-    # An asked text has at most ``depth`` of them.
-    if wanted is not None and wanted.limit(SENT // depth + 1).count() <= SENT // depth:
-        reaching = F.broadcast(reaching)
+    few = wanted is not None and _few(wanted, depth)
+    # Rows of few pools are drawn by id; the wide cases are taken for those drawn only, where they lie.
+    columns = ["dr_no", "text_id", "leader_rank"] if few else CASE_COLUMNS
+    cand = leaders.select(F.col("text_id").alias("c_text"), "leader_rank", F.struct(*columns).alias("cand"))
     matched = (
-        reaching.join(cand, "c_text")
+        (F.broadcast(reaching) if few else reaching)
+        .join(cand, "c_text")
         .filter(F.col("leader_rank") <= F.col("room"))
         .select("q_text", "similarity", "cand")
     )
@@ -215,7 +216,16 @@ def candidate_pool(
     filled = index.copies is not None and index.copies[0] >= depth
     rows = matched if filled else matched.unionByName(_fillers(near, cand, depth))
     order = [F.desc("similarity"), F.asc("cand.dr_no")]
-    return top_per_key(rows, ["q_text"], order, depth, "pool_rank")
+    pool = top_per_key(rows, ["q_text"], order, depth, "pool_rank")
+    if not few:
+        return pool
+    drawn = F.broadcast(pool.select("q_text", "pool_rank", "similarity", "cand.text_id", "cand.leader_rank"))
+    return leaders.join(drawn, ["text_id", "leader_rank"]).select("q_text", "pool_rank", "similarity", F.struct(*CASE_COLUMNS).alias("cand"))
+
+
+def _few(asked: DataFrame, depth: int) -> bool:
+    """Whether the pools of the asked texts or bases have so few rows that these can be sent to all tasks."""
+    return asked.limit(SENT // depth + 1).count() <= SENT // depth
 
 
 def _equals(column: Column, value: str, null_name: str | None) -> Column:
@@ -246,8 +256,13 @@ def similar_lists(
     ``how="left"`` keeps bases without candidates, ``hits`` being null. ``pruned``: see ``text_matches``.
     """
     keyed, lists = _keyed_and_lists(index, bases, k, area, weapon, weapon_null_name, cases, bases_are_all, pruned)
-    heavy = heavy_keys(index.texts, "text_id", "n_rows").withColumnRenamed("text_id", "q_text")
-    return spread_join(keyed, lists, "q_text", heavy, "q_id", how).select("base", _others(k).alias("hits"))
+    if not bases_are_all and _few(keyed.select("q_id"), k + 1):
+        # Lists are grouped by text already and few bases need no lanes, so the lists stay where they are.
+        joined = keyed.join(lists, "q_text", how)
+    else:
+        heavy = heavy_keys(index.texts, "text_id", "n_rows").withColumnRenamed("text_id", "q_text")
+        joined = spread_join(keyed, lists, "q_text", heavy, "q_id", how)
+    return joined.select("base", _others(k).alias("hits"))
 
 
 def _others(k: int) -> Column:
