@@ -39,6 +39,12 @@ def text_id(text: Column | str) -> Column:
     return F.unhex(F.md5(text_or_empty(text)))
 
 
+def text_key(text: Column | str) -> Column:
+    """What can stand for a text in ``mo_text`` where it is only compared: equal, empty and null as the text is."""
+    column = F.col(text) if isinstance(text, str) else text
+    return F.when(column == "", "").otherwise(F.md5(column))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased runs of two or more word characters, repeats kept."""
     return F.regexp_extract_all(F.lower(text_or_empty(text)), F.lit(TOKEN_PATTERN), F.lit(1))

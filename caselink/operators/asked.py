@@ -7,7 +7,8 @@ the ``depth`` nearest texts of each asked text so far. So what leaves a task doe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caselink.operators.tfidf import unlisted
+from caselink.sources.scratch import shared_folder, write_table
+
 ASKED = 4096
 ENTRIES = 4_000_000
 # Sums that a stretch of texts has room for, and products that are made for it at once.
@@ -33,6 +37,8 @@ class Asked:
     begins: np.ndarray
     text: np.ndarray
     weight: np.ndarray
+    # Of each term, where weights are not stored.
+    idf: np.ndarray | None = None
 
 
 def asked_weights(lists: DataFrame, wanted: DataFrame) -> Asked | None:
@@ -53,6 +59,30 @@ def asked_weights(lists: DataFrame, wanted: DataFrame) -> Asked | None:
     return Asked(column("text_id").to_pylist(), coded.dictionary, begins, text[order], weight.flatten().to_numpy(zero_copy_only=False)[order])
 
 
+def asked_counts(counts: DataFrame, idf: DataFrame, wanted: DataFrame) -> Asked | None:
+    """``asked_weights`` of an index that has counted terms and no weights."""
+    if wanted.limit(ASKED + 1).count() > ASKED:
+        return None
+    sent = F.broadcast(wanted.select(F.col("q_text").alias("text_id")).distinct())
+    # Written once: finding the wanted texts reads them all.
+    folder = shared_folder(counts.sparkSession, "asked", uuid.uuid4().hex)
+    own = write_table(counts.join(sent, "text_id", "left_semi").select("text_id", "terms"), folder)
+    if (own.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0) > ENTRIES:
+        return None
+    rows = unlisted(own).join(idf.select("term", "idf"), "term").select("text_id", "term", "tf", "idf").toArrow().combine_chunks()
+    column = lambda name: rows.column(name).combine_chunks()
+    number = lambda array: array.to_numpy(zero_copy_only=False)
+    texts, terms = column("text_id").dictionary_encode(), column("term").dictionary_encode()
+    text, code, each = number(texts.indices), number(terms.indices), number(column("idf"))
+    weight = number(column("tf")) * each
+    weight = weight / np.sqrt(np.bincount(text, weight * weight, len(texts.dictionary)))[text]
+    of_term = np.zeros(len(terms.dictionary))
+    of_term[code] = each
+    order = np.argsort(code, kind="stable")
+    begins = np.concatenate([[0], np.cumsum(np.bincount(code, minlength=len(of_term)))]).astype(np.int64)
+    return Asked(texts.dictionary.to_pylist(), terms.dictionary, begins, text[order], weight[order], of_term)
+
+
 class Nearest:
     """The ``depth`` nearest texts so far of each asked text, by rounded similarity and then the lowest first case."""
 
@@ -101,7 +131,18 @@ def stretches(batch: pa.RecordBatch, asked: Asked) -> Iterator[tuple[np.ndarray,
     term, weight = batch.column("term"), batch.column("weight").flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(term).to_numpy(zero_copy_only=False).astype(np.int64))
     code = pc.fill_null(pc.index_in(term.flatten(), value_set=asked.terms), -1).to_numpy(zero_copy_only=False)
-    row, weight, code = row[code >= 0], weight[code >= 0], code[code >= 0]
+    yield from _cut(batch, asked, row[code >= 0], code[code >= 0], weight[code >= 0])
+
+
+def counted_stretches(batch: pa.RecordBatch, asked: Asked) -> Iterator[tuple[np.ndarray, ...]]:
+    """``stretches`` for a batch of (text_id, first_dr, length, code, tf)."""
+    number = lambda array: array.to_numpy(zero_copy_only=False)
+    code, length = number(batch.column("code").flatten()), number(batch.column("length"))
+    row = np.repeat(np.arange(batch.num_rows), number(pc.list_value_length(batch.column("code"))).astype(np.int64))
+    yield from _cut(batch, asked, row, code, number(batch.column("tf").flatten()) * asked.idf[code] / length[row])
+
+
+def _cut(batch: pa.RecordBatch, asked: Asked, row: np.ndarray, code: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     ids = np.array(batch.column("text_id").to_pylist() + [None], object)[:-1]
     firsts = pc.fill_null(batch.column("first_dr"), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
     step = max(1, CELLS // max(1, len(asked.ids)))
@@ -115,12 +156,37 @@ def nearest_of(lists: DataFrame, asked: Asked, depth: int) -> DataFrame:
 
     Ties go to the lowest ``first_dr``, as in the pools, so the nearest of all texts are among them.
     """
-    shared = lists.sparkSession.sparkContext.broadcast(asked)
+    rows = lists.select("text_id", "first_dr", F.col("terms.term").alias("term"), F.col("terms.weight").alias("weight"))
+    return _nearest(rows, asked, depth, stretches)
+
+
+def nearest_counted(counts: DataFrame, lengths: DataFrame, asked: Asked, depth: int) -> DataFrame:
+    """``nearest_of`` where weights are not stored: counts of asked terms, as numbers, meet the length of their text in a shuffle."""
+    shared = counts.sparkSession.sparkContext.broadcast(asked.terms)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            term = batch.column("term")
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(term).to_numpy(zero_copy_only=False).astype(np.int64))
+            code = pc.fill_null(pc.index_in(term.flatten(), value_set=shared.value), -1).to_numpy(zero_copy_only=False)
+            known = code >= 0
+            begins = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[known], minlength=batch.num_rows))]), pa.int32())
+            tf = batch.column("tf").flatten().to_numpy(zero_copy_only=False)
+            listed = [pa.ListArray.from_arrays(begins, pa.array(x[known], pa.int32())) for x in (code, tf)]
+            yield pa.RecordBatch.from_arrays([batch.column("text_id"), batch.column("first_dr"), *listed], ["text_id", "first_dr", "code", "tf"])
+
+    rows = counts.select("text_id", "first_dr", F.col("terms.term").alias("term"), F.col("terms.tf").alias("tf"))
+    coded = rows.mapInArrow(run, "text_id binary, first_dr long, code array<int>, tf array<int>").filter(F.size("code") > 0)
+    return _nearest(coded.join(lengths, "text_id").select("text_id", "first_dr", "length", "code", "tf"), asked, depth, counted_stretches)
+
+
+def _nearest(rows: DataFrame, asked: Asked, depth: int, cut: Callable[[pa.RecordBatch, Asked], Iterator[tuple[np.ndarray, ...]]]) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nearest = Nearest(shared.value, depth)
         for batch in batches:
-            for stretch in stretches(batch, nearest.asked):
+            for stretch in cut(batch, nearest.asked):
                 nearest.add(*stretch)
         ids = nearest.asked.ids
         yield pa.RecordBatch.from_arrays(
@@ -132,5 +198,4 @@ def nearest_of(lists: DataFrame, asked: Asked, depth: int) -> DataFrame:
             ["q_text", "c_text", "similarity"],
         )
 
-    rows = lists.select("text_id", "first_dr", F.col("terms.term").alias("term"), F.col("terms.weight").alias("weight"))
     return rows.mapInArrow(run, "q_text binary, c_text binary, similarity double")

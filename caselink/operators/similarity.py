@@ -12,11 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caselink.functions.text import text_id
-from caselink.operators.asked import asked_weights, nearest_of
+from caselink.operators.asked import asked_counts, asked_weights, nearest_counted, nearest_of
 from caselink.operators.pruned import nearest_matches
 from caselink.operators.skew import first_rows, heavy_keys, spread_join, top_per_key
 from caselink.schema import CASE_COLUMNS
-from caselink.sources.text_index import TextIndex, leading_cases, within
+from caselink.sources.text_index import TextIndex, leading_cases, with_weights, within
 
 DIGITS = 9
 # Pairs of texts that one task handles for one term in the term join.
@@ -104,6 +104,13 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int, pruned:
     share no term do not appear. Where few texts are asked, every task sums and cuts its own texts (``asked``). ``pruned`` is for free text, where most texts share some term with most
     others: pairs that cannot be among the nearest are left out before they are summed.
     """
+    fewest, most = index.copies or (0, depth)
+    if index.counts is not None:
+        if wanted is not None and not pruned and fewest < depth:
+            few = asked_counts(index.counts, index.idf, wanted)
+            if few is not None:
+                return nearest_counted(index.counts, index.lengths, few, depth)
+        index = with_weights(index)
     if pruned:
         found = nearest_matches(index.weights, wanted, depth)
         return found.select("q_text", "c_text", _rounded(F.col("total")))
@@ -115,7 +122,6 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int, pruned:
         asked = asked.join(wanted, "q_text", "left_semi")
         n_asked = wanted.agg(F.count(F.lit(1))).scalar()
     own_copies_suffice = F.col("n_rows") >= depth
-    fewest, most = index.copies or (0, depth)
     if wanted is not None and index.lists is not None and fewest < depth:
         few = asked_weights(index.lists, wanted)
         if few is not None:

@@ -38,12 +38,13 @@ def text_sizes(cases: DataFrame) -> DataFrame:
     )
 
 
-def texts_in_place(cases: DataFrame, shared: DataFrame, any_alone: bool = True) -> DataFrame:
+def texts_in_place(cases: DataFrame, shared: DataFrame, any_alone: bool = True, words: str = "mo_text") -> DataFrame:
     """``distinct_texts`` where ``shared`` has the sizes of all texts of more than one case, few enough to be sent.
 
     A text of one case stays where it is; of the others, the copies with the lowest id are shuffled.
+    ``words`` names the column with the text itself where ``mo_text`` is a key of it (``text_key``).
     """
-    keyed = cases.select(text_id("mo_text").alias("text_id"), text_or_empty("mo_text").alias("mo_text"), "dr_no")
+    keyed = cases.select(text_id("mo_text").alias("text_id"), text_or_empty(words).alias("mo_text"), "dr_no")
     sent = F.broadcast(shared)
     several = (
         keyed.join(sent, "text_id")
@@ -142,6 +143,23 @@ def weight_lists(texts: DataFrame, idf: DataFrame, stop_words: Sequence[str] = E
     return lists.withColumn("length", F.aggregate("terms", F.lit(0.0), total, F.sqrt))
 
 
+def text_lengths(counts: DataFrame, idf: DataFrame) -> DataFrame:
+    """(text_id, length) as in ``weight_lists``, of texts with at least one term; ``counts`` has the ``terms`` of ``term_lists``.
+
+    A length is a sum over terms, so neither the text nor its list has to move: only the counts of rare terms and
+    sums of squares are shuffled.
+    """
+    least = _least_common(idf)
+    single = unlisted(counts.select("text_id", "terms"))
+    common = F.broadcast(idf.filter(F.col("n_texts") >= least).select("term", "idf"))
+    rare = idf.filter(F.col("n_texts") < least).select("term", "idf")
+    found = single.join(common, "term")
+    if not rare.isEmpty():
+        found = found.unionByName(single.join(common, "term", "left_anti").join(rare, "term"))
+    weight = F.col("tf") * F.col("idf")
+    return found.groupBy("text_id").agg(F.sqrt(F.sum(weight * weight)).alias("length"))
+
+
 def weighted(lists: DataFrame) -> DataFrame:
     """(text_id, n_rows, first_dr, terms) of ``weight_lists``, ``terms`` being (term, tf, n_texts, weight): tf * idf, scaled to length 1 per text."""
     scaled = lambda t: F.struct(

@@ -57,8 +57,16 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_table(views.document_cases(spark, sf_dir), views.scratch(spark, sf_dir, f"document_cases/{uuid.uuid4().hex}"))
 
 
+def _keyed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``_documents`` with the key of each text in its place, for queries that compare texts and do not return them."""
+    docs = views.document_cases(spark, sf_dir, keyed=True)
+    return write_table(docs, views.scratch(spark, sf_dir, f"keyed_document_cases/{uuid.uuid4().hex}"))
+
+
 def _document_index(spark: SparkSession, sf_dir: str, docs: DataFrame) -> text_index.TextIndex:
-    return text_index.load_or_fit(docs, views.scratch(spark, sf_dir, "document_case_index"))
+    """Of ``_keyed_documents``; the texts are read from the table of documents."""
+    spelled = views.spelled_documents(spark, sf_dir)
+    return text_index.load_or_fit_keyed(docs, spelled, views.scratch(spark, sf_dir, "keyed_document_index"))
 
 
 def _trained(spark: SparkSession, sf_dir: str, docs: DataFrame, reuse: bool = True) -> ensemble.Ensemble:
@@ -396,7 +404,7 @@ def similar_by_area_deep(spark, sf_dir):
 @query("similar_documents")
 def similar_documents(spark, sf_dir):
     docs = _documents(spark, sf_dir)
-    index = _document_index(spark, sf_dir, docs)
+    index = text_index.load_or_fit(docs, views.scratch(spark, sf_dir, "document_case_index"))
     found = similarity.similar_cases(index, docs, TOP_K, bases_are_all=True, pruned=True)
     return _rounded(found.select(*_pair_ids(), "rank", "similarity"), ["similarity"])
 
@@ -465,14 +473,14 @@ def training_label_rate(spark, sf_dir):
 
 @query("document_training_pairs")
 def document_training_pairs(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     pairs = linkage.training_pairs(_document_index(spark, sf_dir, docs), docs, evaluation_run.TRAINING_CASES)
     return _rounded(pairs.select(*_pair_ids(), *FEATURES, "label"), ["similarity", "time_decay"])
 
 
 @query("train_ensemble")
 def train_ensemble(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     model = _trained(spark, sf_dir, docs, reuse=False)
     pairs = spark.read.parquet(_model_folder(spark, sf_dir, docs) + "/pairs")
     return ensemble.score(pairs, model).select(*_pair_ids(), "label", "p_rf", "p_gb", "score")
@@ -480,18 +488,18 @@ def train_ensemble(spark, sf_dir):
 
 @query("feature_importances")
 def feature_importances(spark, sf_dir):
-    return ensemble.importances(_trained(spark, sf_dir, _documents(spark, sf_dir)), spark)
+    return ensemble.importances(_trained(spark, sf_dir, _keyed_documents(spark, sf_dir)), spark)
 
 
 @query("score_pairs")
 def score_pairs(spark, sf_dir):
     pairs = linkage.with_features(_similar(spark, sf_dir, SERVED_K))
-    return ensemble.score(pairs, _trained(spark, sf_dir, _documents(spark, sf_dir))).select(*_pair_ids(), "p_rf", "p_gb", "score")
+    return ensemble.score(pairs, _trained(spark, sf_dir, _keyed_documents(spark, sf_dir))).select(*_pair_ids(), "p_rf", "p_gb", "score")
 
 
 @query("model_roundtrip")
 def model_roundtrip(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     _trained(spark, sf_dir, docs)
     folder = _model_folder(spark, sf_dir, docs)
     saved = models.load(spark, f"{folder}/model")
@@ -501,7 +509,7 @@ def model_roundtrip(spark, sf_dir):
 @query("ranked_cases")
 def ranked_cases(spark, sf_dir):
     index = _index(spark, sf_dir)
-    model = _trained(spark, sf_dir, _documents(spark, sf_dir))
+    model = _trained(spark, sf_dir, _keyed_documents(spark, sf_dir))
     return ensemble.as_served(ensemble.rank_all_cases(index, views.cases(spark, sf_dir), model, SERVED_K))
 
 
@@ -560,7 +568,7 @@ def evaluate_similarity(spark, sf_dir):
 
 @query("evaluate_sample")
 def evaluate_sample(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     bases = linkage.stored_sample(docs, evaluation_run.OFFLINE["eval_cases"])
     index = _document_index(spark, sf_dir, docs)
     means = evaluation.mean_metrics(
@@ -571,14 +579,14 @@ def evaluate_sample(spark, sf_dir):
 
 @query("compare_models")
 def compare_models(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     index = _document_index(spark, sf_dir, docs)
     return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir, docs), **evaluation_run.OFFLINE)
 
 
 @query("compare_models_served")
 def compare_models_served(spark, sf_dir):
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     index = _document_index(spark, sf_dir, docs)
     return evaluation_run.compare_rankings(index, docs, _trained(spark, sf_dir, docs), **evaluation_run.SERVED)
 
@@ -652,7 +660,7 @@ def feature_importances_checked(spark, sf_dir):
 @query("model_roundtrip_checked")
 def model_roundtrip_checked(spark, sf_dir):
     """Pairs whose score is another after the model was saved and loaded."""
-    docs = _documents(spark, sf_dir)
+    docs = _keyed_documents(spark, sf_dir)
     model = _trained(spark, sf_dir, docs, reuse=False)
     folder = _model_folder(spark, sf_dir, docs)
     pairs = spark.read.parquet(f"{folder}/pairs")

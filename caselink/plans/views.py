@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caselink.functions.text import text_key
 from caselink.operators.prepare import NULL_TOKEN
 from caselink.sources.cases import normalize_headers
 from caselink.sources.scratch import shared_folder
@@ -149,16 +150,27 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("dr_no"), F.col("text").alias("mo_text"))
 
 
-def document_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dr_no, mo_text, words): the key and the text of every document, without a join."""
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("dr_no"), text_key("text").alias("mo_text"), F.col("text").alias("words")
+    )
+
+
+def document_cases(spark: SparkSession, sf_dir: str, keyed: bool = False) -> DataFrame:
     """One case per document, with the time of the event of the same id and labels where given.
 
     Texts hardly repeat here, so the nearest cases of a base differ from it and training pairs
     carry both labels at any scale; in ``cases`` enough copies of one text make every label 1.
+    ``keyed``: ``mo_text`` is the key of the text, made where the text lies, so that the joins shuffle no texts.
     """
+    documents = table(spark, sf_dir, "documents")
+    if keyed:
+        documents = documents.withColumn("text", text_key("text"))
     events = table(spark, sf_dir, "events").select("event_id", "ts")
     labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "label_id")
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .join(events, F.col("doc_id") == F.col("event_id"), "left")
         .join(labels, F.col("doc_id") == F.col("label_id"), "left")
         .select(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
@@ -15,6 +16,8 @@ from caselink.operators.tfidf import (
     distinct_texts,
     inverse_document_frequency,
     term_counts,
+    term_lists,
+    text_lengths,
     text_sizes,
     texts_in_place,
     unlisted,
@@ -22,7 +25,7 @@ from caselink.operators.tfidf import (
     weighted,
 )
 from caselink.schema import CASE_COLUMNS
-from caselink.sources.scratch import write_table
+from caselink.sources.scratch import shared_folder, write_table
 
 # Default number of leading cases kept per text: the smallest candidate pool.
 DEPTH = 200
@@ -48,16 +51,21 @@ class TextIndex:
     copies   fewest and most cases per text, known for a saved index; lets a query leave out the
              plan branch that no text needs.
     lists    the weights with one row per text: text_id, n_rows, first_dr, terms; None for part of the cases.
+    counts, lengths
+             of an index that keeps no weights (``load_or_fit_keyed``; ``weights`` and ``lists`` are None): the terms
+             of each text as counted where the texts lie, and the length of its vector.
     """
 
     texts: DataFrame
     idf: DataFrame
-    weights: DataFrame
+    weights: DataFrame | None
     leaders: DataFrame | None
     depth: int
     copies: tuple[int, int] | None = None
     cases: DataFrame | None = None
     lists: DataFrame | None = None
+    counts: DataFrame | None = None
+    lengths: DataFrame | None = None
 
 
 def leading_cases(cases: DataFrame, depth: int, sizes: DataFrame | None = None, shared: DataFrame | None = None, any_alone: bool = True) -> DataFrame:
@@ -200,3 +208,52 @@ def load_or_fit(
         _save_about(fit(cases, stop_words, depth, folder), folder)
         found = load(spark, folder)
     return replace(found, cases=cases)
+
+
+def _counted(texts: DataFrame, spelled: DataFrame, stop_words: Sequence[str]) -> tuple[DataFrame, DataFrame | None, bool]:
+    """``counts`` of a keyed index; the sizes of texts of more than one case, None above SHARED; whether any text has one case."""
+    n = texts.agg(F.count(F.lit(1)).alias("texts"), F.count(F.when(F.col("n_rows") > 1, 1)).alias("shared")).first()
+    shared, any_alone = texts.filter("n_rows > 1").drop("mo_text"), n["texts"] > n["shared"]
+    if n["shared"] <= SHARED:
+        return term_lists(texts_in_place(spelled, shared, any_alone, "words"), stop_words), shared, any_alone
+    one = spelled.groupBy(text_id("mo_text").alias("text_id")).agg(F.first("words").alias("mo_text"))
+    return term_lists(one.join(texts.drop("mo_text"), "text_id"), stop_words), None, any_alone
+
+
+def load_or_fit_keyed(
+    cases: DataFrame,
+    spelled: DataFrame,
+    path: str,
+    stop_words: Sequence[str] = ENGLISH_STOP_WORDS,
+    depth: int = DEPTH,
+    version: str | None = None,
+) -> TextIndex:
+    """``load_or_fit`` of cases whose ``mo_text`` is the key of a text (``text_key``), for pools of few asked texts.
+
+    ``spelled`` has the texts: one row (dr_no, mo_text, words) or more for each case's id and key, and no other
+    keys. Texts are read where they lie, neither shuffled nor stored; of them only counts of terms are. Weights are not
+    kept but made where they are needed, so asking for more texts than ``asked`` takes makes and stores them (``with_weights``).
+    """
+    spark = cases.sparkSession
+    folder = f"{path}/{version or fingerprint(cases, stop_words, depth)}"
+    try:
+        about = spark.read.schema(ABOUT).parquet(f"{folder}/about").first()
+        texts, idf, lengths, leaders = [spark.read.parquet(f"{folder}/{name}") for name in ("texts", "idf", "lengths", "leaders")]
+        counts, _, _ = _counted(texts, spelled, stop_words)
+    except AnalysisException:
+        texts = write_table(distinct_texts(cases), f"{folder}/texts")
+        counts, shared, any_alone = _counted(texts, spelled, stop_words)
+        idf = write_table(inverse_document_frequency(unlisted(counts), texts), f"{folder}/idf")
+        lengths = write_table(text_lengths(counts, idf), f"{folder}/lengths")
+        leaders = write_table(leading_cases(cases, depth, texts, shared, any_alone), f"{folder}/leaders")
+        _save_about(TextIndex(texts, idf, None, leaders, depth), folder)
+        about = spark.read.schema(ABOUT).parquet(f"{folder}/about").first()
+    copies = (about["fewest"], about["most"])
+    return TextIndex(texts, idf, None, leaders, about["depth"], copies, cases, counts=counts, lengths=lengths)
+
+
+def with_weights(index: TextIndex) -> TextIndex:
+    """A keyed index with its weights, stored once for this application."""
+    folder = shared_folder(index.idf.sparkSession, "weights", uuid.uuid4().hex)
+    lists = weighted(write_table(weight_lists(index.counts, index.idf), f"{folder}/idf_lists"))
+    return replace(index, weights=unlisted(lists), lists=lists, counts=None, lengths=None)
