@@ -125,13 +125,25 @@ class Nearest:
         last = order[place == self.depth - 1]
         self.least[query[last]] = similarity[last]
 
+    def rows(self) -> pa.RecordBatch:
+        """(q_text, c_text, similarity) of the texts found so far."""
+        ids = self.asked.ids
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([ids[q] for q in self.query], pa.binary()),
+                pa.array(self.text.tolist(), pa.binary()),
+                pa.array(self.similarity, pa.float64()),
+            ],
+            ["q_text", "c_text", "similarity"],
+        )
+
 
 def stretches(batch: pa.RecordBatch, asked: Asked) -> Iterator[tuple[np.ndarray, ...]]:
     """Arguments of ``Nearest.add`` for a batch of (text_id, first_dr, term, weight), a few texts at a time."""
     term, weight = batch.column("term"), batch.column("weight").flatten().to_numpy(zero_copy_only=False)
     row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(term).to_numpy(zero_copy_only=False).astype(np.int64))
     code = pc.fill_null(pc.index_in(term.flatten(), value_set=asked.terms), -1).to_numpy(zero_copy_only=False)
-    yield from _cut(batch, asked, row[code >= 0], code[code >= 0], weight[code >= 0])
+    yield from stretches_of(batch, asked, row[code >= 0], code[code >= 0], weight[code >= 0])
 
 
 def counted_stretches(batch: pa.RecordBatch, asked: Asked) -> Iterator[tuple[np.ndarray, ...]]:
@@ -139,10 +151,11 @@ def counted_stretches(batch: pa.RecordBatch, asked: Asked) -> Iterator[tuple[np.
     number = lambda array: array.to_numpy(zero_copy_only=False)
     code, length = number(batch.column("code").flatten()), number(batch.column("length"))
     row = np.repeat(np.arange(batch.num_rows), number(pc.list_value_length(batch.column("code"))).astype(np.int64))
-    yield from _cut(batch, asked, row, code, number(batch.column("tf").flatten()) * asked.idf[code] / length[row])
+    yield from stretches_of(batch, asked, row, code, number(batch.column("tf").flatten()) * asked.idf[code] / length[row])
 
 
-def _cut(batch: pa.RecordBatch, asked: Asked, row: np.ndarray, code: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+def stretches_of(batch: pa.RecordBatch, asked: Asked, row: np.ndarray, code: np.ndarray, weight: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """``stretches`` of the texts (text_id, first_dr) of a batch, whose entries are given."""
     ids = np.array(batch.column("text_id").to_pylist() + [None], object)[:-1]
     firsts = pc.fill_null(batch.column("first_dr"), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
     step = max(1, CELLS // max(1, len(asked.ids)))
@@ -188,14 +201,6 @@ def _nearest(rows: DataFrame, asked: Asked, depth: int, cut: Callable[[pa.Record
         for batch in batches:
             for stretch in cut(batch, nearest.asked):
                 nearest.add(*stretch)
-        ids = nearest.asked.ids
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([ids[q] for q in nearest.query], pa.binary()),
-                pa.array(nearest.text.tolist(), pa.binary()),
-                pa.array(nearest.similarity, pa.float64()),
-            ],
-            ["q_text", "c_text", "similarity"],
-        )
+        yield nearest.rows()
 
     return rows.mapInArrow(run, "q_text binary, c_text binary, similarity double")

@@ -15,6 +15,9 @@ is at most the product of their remainders there. With a floor under the similar
 3. Sums. What is left is summed in full.
 
 Bounds are compared with a margin for rounding, so no text that ties with the last one is lost.
+
+These steps shuffle pairs, which grow faster than the texts. Above ROWS rows of them the same texts are found in blocks
+instead (``blocks``), which shuffle no pair.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from caselink.operators.blocks import nearest_in_blocks
 from caselink.operators.skew import top_per_key
 from caselink.sources.scratch import shared_folder, write_table
 
@@ -32,6 +36,8 @@ from caselink.sources.scratch import shared_folder, write_table
 MARGIN = 1e-8
 # Postings that an asked text meets for its floor, and texts summed in full for it, as multiples of ``depth``.
 MET, SUMMED = 4, 2
+# Rows of pairs that are shuffled at most.
+ROWS = 1 << 22
 # Slots halve the squared remainder twice; the last one holds all that is smaller.
 SLOTS_PER_HALVING, LAST_SLOT = 2, 40
 
@@ -111,8 +117,20 @@ def candidate_terms(postings: DataFrame, floor: DataFrame) -> DataFrame:
     )
 
 
-def nearest_matches(weights: DataFrame, wanted: DataFrame | None, depth: int) -> DataFrame:
-    """(q_text, c_text, similarity not yet rounded) of all texts that can be among the ``depth`` nearest of an asked text."""
+def shuffled_rows(weights: DataFrame, depth: int) -> int:
+    """At most about so many rows are shuffled by the steps above: those summed for floors and the pairs of all terms."""
+    per_term = weights.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    made = per_term.agg(F.sum(F.col("n") * (SUMMED * depth + F.col("n"))).alias("rows")).first()["rows"]
+    return int(made or 0)
+
+
+def nearest_matches(weights: DataFrame, wanted: DataFrame | None, depth: int, lists: DataFrame | None = None) -> DataFrame:
+    """(q_text, c_text, similarity, which may be rounded) of all texts that can be among the ``depth`` nearest of an asked text.
+
+    ``lists`` are the weights with one row per text. With them, pairs are shuffled up to ROWS rows only.
+    """
+    if lists is not None and shuffled_rows(weights, depth) > ROWS:
+        return nearest_in_blocks(lists, wanted, depth).withColumnRenamed("similarity", "total")
     spark = weights.sparkSession
     folder = shared_folder(spark, "pruned", uuid.uuid4().hex)
     postings = write_table(with_remainders(weights), f"{folder}/postings")

@@ -112,7 +112,7 @@ def text_matches(index: TextIndex, wanted: DataFrame | None, depth: int, pruned:
                 return nearest_counted(index.counts, index.lengths, few, depth)
         index = with_weights(index)
     if pruned:
-        found = nearest_matches(index.weights, wanted, depth)
+        found = nearest_matches(index.weights, wanted, depth, index.lists)
         return found.select("q_text", "c_text", _rounded(F.col("total")))
     asked = index.weights.select(
         F.col("text_id").alias("q_text"), "n_rows", "term", "n_texts", F.col("weight").alias("q_weight")

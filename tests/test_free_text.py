@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from brute import pools
-from caselink.operators import pruned, similarity
+from caselink.operators import blocks, pruned, similarity
 from caselink.sources import text_index
 
 
@@ -53,6 +53,33 @@ def test_pruned_lists_of_some_bases(make_cases, tmp_path):
     assert plain == cut
 
 
+@pytest.mark.parametrize("size, entries", [(1024, 1 << 19), (7, 30)])
+def test_blocks_find_what_shuffled_pairs_find(spark, make_cases, tmp_path, monkeypatch, size, entries):
+    texts = texts_of(11, 110)
+    ids = [i * 37 % 110 for i in range(len(texts))]
+    cases = make_cases(*[{"dr_no": i, "mo_text": t} for i, t in zip(ids, texts)])
+    index = text_index.load_or_fit(cases, str(tmp_path))
+    listed = lambda wanted, k: sorted(map(tuple, similarity.candidate_pool(index, wanted, k, pruned=True).select("q_text", "pool_rank", "cand.dr_no", "similarity").collect()), key=str)
+    some = index.texts.filter("n_rows > 1").select(F.col("text_id").alias("q_text"))
+    pairs = [listed(wanted, k) for wanted, k in ((None, 6), (some, 150))]
+    monkeypatch.setattr(pruned, "ROWS", 0)
+    monkeypatch.setattr(blocks, "TEXTS", size)
+    monkeypatch.setattr(blocks, "ENTRIES", entries)
+    assert [listed(wanted, k) for wanted, k in ((None, 6), (some, 150))] == pairs
+
+
+def test_blocks_shuffle_no_pair(make_cases, tmp_path, monkeypatch):
+    """Texts that all share a term: the pairs met go with the square, what the blocks give does not."""
+    cases = make_cases(*[{"dr_no": i, "mo_text": f"common word{i} other{i % 7}"} for i in range(200)])
+    index = text_index.load_or_fit(cases, str(tmp_path))
+    assert pruned.shuffled_rows(index.weights, 4) > 200 * 200
+    monkeypatch.setattr(pruned, "ROWS", 1000)
+    monkeypatch.setattr(blocks, "TEXTS", 16)
+    found = pruned.nearest_matches(index.weights, None, 4, index.lists)
+    assert found.groupBy("q_text").count().agg(F.max("count")).first()[0] <= 4 * 8
+    assert "CartesianProduct" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_pruning_meets_few_of_the_pairs(make_cases, tmp_path):
     texts = texts_of(3, 400, topics=20)
     cases = make_cases(*[{"dr_no": i, "mo_text": t} for i, t in enumerate(texts)])
