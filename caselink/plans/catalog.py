@@ -494,7 +494,7 @@ def feature_importances(spark, sf_dir):
 @query("score_pairs")
 def score_pairs(spark, sf_dir):
     pairs = linkage.with_features(_similar(spark, sf_dir, SERVED_K))
-    return ensemble.score(pairs, _trained(spark, sf_dir, _keyed_documents(spark, sf_dir))).select(*_pair_ids(), "p_rf", "p_gb", "score")
+    return ensemble.score(pairs, _trained(spark, sf_dir, _keyed_documents(spark, sf_dir)), many=True).select(*_pair_ids(), "p_rf", "p_gb", "score")
 
 
 @query("model_roundtrip")
