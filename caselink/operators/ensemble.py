@@ -194,8 +194,8 @@ def rank_all_cases(index: TextIndex, cases: DataFrame, model: Ensemble, k: int =
     """
     dealt = dealt_cases(index, cases, served_pool(k), BASES_PER_TASK)
     if dealt is None:
-        return rank_cases(similar_cases(index, cases, served_pool(k), bases_are_all=True), model, k)
-    return _ranked(dealt, model, k)
+        return rank_cases(similar_cases(index, cases, served_pool(k), bases_are_all=True), model, k, many=True)
+    return _ranked(dealt, model, k, many=True)
 
 
 def served_pool(k: int) -> int:

@@ -2,11 +2,14 @@
 
 import math
 import random
+from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
-from caselink.operators import ensemble
-from caselink.schema import FEATURES
+from caselink.operators import ensemble, similarity
+from caselink.schema import CASE_COLUMNS, FEATURES
+from caselink.sources import text_index
 
 SCHEMA = ", ".join(f"{f} {'int' if f.endswith('match') else 'double'}" for f in FEATURES)
 
@@ -67,3 +70,31 @@ def test_features_left_out_and_features_without_a_split(spark):
     small = ensemble.train(pairs, kept, trees=2)
     assert ensemble.cell_bounds(small)[1:] == [[], []]
     assert scores(ensemble.score(pairs, small, many=True)) == scores(ensemble.score(pairs, small))
+
+
+def all_cases(make_cases):
+    rng = random.Random(5)
+    texts = ["gun car", "gun", "knife car", "knife street", "west", ""]
+    return make_cases(
+        *[
+            {"dr_no": i, "mo_text": rng.choice(texts), "area_name": rng.choice("AB"), "crm_cd": rng.randint(1, 3), "weapon_desc": rng.choice(["W", None]),
+             "vict_age": rng.choice([20, 35, None]), "vict_sex": rng.choice("FM"), "datetime": datetime(2024, rng.randint(1, 12), 3)}
+            for i in range(80)
+        ]
+    )
+
+
+@pytest.mark.parametrize("listed", [similarity.LISTED, 0])
+def test_rankings_of_all_cases_show_the_trees_cells_and_no_pairs(spark, model, make_cases, tmp_path, monkeypatch, listed):
+    cases = all_cases(make_cases)
+    index = text_index.load_or_fit(cases, str(tmp_path))
+    plain = ensemble.rank_cases(similarity.similar_cases(index, cases, ensemble.served_pool(5), bases_are_all=True), model, 5)
+    monkeypatch.setattr(similarity, "LISTED", listed)
+    seen = []
+    through = ensemble._probabilities
+    monkeypatch.setattr(ensemble, "_probabilities", lambda rows, m: seen.append(rows.count()) or through(rows, m))
+    ranked = ensemble.rank_all_cases(index, cases, model, 5)
+    assert seen == [math.prod(len(b) + 1 for b in ensemble.cell_bounds(model))]
+    flat = lambda df: sorted(map(tuple, ensemble.as_served(df).select("q_id", "rank", "dr_no", "area_name", "datetime", "mo_text", F.round("similarity", 9), "score", F.to_json("features")).collect()))
+    assert len(flat(ranked)) == 80 * 5 and flat(ranked) == flat(plain)
+    assert set(CASE_COLUMNS) == set(ranked.select("cand.*").columns)
