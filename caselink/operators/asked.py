@@ -22,10 +22,12 @@ from caselink.sources.scratch import shared_folder, write_table
 
 ASKED = 4096
 ENTRIES = 4_000_000
-# Sums that a stretch of texts has room for, and products that are made for it at once.
-CELLS = PRODUCTS = 1 << 21
+# Sums that a stretch of texts has room for, and products that are made for it at once: few enough for a core's cache.
+CELLS, PRODUCTS = 1 << 21, 1 << 17
 # Similarities are rounded half up to 9 places.
 SCALE = 1e9
+# Terms whose products are made as a matrix at most, if at least one in SHARE of the asked texts has them.
+DENSE, SHARE = 512, 32
 
 
 @dataclass
@@ -83,11 +85,34 @@ def asked_counts(counts: DataFrame, idf: DataFrame, wanted: DataFrame) -> Asked
     return Asked(texts.dictionary.to_pylist(), terms.dictionary, begins, text[order], weight[order], of_term)
 
 
+@dataclass
+class Frequent:
+    """The terms that many asked texts have: the column of each term, -1 for the others, and weights by column and text."""
+
+    column: np.ndarray
+    weights: np.ndarray
+
+
+def frequent_terms(asked: Asked) -> Frequent:
+    n, texts_with = len(asked.ids), np.diff(asked.begins)
+    terms = np.flatnonzero(texts_with >= max(2, n / SHARE))
+    terms = terms[np.argsort(-texts_with[terms], kind="stable")[:DENSE]]
+    column = np.full(len(texts_with), -1)
+    column[terms] = np.arange(len(terms))
+    of_entry = np.repeat(column, texts_with)
+    weights = np.zeros((len(terms), n))
+    weights[of_entry[of_entry >= 0], asked.text[of_entry >= 0]] = asked.weight[of_entry >= 0]
+    return Frequent(column, weights)
+
+
 class Nearest:
-    """The ``depth`` nearest texts so far of each asked text, by rounded similarity and then the lowest first case."""
+    """The ``depth`` nearest texts so far of each asked text, by rounded similarity and then the lowest first case.
+
+    Products of ``frequent`` terms are made as one matrix of all texts and asked texts, those of the others one by one.
+    """
 
-    def __init__(self, asked: Asked, depth: int):
-        self.asked, self.depth = asked, depth
+    def __init__(self, asked: Asked, depth: int, frequent: Frequent | None = None):
+        self.asked, self.depth, self.frequent = asked, depth, frequent
         self.least = np.full(len(asked.ids), -1.0)
         self.query, self.first = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.similarity, self.text = np.zeros(0), np.zeros(0, object)
@@ -95,9 +120,16 @@ class Nearest:
     def add(self, ids: np.ndarray, firsts: np.ndarray, row: np.ndarray, code: np.ndarray, weight: np.ndarray) -> None:
         """Texts with ``ids``; entry i is a weight of text ``row[i]`` for the term ``code[i]`` that an asked text has."""
         n = len(self.asked.ids)
+        sums = np.zeros(len(ids) * n)
+        if self.frequent is not None and len(self.frequent.weights):
+            column = self.frequent.column[code]
+            often = column >= 0
+            table = np.zeros((len(ids), len(self.frequent.weights)))
+            table[row[often], column[often]] = weight[often]
+            sums = (table @ self.frequent.weights).reshape(-1)
+            row, code, weight = row[~often], code[~often], weight[~often]
         begins = self.asked.begins[code]
         meet = self.asked.begins[code + 1] - begins
-        sums = np.zeros(len(ids) * n)
         # A single text may have more products than are made at once.
         made = np.cumsum(meet)
         cuts = np.searchsorted(made, np.arange(PRODUCTS, (made[-1] if len(made) else 0) + PRODUCTS, PRODUCTS), "right")
@@ -105,15 +137,23 @@ class Nearest:
             if a < b:
                 many = meet[a:b]
                 at = np.repeat(begins[a:b] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                cell = np.repeat(row[a:b] * n, many) + self.asked.text[at]
-                sums += np.bincount(cell, self.asked.weight[at] * np.repeat(weight[a:b], many), len(sums))
-        sums = sums.reshape(len(ids), n)
-        rounded = np.where(sums > 0, np.floor(sums * SCALE + 0.5) / SCALE, -1.0)
-        least = self.least
-        if len(ids) > self.depth:
-            least = np.maximum(least, np.partition(rounded, len(ids) - self.depth, axis=0)[len(ids) - self.depth])
-        place, query = np.nonzero((rounded >= least) & (rounded >= 0))
-        self._merge(query, rounded[place, query], firsts[place], ids[place])
+                # Entries stand by text, so these are of a few texts next to each other.
+                first, end = row[a], row[b - 1] + 1
+                cell = np.repeat((row[a:b] - first) * n, many) + self.asked.text[at]
+                sums[first * n : end * n] += np.bincount(cell, self.asked.weight[at] * np.repeat(weight[a:b], many), (end - first) * n)
+        self._take(ids, firsts, sums.reshape(len(ids), n))
+
+    def _take(self, ids: np.ndarray, firsts: np.ndarray, sums: np.ndarray) -> None:
+        # What may round to the last similarity that counts is rounded, so few are after the first texts.
+        reaching = (sums > 0) & (sums >= self.least - 1 / SCALE)
+        if len(ids) > self.depth and np.count_nonzero(reaching) > 2 * self.depth * sums.shape[1]:
+            last = np.partition(sums, len(ids) - self.depth, axis=0)[len(ids) - self.depth]
+            reaching &= sums >= last - 2 / SCALE
+        place, query = np.nonzero(reaching)
+        rounded = np.floor(sums[place, query] * SCALE + 0.5) / SCALE
+        counts = rounded >= self.least[query]
+        place, query = place[counts], query[counts]
+        self._merge(query, rounded[counts], firsts[place], ids[place])
 
     def _merge(self, query: np.ndarray, similarity: np.ndarray, first: np.ndarray, text: np.ndarray) -> None:
         query, similarity = np.concatenate([self.query, query]), np.concatenate([self.similarity, similarity])

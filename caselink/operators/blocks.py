@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caselink.operators.asked import Asked, Nearest, stretches_of
+from caselink.operators.asked import Asked, Nearest, frequent_terms, stretches_of
 from caselink.sources.scratch import shared_folder, write_table
 
 # Texts of a block, and entries after which it ends: the last text of a block is whole.
@@ -99,7 +99,8 @@ def nearest_in_blocks(lists: DataFrame, wanted: DataFrame | None, depth: int) ->
                 value = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
                 number = value("number")
                 if number not in found:
-                    found[number] = Nearest(_asked(_unpacked(value("q_texts")), _unpacked(value("q_terms")).column("term")), depth)
+                    asked = _asked(_unpacked(value("q_texts")), _unpacked(value("q_terms")).column("term"))
+                    found[number] = Nearest(asked, depth, frequent_terms(asked))
                 nearest = found[number]
                 texts, terms = _unpacked(value("texts")), _unpacked(value("terms")).column("term")
                 known = pc.fill_null(pc.index_in(terms, value_set=nearest.asked.terms), -1).to_numpy(zero_copy_only=False)
