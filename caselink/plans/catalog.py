@@ -47,11 +47,16 @@ def _rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFram
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
-def _index(spark: SparkSession, sf_dir: str) -> text_index.TextIndex:
-    cases = views.cases(spark, sf_dir)
+def _index(spark: SparkSession, sf_dir: str, cases: DataFrame | None = None) -> text_index.TextIndex:
+    cases = views.cases(spark, sf_dir) if cases is None else cases
     return text_index.load_or_fit(cases, views.scratch(spark, sf_dir, "text_index"))
 
 
+def _stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases, joined and stored once for a query: fitting and ranking read them six times."""
+    return write_table(views.cases(spark, sf_dir), views.scratch(spark, sf_dir, f"cases/{uuid.uuid4().hex}"))
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The document cases, joined and stored once for a query: every read of the view would shuffle all texts."""
     return write_table(views.document_cases(spark, sf_dir), views.scratch(spark, sf_dir, f"document_cases/{uuid.uuid4().hex}"))
@@ -376,9 +381,9 @@ def candidate_pool(spark, sf_dir):
     return _rounded(rows, ["similarity"])
 
 
-def _similar(spark, sf_dir, k, **options):
-    index = _index(spark, sf_dir)
-    return similarity.similar_cases(index, views.cases(spark, sf_dir), k, bases_are_all=True, **options)
+def _similar(spark, sf_dir, k, cases=None, **options):
+    cases = views.cases(spark, sf_dir) if cases is None else cases
+    return similarity.similar_cases(_index(spark, sf_dir, cases), cases, k, bases_are_all=True, **options)
 
 
 @query("similar_cases")
@@ -493,7 +498,7 @@ def feature_importances(spark, sf_dir):
 
 @query("score_pairs")
 def score_pairs(spark, sf_dir):
-    pairs = linkage.with_features(_similar(spark, sf_dir, SERVED_K))
+    pairs = linkage.with_features(_similar(spark, sf_dir, SERVED_K, _stored_cases(spark, sf_dir)))
     return ensemble.score(pairs, _trained(spark, sf_dir, _keyed_documents(spark, sf_dir)), many=True).select(*_pair_ids(), "p_rf", "p_gb", "score")
 
 
@@ -508,9 +513,10 @@ def model_roundtrip(spark, sf_dir):
 
 @query("ranked_cases")
 def ranked_cases(spark, sf_dir):
-    index = _index(spark, sf_dir)
+    cases = _stored_cases(spark, sf_dir)
+    index = _index(spark, sf_dir, cases)
     model = _trained(spark, sf_dir, _keyed_documents(spark, sf_dir))
-    return ensemble.as_served(ensemble.rank_all_cases(index, views.cases(spark, sf_dir), model, SERVED_K))
+    return ensemble.as_served(ensemble.rank_all_cases(index, cases, model, SERVED_K))
 
 
 # --- evaluation --------------------------------------------------------------------------------

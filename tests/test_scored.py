@@ -8,8 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from caselink.operators import ensemble, similarity
+from caselink.plans import catalog
 from caselink.schema import CASE_COLUMNS, FEATURES
 from caselink.sources import text_index
+from conftest import SMALL
 
 SCHEMA = ", ".join(f"{f} {'int' if f.endswith('match') else 'double'}" for f in FEATURES)
 
@@ -98,3 +100,11 @@ def test_rankings_of_all_cases_show_the_trees_cells_and_no_pairs(spark, model, m
     flat = lambda df: sorted(map(tuple, ensemble.as_served(df).select("q_id", "rank", "dr_no", "area_name", "datetime", "mo_text", F.round("similarity", 9), "score", F.to_json("features")).collect()))
     assert len(flat(ranked)) == 80 * 5 and flat(ranked) == flat(plain)
     assert set(CASE_COLUMNS) == set(ranked.select("cand.*").columns)
+
+
+@pytest.mark.parametrize("name", ["score_pairs", "ranked_cases"])
+def test_cases_are_joined_once(spark, model, monkeypatch, name):
+    monkeypatch.setattr(catalog, "_keyed_documents", lambda *_: None)
+    monkeypatch.setattr(catalog, "_trained", lambda *_: model)
+    plan = catalog.QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "orders.parquet" not in plan and "BroadcastHashJoin [_cell" in plan
